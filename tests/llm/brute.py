@@ -1,0 +1,63 @@
+"""Plain Python versions of the contracts, for comparison."""
+
+import base64
+import hashlib
+import re
+
+A = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOW = str.maketrans(A, A.lower())
+
+
+def luhn(s: str) -> bool:
+    d = [int(c) for c in s[::-1]]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def pii_base(text):
+    t = text or ""
+    num = lambda s: re.sub("[^0-9]", "", s)
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(num(s)) <= 19 and luhn(num(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(num(s)) <= 15),
+    )
+    found = {k: [(m.start(), m.end()) for m in re.finditer(p, t) if ok(m.group())] for k, p, ok in rules}
+    text_ = ",".join(f"{k}:{a}:{b}" for k in found for a, b in found[k])
+    return tuple(len(v) for v in found.values()), text_, hashlib.sha256(text_.encode()).hexdigest()
+
+
+def secrets_base(text):
+    t = text or ""
+    rules = (
+        ("assign", r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?:w|W)(?:d|D))|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    )
+    all_, counts = [], []
+    for rank, (k, p, ok) in enumerate(rules):
+        got = [(m.start(), rank, m.end(), k) for m in re.finditer(p, t) if ok(m)]
+        counts.append(len(got))
+        all_ += got
+    text_ = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(all_))
+    return tuple(counts), text_, hashlib.sha256(text_.encode()).hexdigest()
+
+
+def warc_plan(rows):
+    """rows of (page_id, html) -> page_id: (bytes, digest, type, refers)."""
+    first, out = {}, {}
+    for i, h in sorted(rows):
+        b = (h or "").encode()
+        d = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        first.setdefault(b, i)
+        r = first[b]
+        out[i] = (len(b), d, "response" if r == i else "revisit", None if r == i else r)
+    return out
+
+
+def exact_groups(rows, keep=max):
+    """rows of (doc_id, text) -> doc_id: (keep_id, size, kept, sha)."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate(LOW), []).append(i)
+    return {i: (keep(g), len(g), keep(g) == i, hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
