@@ -6,10 +6,11 @@ six characters are discounted and backed off to Kneser-Ney continuation counts t
 rare expressions get their mass there and tell the classes apart by little. The log-likelihood
 ratio of a word is the sum over its characters.
 
-A text is scored by ratios normalised by its length: the mean over its words, the mean of what
+A text is scored by ratios normalised by its length: the mean over its words of what
 exceeds the text's median by ``FLOOR`` (the median is what language and style do to all
-words of it), and the same per root of the length. A logistic function of these three,
-fitted on labelled texts that the models haven't seen, gives the score.
+words of it), the share of words that do so (both on a logarithmic scale), and the excess
+per root of the length. A logistic function of these three, fitted on labelled texts that
+the models haven't seen, gives the score.
 
 All labelled rows that may be learned from are used: four in five for the counts, the
 rest (at most ``CALIBRATION_ROWS``, by hash) for the three coefficients. What reaches the scoring tasks is
@@ -36,7 +37,7 @@ from .common import keep, map_arrow
 
 ORDER = 6
 DISCOUNT = 0.75
-FLOOR = 3.0
+FLOOR = 4.0
 BUCKET_BITS = 21
 CALIBRATION_ROWS = 20_000
 ALPHABET = 200
@@ -190,8 +191,9 @@ def text_features(text: str, memo: _Memo) -> tuple[float, float, float]:
     if not w:
         return 0.0, 0.0, 0.0
     a = np.fromiter(map(memo.__getitem__, w), float, len(w))
-    over = np.maximum(a - np.median(a) - FLOOR, 0).sum()
-    return float(a.mean()), float(over / len(a)), float(over / math.sqrt(len(a) + 10))
+    over = a - np.median(a) - FLOOR
+    share, excess = float((over > 0).mean()), float(np.maximum(over, 0).sum())
+    return math.log1p(50 * excess / len(a)), math.log1p(50 * share), excess / math.sqrt(len(a) + 10)
 
 
 def features(docs: DataFrame, ratios: Ratios, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +245,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if seen["toxic"].nunique() == 2:
             w = [float(v) for v in fit_logistic(seen[["f1", "f2", "f3"]].to_numpy(float), seen["toxic"].to_numpy(float))]
         else:
-            # too few labelled rows to calibrate: one unit of excess evidence a word in 20 is even odds
-            w = [-2.0, 0.0, 40.0, 0.0]
+            # no labelled row of a class is left to calibrate: even odds at one unit of excess in 50 words
+            w = [-2.0, 2.0 / math.log(2), 0.0, 0.0]
         z = F.lit(w[0]) + F.col("f1") * w[1] + F.col("f2") * w[2] + F.col("f3") * w[3]
         scored = feats.select(id_col, (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score"))
     return scored.select(id_col, (fold(id_col) % 3 == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
