@@ -13,9 +13,11 @@
   itself the kept one) is checked byte by byte against the kept row's text; rows
   whose bytes differ are regrouped by digest and full text.
 
-Ids are unique, non-null longs. Null texts count as empty; empty texts are equal
-to each other. Repeated rows and ties need no rule, for ids are unique. Empty
-tables give empty results, and extra columns are ignored, whatever their names.
+Ids name documents. Rows without an id can't be named and are left out. Rows that repeat an
+id are each reported: those with equal texts count as copies of one another and, if the
+id is the one that stays, all of them are kept. Null texts count as empty; empty texts are equal
+to each other. Empty tables give empty results, and extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -115,6 +117,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     norm = lower_ascii(F.col(text_col))
+    docs = docs.filter(F.col(id_col).isNotNull())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"))
     # digests once, in the shared folder: the later joins read 40 bytes a row, not the texts
     ids = keep(docs.select(F.col(id_col).cast("long").alias("id"), (F.sha2(norm, 256) if digest is None else digest).alias("digest")), "digests")

@@ -81,7 +81,10 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, id_col: str = "doc_i
     if not ledger.empty:
         todo = todo.join(ledger.seen().select("blob"), "blob", "left_anti")
     # repeated rows of one path: a path id may stand for several rows; a blob is scanned once
-    unseen = rows.join(todo, "path_id").filter(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"]) if _repeats(paths) else rows.join(todo, "path_id")
+    pick = todo.select(F.col("path_id").alias("pick_id"), "blob")
+    unseen = rows.join(pick, F.col("path_id").eqNullSafe(F.col("pick_id")))
+    if _repeats(paths):
+        unseen = unseen.filter(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"])
     found = unseen.select("blob", F.lit(ledger.rule_version).alias("rule_version"), *[c.alias(k) for k, c in scan_columns(F.col("text")).items()])
     ledger.append(found)
     # findings are few: blobs without any are left out of the join, so a hot clean blob is never dealt out

@@ -61,3 +61,30 @@ def exact_groups(rows, keep=max):
     for i, t in rows:
         groups.setdefault((t or "").translate(LOW), []).append(i)
     return {i: (keep(g), len(g), keep(g) == i, hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+
+
+def simhash_fp(text, width=4):
+    import xxhash
+
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", (text or "").translate(LOW)) if x]
+    s = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(ids, linked):
+    """ids ascending; linked(a, b) -> bool. Smallest id reachable, by all pairs."""
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
