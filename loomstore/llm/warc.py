@@ -12,8 +12,9 @@
   files of the tasks that counted to their names, writes MANIFEST.json last, and drops
   the rest: a lost executor leaves nothing that a reader would see.
 
-Null payloads count as empty ones; null urls as "". Ids are unique, non-null longs. An
-empty table gives a manifest without files. Extra columns are ignored.
+Null payloads count as empty ones; null urls as "". Rows without an id are left out, for a
+record is named by its id; a repeated id raises an error. An empty table gives a manifest
+without files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,23 +104,26 @@ def _record(page_id: int, url: str, payload: bytes, size: int, digest: str, kind
     return z.compress(raw) + z.flush()
 
 
-def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, shard_records: int = 20_000, min_revisit_bytes: int = 0) -> str:
+def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, shard_records: int = 5_000, min_revisit_bytes: int = 0) -> str:
     """Writes the archives under ``path`` and returns it; MANIFEST.json lists the files."""
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
+    pages = pages.filter(F.col(id_col).isNotNull())
     tmp = f"{path}/_tmp-{uuid.uuid4().hex}"
     plan = plan_records(pages, id_col, html_col, min_revisit_bytes)
     plan = keep(plan, "warc-plan")
     bounds = shard_bounds(plan.select("page_id"), shard_records)
     shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
-    # a revisit has no body: its payload doesn't move
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).join(plan, "page_id")
-    rows = rows.select(shard.alias("shard"), "page_id", "url", F.when(F.col("record_type") == "response", F.col("html")).alias("html"), "payload_bytes", "payload_digest", "record_type", "refers_to")
-    rows = rows.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id")
+    # one shuffle: what the plan says of a page stands right before the page in its shard
+    said = plan.select(shard.alias("shard"), "page_id", F.lit(0).alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    own = F.col(id_col).alias("page_id")
+    body = pages.select(own, F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    body = body.select(shard.alias("shard"), "page_id", F.lit(1).alias("page"), "url", "html", *[F.lit(None).cast(t).alias(c) for c, t in (("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"))])
+    rows = said.unionByName(body).repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", "page")
     small_batches(spark, 500)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = None
+        fs = plan_of = None
         out = name = sha = None
         shard_now = part = size = n = 0
         done: list[tuple] = []
@@ -132,7 +136,14 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
                 out = None
 
         for b in batches:
-            for s, i, url, html, length, digest, kind, refers in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for s, i, page, url, html, *meta in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if not page:
+                    plan_of = (i, *meta)
+                    continue
+                if plan_of is None or plan_of[0] != i:
+                    raise ValueError(f"page {i} has no plan: are ids unique?")
+                length, digest, kind, refers = plan_of[1:]
+                plan_of = None
                 if out is not None and (s != shard_now or size >= roll_bytes):
                     close()
                     part = part + 1 if s == shard_now else 0
@@ -145,7 +156,7 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
                         fs, at = _open(tmp)
                         fs.create_dir(at, recursive=True)
                     out = fs.open_output_stream(_open(name)[1], compression=None)
-                raw = _record(i, " ".join(url.split()), (html or "").encode(), length, digest, kind, refers)
+                raw = _record(i, " ".join(url.split()), html.encode(), length, digest, kind, refers)
                 out.write(raw)
                 sha.update(raw)
                 size += len(raw)
