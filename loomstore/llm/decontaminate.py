@@ -11,7 +11,8 @@ an item if consistent alignments cover ``coverage`` of the item's tokens.
 The items are joined as broadcast hash tables of at most ``block_windows`` windows each, one
 after the other: one table is enough for most benchmarks, and larger ones take more passes
 over the documents, not more memory. A document is cut into tokens once a pass, and only
-documents with a run of tokens that could all stand in an item get templates.
+documents get templates that have a run of tokens that could all stand in an item, with the longest
+word of a window and its neighbours among them: every window that matches lies in such a run.
 
 Items of fewer than ``width`` tokens have one window, the whole item; items of fewer than
 ``min_tokens`` tokens are too short to be told from chance, and windows with fewer than 3 words proper
@@ -82,7 +83,7 @@ class ItemTable:
         self.windows: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.sizes: set[int] = set()
         words: set[str] = set()
-        self.slots = False
+        anchors: dict[str, set[tuple[str | None, str | None]]] = defaultdict(set)
         for k, (item, text) in enumerate(items):
             t, v = template(text)
             if len(t) < min_tokens:
@@ -91,19 +92,22 @@ class ItemTable:
             n = min(width, len(t))
             self.sizes.add(n)
             words.update(v)
-            self.slots |= any(x[0] == "\x01" for x in t)
             for i in range(len(t) - n + 1):
                 if _useful(t[i : i + n], width):
                     self.windows["\x00".join(t[i : i + n])].append((k, i))
+                    w = [None if x[0] == "\x01" else x for x in t[i : i + n]]
+                    at = max((j for j in range(n) if w[j]), key=lambda j: (len(w[j]), w[j]))
+                    anchors[w[at]].add((w[at - 1] if at else None, w[at + 1] if at + 1 < n else None))
         self.shortest = min(self.sizes, default=0)
-        self.flag = _Flags(words)
+        self.anchors = anchors
+        self.run = re.compile(b"[\1\2]{%d,}" % max(1, self.shortest))
+        self.flag = _Flags(words, set(anchors), {x for _, t, _ in self.items.values() for x in t if x[0] == "\x01"})
 
     def hits(self, text: str, width: int, coverage: float) -> list[tuple[int, str, int, int]]:
         """(item, kind, covered tokens, item tokens) of the items that the text holds."""
         if not self.windows:
             return []
-        run = b"\1" * self.shortest
-        if run not in bytes(map(self.flag.__getitem__, _TOKEN.findall(text))):
+        if not self._possible(text):
             return []
         t, v = template(text)
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -126,6 +130,21 @@ class ItemTable:
                 out.append((item, "exact" if exact else "re-parameterised", len(covered), len(it)))
         return out
 
+    def _possible(self, text: str) -> bool:
+        """False only if no window can match: none has its longest word, with that word's neighbours, in a run of item tokens."""
+        flags = b"".join(map(self.flag.__getitem__, text.split()))
+        found: list[str] | None = None
+        for run in self.run.finditer(flags):
+            at = flags.find(b"\2", run.start(), run.end())
+            while at >= 0:
+                if found is None:
+                    found = _TOKEN.findall(text)
+                before, after = found[at - 1].lower() if at else "", found[at + 1].lower() if at + 1 < len(found) else ""
+                if any((a is None or a == before) and (b is None or b == after) for a, b in self.anchors[found[at].lower()]):
+                    return True
+                at = flags.find(b"\2", at + 1, run.end())
+        return False
+
     def _consistent(self, k: int, shift: int, places: set[int], v: list[str]) -> bool | None:
         """True if all slots hold equal values, False if these are renamed one to one, None if neither."""
         _, it, iv = self.items[k]
@@ -143,17 +162,28 @@ class ItemTable:
 
 
 class _Flags(dict):
-    """Token -> 1 if it can stand in an item: one of its words, or what a placeholder may cover."""
+    """Piece between blanks -> a byte for each of its tokens: 1 if the token can stand in an item, as one of
+    its words or under a placeholder that the items have; 2 if it is the longest word of a window."""
 
-    def __init__(self, words: set[str]):
-        self.words = words
+    def __init__(self, words: set[str], anchors: set[str], slots: set[str]):
+        self.words, self.anchors, self.slots = words, anchors, slots
 
-    def __missing__(self, w: str) -> int:
+    def _can(self, w: str) -> int:
         low = w.lower()
-        f = int(low in self.words or w[0].isdigit() or low in NUMBERS or low in UNITS or (w[0].isupper() and not w.isupper()))
-        if len(self) > 500_000:
+        if low in self.words:
+            return 1 + (low in self.anchors)
+        if w[0].isdigit() or low in NUMBERS:
+            return int(NUM in self.slots)
+        if low in UNITS and UNIT in self.slots:
+            return 1
+        return int(NAME in self.slots and w[0].isupper() and not w.isupper())
+
+    def __missing__(self, piece: str) -> bytes:
+        f = bytes([self._can(w) for w in _TOKEN.findall(piece)])
+        if len(self) > 300_000:
             self.clear()
-        self[w] = f
+        if len(piece) <= 64:
+            self[piece] = f
         return f
 
 
