@@ -40,6 +40,7 @@ DISCOUNT = 0.75
 FLOOR = 4.0
 BUCKET_BITS = 21
 CALIBRATION_ROWS = 20_000
+BROADCAST_LABELS = 1_000_000
 ALPHABET = 200
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -235,13 +236,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """id_col, held_out, score, predicted. Labels are learned from rows whose crc32(id as text) mod 3 isn't 1."""
     c = fold(id_col)
     known = labels.select(id_col, F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (c % 3 != 1)).withColumn("calibrate", F.floor(c / 3) % 5 == 0)
-    train = docs.select(id_col, F.col(text_col).alias("text")).join(known.filter("not calibrate"), id_col).select("text", "toxic")
+    known = keep(known, "labels")
+    # a label is a dozen bytes: up to a counted bound they go to the texts, beyond it both sides are shuffled
+    side = F.broadcast if known.count() <= BROADCAST_LABELS else (lambda df: df)
+    train = docs.select(id_col, F.col(text_col).alias("text")).join(side(known.filter("not calibrate")), id_col).select("text", "toxic")
     ratios = fit_ratios(train)
     if ratios is None:
         scored = docs.select(id_col, F.lit(0.0).alias("score"))
     else:
         feats = keep(features(docs, ratios, id_col, text_col), "features")
-        seen = feats.join(known.filter("calibrate"), id_col).orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS).select("f1", "f2", "f3", "toxic").toPandas()
+        seen = feats.join(side(known.filter("calibrate")), id_col).orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS).select("f1", "f2", "f3", "toxic").toPandas()
         if seen["toxic"].nunique() == 2:
             w = [float(v) for v in fit_logistic(seen[["f1", "f2", "f3"]].to_numpy(float), seen["toxic"].to_numpy(float))]
         else:
