@@ -116,12 +116,12 @@ def session_of_payload(payload: Column) -> Column:
 
 
 def repo_of_url(url: Column) -> Column:
-    name = F.element_at(F.split(F.element_at(F.split(F.rtrim(F.lit("/"), F.trim(url)), "/"), -1), ":"), -1)
+    name = F.element_at(F.split(F.element_at(F.split(F.rtrim(F.trim(url), F.lit("/")), "/"), -1), ":"), -1)
     return F.nullif(F.regexp_replace(name, r"\.git$", ""), F.lit(""))
 
 
 def project_of_path(path: Column) -> Column:
-    return F.nullif(F.element_at(F.split(F.rtrim(F.lit("/"), path), "/"), -1), F.lit(""))
+    return F.nullif(F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1), F.lit(""))
 
 
 def has_shell_meta(cmd: Column) -> Column:
