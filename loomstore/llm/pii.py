@@ -43,7 +43,7 @@ WINDOW = 40
 
 
 def _ip_ok(v: Column) -> Column:
-    part = lambda p: F.when(F.length(p) <= 3, p.cast("int") <= 255).otherwise(F.ltrim(F.lit("0"), p).rlike("^([0-9]{0,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
+    part = lambda p: F.when(F.length(p) <= 3, p.cast("int") <= 255).otherwise(F.ltrim(p, F.lit("0")).rlike("^([0-9]{0,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
     return F.forall(F.split(v, r"\."), part)
 
 
