@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstore.plans.shared import fresh_path, keep, shared_dir
 
-__all__ = ["fresh_path", "keep", "lower_ascii", "map_arrow", "shared_dir", "small_batches", "table"]
+__all__ = ["fresh_path", "keep", "lower_ascii", "map_arrow", "shared_dir", "only", "small_batches", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,3 +44,17 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
 
     return df.mapInArrow(run, schema)
+
+
+_LIVE: dict = {}
+
+
+def only(key, make):
+    """What ``make`` gives for ``key``, kept in this worker process until another key is asked for.
+
+    Workers outlive the stages of a pipeline; so the memo of one operator goes before that of the next fills.
+    """
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = make()
+    return _LIVE[key]

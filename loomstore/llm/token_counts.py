@@ -14,12 +14,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, only
 
 MEMO_WORDS = 400_000
 
@@ -99,9 +98,8 @@ class _Memo(dict):
         return n
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return only(("tokens", path), lambda: PrefixCounter(path))
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

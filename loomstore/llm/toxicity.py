@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_arrow
+from .common import keep, map_arrow, only
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -184,9 +184,6 @@ class _Memo(dict):
         return r
 
 
-_MEMO: dict[str, _Memo] = {}
-
-
 def text_features(text: str, memo: _Memo) -> tuple[float, float, float]:
     w = words(text)
     if not w:
@@ -204,10 +201,7 @@ def features(docs: DataFrame, ratios: Ratios, id_col: str = "doc_id", text_col:
     shared, name = docs.sparkSession.sparkContext.broadcast(ratios), uuid.uuid4().hex
 
     def fn(b):
-        if name not in _MEMO:
-            _MEMO.clear()
-            _MEMO[name] = _Memo(shared.value)
-        memo = _MEMO[name]
+        memo = only(("toxicity", name), lambda: _Memo(shared.value))
         f = np.array([text_features(t or "", memo) for t in b.column(1).to_pylist()]).reshape(-1, 3)
         return {id_col: b.column(0), "f1": f[:, 0], "f2": f[:, 1], "f3": f[:, 2]}
 
