@@ -131,4 +131,4 @@ def parse_importance(c: Column) -> Column:
 
 
 def parse_keywords(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")

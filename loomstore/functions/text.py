@@ -130,7 +130,7 @@ def has_shell_meta(cmd: Column) -> Column:
 
 def is_tool_command(cmd: Column, tool: str) -> Column:
     """Every segment of a command line runs ``tool`` itself, and nothing is substituted or redirected."""
-    parts = F.filter(F.transform(F.split(cmd, r"[&|;\n]"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(cmd, r"[&|;\n]"), lambda x: F.trim(x)), lambda s: s != "")
     base = lambda s: F.element_at(F.split(F.element_at(F.split(s, r"\s+"), 1), "/"), -1)
     return (F.size(parts) > 0) & F.forall(parts, lambda s: base(s) == tool) & ~has_shell_meta(cmd)
 

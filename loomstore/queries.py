@@ -16,7 +16,6 @@ from loomstore.plans import fixtures as X
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 NOW_S = X.EPOCH + 400 * 86400
-NOW = F.timestamp_seconds(F.lit(NOW_S))
 # Queries used below, words of the provided texts.
 WORDS = "the of and"
 PHRASE = "of the"
@@ -35,6 +34,10 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     return add
 
 
+def now():
+    return F.timestamp_seconds(F.lit(NOW_S))
+
+
 def r6(c: str):
     return F.round(c, 6).alias(c)
 
@@ -62,12 +65,12 @@ def store_stats(spark, d):
 
 @query(f"select topic, count(*) as entries, round(avg(weight),6) as avg_weight, round(avg(access_count),6) as avg_access, max(accessed_s) as accessed_s, count(*) filter (weight<0.5 and {NOW_S}-accessed_s>14*86400) as stale, count(*)>5 as needs_consolidation from memories group by topic", M)
 def topic_health(spark, d):
-    return lifecycle.health(X.memories(spark, d), NOW).select("topic", "entries", r6("avg_weight"), r6("avg_access"), secs("last_accessed", "accessed_s"), "stale", "needs_consolidation")
+    return lifecycle.health(X.memories(spark, d), now()).select("topic", "entries", r6("avg_weight"), r6("avg_access"), secs("last_accessed", "accessed_s"), "stale", "needs_consolidation")
 
 
 @query("select case when needs and stale>0 then 'needs consolidation and has stale entries' when needs then 'needs consolidation' when stale>0 then 'has stale entries' else 'healthy' end as status, count(*) as topics, cast(sum(n) as bigint) as entries from (select topic, count(*) as n, count(*)>5 as needs, count(*) filter (weight<0.5 and %d-accessed_s>14*86400) as stale from memories group by topic) group by 1" % NOW_S, M)
 def health_summary(spark, d):
-    h = lifecycle.health(X.memories(spark, d), NOW)
+    h = lifecycle.health(X.memories(spark, d), now())
     return h.groupBy(P.health_status(F.col("needs_consolidation"), F.col("stale")).alias("status")).agg(F.count("*").alias("topics"), F.sum("entries").alias("entries"))
 
 
@@ -340,7 +343,7 @@ def decay_5_rounds(spark, d):
 
 @query(f"select id, round(case when {NOW_S}-accessed_s>=86400*370 then weight*{_DECAY.format(f=0.95)} else weight end,6) as weight from memories", M)
 def auto_decay_gate(spark, d):
-    return lifecycle.auto_decay(X.memories(spark, d), F.timestamp_seconds(F.unix_seconds("last_accessed") + 86400 * 369), NOW).select("id", r6("weight"))
+    return lifecycle.auto_decay(X.memories(spark, d), F.timestamp_seconds(F.unix_seconds("last_accessed") + 86400 * 369), now()).select("id", r6("weight"))
 
 
 @query("select id, importance, round(weight,6) as weight from memories where not (weight<0.1 and importance not in ('critical','high'))", M)
@@ -356,7 +359,7 @@ def prune_dry_run(spark, d):
 @query(f"select id, access_count+case when id%3=0 then 1 else 0 end as access_count, case when id%3=0 then {NOW_S} else accessed_s end as accessed_s from memories", M)
 def touch_batch(spark, d):
     m = X.memories(spark, d)
-    return lifecycle.touch(m, m.filter("id % 3 = 0"), NOW).select("id", "access_count", secs("last_accessed", "accessed_s"))
+    return lifecycle.touch(m, m.filter("id % 3 = 0"), now()).select("id", "access_count", secs("last_accessed", "accessed_s"))
 
 
 @query("select id, case when id%10=0 then 'changed' else topic end as topic, importance from memories where id%11<>0", M)
@@ -653,12 +656,12 @@ _SCORE = f"(case importance when 'critical' then 10.0::double when 'high' then 5
 
 @query(f"select id, round({_SCORE},6) as score from memories", M)
 def wakeup_score(spark, d):
-    return X.memories(spark, d).select("id", F.round(packs.wake_up_score(NOW), 6).alias("score"))
+    return X.memories(spark, d).select("id", F.round(packs.wake_up_score(now()), 6).alias("score"))
 
 
 @query(f"select id, category, round(score,6) as score, len, cum from (select *, sum(len+4) over (order by score desc, id rows unbounded preceding) as cum, row_number() over (order by score desc, id) as rn from (select id, {CATEGORY_SQL} as category, {_SCORE} as score, case when length(summary)>400 then 404 else length(summary) end as len from memories where (importance in ('critical','high') or {LOWER_PREF}) and ({LOWER_PREF} or list_contains({SEGS},'src1')))) where cum<=800 or rn=1", M)
 def wakeup_budget(spark, d):
-    p = packs.wake_up(X.memories(spark, d), NOW, 200, "src1")
+    p = packs.wake_up(X.memories(spark, d), now(), 200, "src1")
     return p.select("id", "category", r6("score"), F.length("line").alias("len"), F.col("cum").cast("long").alias("cum"))
 
 
