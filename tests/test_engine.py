@@ -172,7 +172,7 @@ def test_project_scan(spark, tmp_path):
     (tmp_path / ".github" / "workflows").mkdir(parents=True)
     (tmp_path / "Cargo.toml").write_text('[workspace]\nmembers = ["crates/*"]\n[workspace.dependencies]\nserde = "1"\ntokio = { version = "1.2" }\n')
     (tmp_path / "crates" / "core" / "Cargo.toml").write_text('[package]\nname = "core"\nversion = "0.1"\ndescription = "The core"\n')
-    (tmp_path / "crates" / "core" / "src" / "lib.rs").write_text("")
+    (tmp_path / "crates" / "core" / "src" / "lib.rs").write_text("// lib")
     (tmp_path / "Makefile").write_text("all:\n")
     (tmp_path / ".github" / "workflows" / "ci.yml").write_text("on: push")
     entries = projects.scan(projects.read_project(spark, str(tmp_path)), "proj").cache()
