@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, pii, piece_lattice, secrets, simhash, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, oracles, pii, piece_lattice, secrets, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -67,3 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pieces, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_pii, op6_secrets, op7_warc, op8_toxicity, op9_token_counts, op10_html_text)
 }
+ORACLE_SQL = oracles.ORACLE_SQL
