@@ -787,3 +787,80 @@ def payload_probes(spark, d):
     e = X.table(spark, d, "events")
     p = F.to_json(F.struct(F.struct(F.col("event_type").alias("stdout")).alias("tool_response"), F.struct(F.concat(F.lit("/a/"), F.col("event_type")).alias("file_path")).alias("tool_input")))
     return e.select(F.col("event_id").alias("id"), p.alias("p")).select("id", T.tool_output(F.col("p")).alias("output"), T.tool_file_path(F.col("p")).alias("path"))
+
+
+# --- imports, telemetry windows, texts -----------------------------------------
+
+
+@query("select session_id, row_number() over (partition by session_id order by turn)-1 as pos, case when role in ('user','assistant') then role else 'system' end as role, sha256(content) as content_sha from messages where content<>''", ("messages",))
+def import_messages_json(spark, d):
+    """One export file a conversation, written and read as JSON text."""
+    from loomstore.sources import imports
+
+    m = X.messages(spark, d)
+    sender = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", sender.alias("sender"), F.col("content").alias("text")))), lambda x: F.struct(x["sender"].alias("sender"), x["text"].alias("text")))
+    files = m.groupBy("session_id").agg(F.to_json(F.struct(F.col("session_id").cast("string").alias("uuid"), rows.alias("chat_messages"))).alias("content")).select(F.col("session_id").cast("string").alias("path"), "content")
+    return imports.messages_json(files).select(F.col("path").cast("long").alias("session_id"), F.col("pos").cast("long").alias("pos"), "role", F.sha2("content", 256).alias("content_sha"))
+
+
+@query("select session_id, row_number() over (partition by session_id order by turn)-1 as pos, role, sha256(content) as content_sha from messages where content<>'' and role in ('user','assistant')", ("messages",))
+def import_session_jsonl(spark, d):
+    from loomstore.sources import imports
+
+    m = X.messages(spark, d)
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("content")).alias("message")))
+    files = m.groupBy(F.col("session_id").cast("string").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    return imports.session_jsonl(files).select(F.col("path").cast("long").alias("session_id"), F.col("pos").cast("long").alias("pos"), "role", F.sha2("content", 256).alias("content_sha"))
+
+
+@query("select session_id, sha256(string_agg('['||role||']: '||content, chr(10)||chr(10) order by turn)) as text_sha from messages where role<>'system' and content<>'' group by session_id", ("messages",))
+def exchanges_as_text(spark, d):
+    from loomstore.sources import imports
+
+    m = X.messages(spark, d).filter("content != ''").select(F.col("session_id").cast("string").alias("path"), F.col("turn").alias("pos"), "role", "content")
+    return imports.as_text(m).select(F.col("path").cast("long").alias("session_id"), F.sha2("text", 256).alias("text_sha"))
+
+
+@query("select cast(floor(epoch(ts)/300) as bigint)*300 as start_s, event_type as event, count(*) as n, count(*) filter (event_type='error') as errors, round(avg(floor(value*10)),6) as avg_ms from events group by 1,2")
+def telemetry_windows(spark, d):
+    """Tumbling windows of five minutes; the same expression runs on the stream."""
+    from loomstore.streaming import hooks
+
+    e = X.hook_events(spark, d)
+    start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', window.start)")
+    return hooks.telemetry(e).select(start.alias("start_s"), "event", "n", "errors", r6("avg_ms"))
+
+
+@query("select id, sha256(case when strlen(summary)<=500 then summary else 'cut' end) as head_sha, topic||' '||summary = topic||' '||summary as same, 'ns:'||topic as label from memories", M)
+def text_helpers(spark, d):
+    m = X.memories(spark, d)
+    head = T.head_bytes(F.col("summary"), 500)
+    short = F.when(F.octet_length("summary") <= 500, head).otherwise(F.when((F.octet_length(head) <= 500) & (F.octet_length(head) > 496) & F.startswith("summary", head), "cut"))
+    label = P.format_labels(F.array(P.parse_label(F.concat(F.lit("ns:"), F.col("topic")))))
+    return m.select("id", F.sha2(short, 256).alias("head_sha"), (T.embed_text(F.col("topic"), F.col("summary")) == F.concat(F.col("topic"), F.lit(" "), F.col("summary"))).alias("same"), label.alias("label"))
+
+
+@query("select cast(count(*) as bigint) as topics, cast(sum(n) as bigint) as entries, round(avg(w),6) as mean_of_means from (select topic, count(*) as n, avg(weight) as w from memories group by topic)", M)
+def health_totals(spark, d):
+    h = lifecycle.health(X.memories(spark, d), now())
+    return h.agg(F.count("*").alias("topics"), F.sum("entries").alias("entries"), F.round(F.avg("avg_weight"), 6).alias("mean_of_means"))
+
+
+@query("select session_id, min(k) as k from (select session_id, case when contains(lower(content),'the') then 1 else 2 end as k from messages) group by session_id", ("messages",))
+def answer_scores(spark, d):
+    """The best class of a session's answers: with the expected word or without."""
+    k = F.when(F.lower("content").contains("the"), 1).otherwise(2)
+    return X.messages(spark, d).groupBy("session_id").agg(F.min(k).alias("k"))
+
+
+@query("select topic, id from (select topic, id, row_number() over (partition by topic order by weight desc, id) as rn from memories) where rn<=3", M)
+def top3_per_topic(spark, d):
+    w = Window.partitionBy("topic").orderBy(F.desc("weight"), "id")
+    return X.memories(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("topic", "id")
+
+
+@query("select id, topic, row_number() over (order by weight desc, id) as rn from memories order by weight desc, id limit 20 offset 40", M)
+def memories_page(spark, d):
+    page = X.memories(spark, d).orderBy(F.desc("weight"), "id").offset(40).limit(20)
+    return page.withColumn("rn", (F.row_number().over(Window.orderBy(F.desc("weight"), "id")) + 40).cast("long")).select("id", "topic", "rn")
