@@ -178,8 +178,8 @@ class MemoryEngine:
 
     def patterns(self, topic: str, min_size: int = 3) -> DataFrame:
         m = self.memories.filter(F.col("topic") == topic)
-        numbered = m.withColumn("key", F.xxhash64("id")).select("topic", F.col("key").alias("id"), "weight", "keywords")
-        return graph.pattern_concepts(graph.pattern_clusters(numbered, 0.5, max(2, min(min_size, 50))))
+        numbered = m.withColumn("key", F.xxhash64("id")).select("topic", F.col("key").alias("id"), "weight", "keywords", "summary")
+        return graph.pattern_concepts(graph.pattern_clusters(numbered, 0.5, max(2, min(min_size, 50))), numbered)
 
     # --- concept graphs -----------------------------------------------------
 

@@ -86,16 +86,22 @@ def category(topic: Column, summary: Column) -> Column:
     )
 
 
+# Labels of a topic's health, and colours of confidence.
+ATTENTION, CONSOLIDATE, STALE, HEALTHY = "!! NEEDS ATTENTION", "!  consolidate", "-  has stale entries", "ok healthy"
+COLOURS = ((0.8, "#4CAF50"), (0.5, "#FFC107"), (0.3, "#FF9800"), (float("-inf"), "#F44336"))
+
+
 def health_status(needs_consolidation: Column, stale: Column) -> Column:
-    return F.when(needs_consolidation & (stale > 0), "needs consolidation and has stale entries").when(needs_consolidation, "needs consolidation").when(stale > 0, "has stale entries").otherwise("healthy")
+    return F.when(needs_consolidation & (stale > 0), ATTENTION).when(needs_consolidation, CONSOLIDATE).when(stale > 0, STALE).otherwise(HEALTHY)
 
 
 def confidence_colour(c: Column) -> Column:
-    return F.when(c >= 0.8, "green").when(c >= 0.5, "yellow").when(c >= 0.3, "orange").otherwise("red")
+    (a, x), (b, y), (d, z), (_, rest) = COLOURS
+    return F.when(c >= a, x).when(c >= b, y).when(c >= d, z).otherwise(rest)
 
 
 def confidence_bar(c: Column) -> Column:
-    n = F.round(c * 5).cast("int")
+    n = F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 5).cast("int")
     return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("."), 5 - n))
 
 

@@ -168,16 +168,17 @@ def pattern_clusters(df: DataFrame, threshold: float = 0.5, min_size: int = 3) -
     return out.filter(F.col("size") >= min_size)
 
 
-def pattern_concepts(clusters: DataFrame) -> DataFrame:
-    """Concepts from clusters: name of the first three keywords, confidence by size, at most five labels."""
+def pattern_concepts(clusters: DataFrame, df: DataFrame) -> DataFrame:
+    """Concepts from clusters: name of the first three keywords, the representative's summary, confidence by size, at most five labels."""
     kw = F.col("keywords")
-    return clusters.select(
+    rep = df.select(F.col("id").alias("representative"), "summary")
+    return clusters.join(rep, "representative").select(
         "topic",
         "cluster",
         F.array_join(F.slice(kw, 1, 3), "-").alias("name"),
-        F.concat(F.lit("Pattern of "), F.col("size").cast("string"), F.lit(" memories on: "), F.array_join(kw, ", ")).alias("definition"),
+        F.concat("summary", F.lit(" (pattern detected across "), F.col("size").cast("string"), F.lit(" memories)")).alias("definition"),
         F.least(F.lit(0.5) + F.col("size") * 0.05, F.lit(0.9)).alias("confidence"),
-        F.transform(F.slice(kw, 1, 5), lambda k: F.struct(F.lit("keyword").alias("namespace"), k.alias("value"))).alias("labels"),
+        F.transform(F.slice(kw, 1, 5), lambda k: F.struct(F.lit("pattern").alias("namespace"), k.alias("value"))).alias("labels"),
     )
 
 

@@ -68,7 +68,7 @@ def topic_health(spark, d):
     return lifecycle.health(X.memories(spark, d), now()).select("topic", "entries", r6("avg_weight"), r6("avg_access"), secs("last_accessed", "accessed_s"), "stale", "needs_consolidation")
 
 
-@query("select case when needs and stale>0 then 'needs consolidation and has stale entries' when needs then 'needs consolidation' when stale>0 then 'has stale entries' else 'healthy' end as status, count(*) as topics, cast(sum(n) as bigint) as entries from (select topic, count(*) as n, count(*)>5 as needs, count(*) filter (weight<0.5 and %d-accessed_s>14*86400) as stale from memories group by topic) group by 1" % NOW_S, M)
+@query("select case when needs and stale>0 then '!! NEEDS ATTENTION' when needs then '!  consolidate' when stale>0 then '-  has stale entries' else 'ok healthy' end as status, count(*) as topics, cast(sum(n) as bigint) as entries from (select topic, count(*) as n, count(*)>5 as needs, count(*) filter (weight<0.5 and %d-accessed_s>14*86400) as stale from memories group by topic) group by 1" % NOW_S, M)
 def health_summary(spark, d):
     h = lifecycle.health(X.memories(spark, d), now())
     return h.groupBy(P.health_status(F.col("needs_consolidation"), F.col("stale")).alias("status")).agg(F.count("*").alias("topics"), F.sum("entries").alias("entries"))
@@ -143,7 +143,7 @@ def category_case(spark, d):
     return X.memories(spark, d).groupBy(P.category(F.col("topic"), F.col("summary")).alias("category"), "importance").agg(F.count("*").alias("n"))
 
 
-@query("select memoir_id, case when confidence>=0.8 then 'green' when confidence>=0.5 then 'yellow' when confidence>=0.3 then 'orange' else 'red' end as colour, repeat('#',cast(round(confidence*5) as int))||repeat('.',5-cast(round(confidence*5) as int)) as bar, count(*) as n from concepts group by all", ("concepts",))
+@query("select memoir_id, case when confidence>=0.8 then '#4CAF50' when confidence>=0.5 then '#FFC107' when confidence>=0.3 then '#FF9800' else '#F44336' end as colour, repeat('#',cast(round(confidence*5) as int))||repeat('.',5-cast(round(confidence*5) as int)) as bar, count(*) as n from concepts group by all", ("concepts",))
 def confidence_buckets(spark, d):
     c = F.col("confidence")
     return X.concepts(spark, d).groupBy("memoir_id", P.confidence_colour(c).alias("colour"), P.confidence_bar(c).alias("bar")).agg(F.count("*").alias("n"))
@@ -410,10 +410,10 @@ ORACLE_SQL["pattern_clusters"] = _with(M, _CLUSTER, "select topic, cluster, coun
 
 @query()
 def pattern_concepts(spark, d):
-    return graph.pattern_concepts(graph.pattern_clusters(X.memories(spark, d), 0.45, 3)).select("topic", "cluster", "name", r6("confidence"), F.size("labels").cast("long").alias("labels"))
+    return graph.pattern_concepts(graph.pattern_clusters(X.memories(spark, d), 0.45, 3), X.memories(spark, d)).select("topic", "cluster", "name", F.sha2("definition", 256).alias("definition_sha"), r6("confidence"), F.size("labels").cast("long").alias("labels"))
 
 
-ORACLE_SQL["pattern_concepts"] = _with(M, _CLUSTER, "select topic, cluster, array_to_string(list_sort(list_distinct(flatten(list(kws))))[1:3],'-') as name, round(least(0.5::double+count(*)*0.05::double,0.9::double),6) as confidence, least(len(list_distinct(flatten(list(kws)))),5)::bigint as labels from mem group by topic, cluster having count(*)>=3")
+ORACLE_SQL["pattern_concepts"] = _with(M, _CLUSTER, "select c.topic, cluster, name, sha256(m.summary||' (pattern detected across '||n||' memories)') as definition_sha, confidence, labels from (select topic, cluster, count(*) as n, arg_max(id, weight*1000000000-id) as rep, array_to_string(list_sort(list_distinct(flatten(list(kws))))[1:3],'-') as name, round(least(0.5::double+count(*)*0.05::double,0.9::double),6) as confidence, least(len(list_distinct(flatten(list(kws)))),5)::bigint as labels from mem group by topic, cluster having count(*)>=3) c join memories m on m.id=rep")
 
 
 @query("select coalesce(keywords[1], topic||'-'||id) as name, count(*) as revision, round(least(0.5::double+0.1::double*(count(*)-1),1),6) as confidence, sha256(string_agg(summary, chr(10)||'---'||chr(10) order by weight desc, id)) as definition_sha from memories where topic='errors-resolved' group by 1", M)

@@ -64,7 +64,7 @@ def test_sanitiser(query, words):
     assert T.sanitise(query) == words
 
 
-MATCHES = [("decisions-icm-core", "icm", True), ("icmp-notes", "icm", False), ("decisions-icm-core", "icm-core", True), ("preferences", "x", True), ("a/b:c", "B", True), ("a", None, True), ("a", "", True), ("a", "--", True), ("user-anna", "q", True)]
+MATCHES = [("decisions-app-core", "app", True), ("apple-notes", "app", False), ("decisions-app-core", "app-core", True), ("preferences", "x", True), ("a/b:c", "B", True), ("a", None, True), ("a", "", True), ("a", "--", True), ("user-anna", "q", True)]
 
 
 def test_project_segments(spark):
