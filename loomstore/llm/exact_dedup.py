@@ -28,8 +28,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fresh_path, keep, lower_ascii, small_batches
+from .common import counted_broadcast, fresh_path, keep, lower_ascii, small_batches
 
 RUN_SCHEMA = "digest string, best long, n long, run string"
 
@@ -127,12 +128,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = index.table()
     found = keep(ids.join(groups, "digest"), "groups")
 
-    # the byte check: hits and kept rows of groups with copies; a kept row goes to each salt of its group
+    # the byte check: of texts that have copies, hits meet the kept row, which goes to each salt of its group. Who has
+    # copies is a few numbers a row: up to a counted bound these go to the texts, and only texts with copies move
     many = found.filter("n > 1")
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
-    roles = many.withColumn("salt", F.when(F.col("id") == F.col("keep_id"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), salts).cast("int"))))
-    texts = rows.join(roles.select("id", "digest", "keep_id", "salt"), "id").select("id", "digest", "keep_id", F.explode("salt").alias("salt"), "norm")
-    hits = texts.filter("id != keep_id").alias("h").join(texts.filter("id = keep_id").select("digest", "salt", F.col("norm").alias("kept_norm")).alias("k"), ["digest", "salt"])
+    roles = many.withColumn("salt", F.when(F.col("id") == F.col("keep_id"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), salts).cast("int")))).select("id", "digest", "keep_id", "salt")
+    texts = rows.join(counted_broadcast(roles), "id").select("id", "digest", "keep_id", F.explode("salt").alias("salt"), "norm")
+    first = Window.partitionBy("digest", "salt").orderBy(F.desc(F.col("id") == F.col("keep_id")))
+    hits = texts.withColumn("kept_norm", F.first("norm").over(first)).filter("id != keep_id")
     differ = keep(hits.filter("norm != kept_norm").select("id", "digest", "norm"), "collisions")
     plain = found.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
     if differ.isEmpty():
