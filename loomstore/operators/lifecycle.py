@@ -29,18 +29,23 @@ def merge_rows(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Insert-or-merge of rows in order of ``seq``: one row for each topic (any case) and content hash.
 
     The first id and topic stay, importance never falls, keywords are joined in order, the last raw
-    excerpt wins. Hot keys cost one partial row a task before the shuffle, but for the keyword lists.
+    excerpt wins. A hot key costs a row a task before the shuffle: keywords are reduced to their first
+    places before any list of them is made.
     """
+    key = ["_key", "summary_hash"]
     hashed = df.withColumn("summary_hash", summary_hash(F.col("topic"), F.col("summary"))).withColumn("_key", F.lower("topic"))
-    return hashed.groupBy("_key", "summary_hash").agg(
+    rows = hashed.groupBy(*key).agg(
         F.min_by("id", seq).alias("id"),
         F.min_by("topic", seq).alias("topic"),
         F.min_by("summary", seq).alias("summary"),
         importance_of_rank(F.max(importance_rank(F.col("importance")))).alias("importance"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(seq, "keywords"))), lambda x: x["keywords"]))).alias("keywords"),
         F.max_by("raw_excerpt", F.when(F.col("raw_excerpt").isNotNull(), F.col(seq))).alias("raw_excerpt"),
         F.count("*").alias("merged"),
-    ).drop("_key")
+    )
+    firsts = hashed.select(*key, F.col(seq).alias("s"), F.posexplode("keywords").alias("p", "kw")).groupBy(*key, "kw").agg(F.min(F.struct("s", "p")).alias("at"))
+    words = firsts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "kw"))), lambda x: x["kw"]).alias("keywords"))
+    none = F.array().cast("array<string>")
+    return rows.join(words, key, "left").select("id", "topic", "summary", "summary_hash", "importance", F.coalesce("keywords", none).alias("keywords"), "raw_excerpt", "merged")
 
 
 def decay_factor(factor: float) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from loomstore.functions.text import query_terms, tokens
 from loomstore.functions.vectors import cosine, literal
+from loomstore.plans.shared import counted_broadcast, keep
 from loomstore.schemas import MAX_HYBRID, MAX_KEYWORDS, MAX_LIMIT
 
 K1, B = 1.2, 0.75
@@ -129,18 +130,21 @@ def hybrid(df: DataFrame, query: str, vector: list[float], limit: int = 10, cols
     return topk(both, limit, F.desc("score"), F.asc("id"))
 
 
-def match_batch(queries: DataFrame, df: DataFrame, text: str = "summary", max_terms: int = 2_000_000) -> DataFrame:
+def match_batch(queries: DataFrame, df: DataFrame, text: str = "summary") -> DataFrame:
     """(query_id, id): rows that hold all terms of a query, for many queries at once.
 
-    Postings are cut down to the queries' terms by a hash join before they are grouped; the term
-    side is broadcast only if its counted size allows.
+    Of each query only the rarest term (by counted rows) looks for candidates, so common words bring nothing
+    together; a candidate is then tested for all terms.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    side = F.broadcast(terms) if terms.count() <= max_terms else terms
+    terms = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
+    each = terms.select("query_id", F.explode("terms").alias("term"))
     post = df.select("id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    hits = post.join(side, "term").groupBy("query_id", "id").agg(F.count("*").alias("got"))
-    return hits.join(need, "query_id").filter("got = need").select("query_id", "id")
+    counts = post.join(counted_broadcast(each.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    # a term that no row holds has no count: its query matches nothing
+    rare = each.join(counts, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m")).filter("m.n > 0").select("query_id", F.col("m.term").alias("term"))
+    candidates = keep(post.join(counted_broadcast(rare), "term").select("query_id", "id"), "candidates")
+    tested = df.select("id", tokens(F.col(text)).alias("toks")).join(counted_broadcast(candidates), "id").join(counted_broadcast(terms), "query_id")
+    return tested.filter(F.size(F.array_except("terms", "toks")) == 0).select("query_id", "id")
 
 
 def find_similar(df: DataFrame, vector: list[float], topic: str, threshold: float) -> DataFrame:

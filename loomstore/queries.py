@@ -221,6 +221,22 @@ ORACLE_SQL["transcript_search"] = _with(("messages", "sessions"), _bm25_sql("mes
 
 COS = "list_cosine_similarity(embedding::double[], {})"
 
+@query()
+def bm25_boosted(spark, d):
+    """Any term counts, terms of the summary twice."""
+    return search.topk(search.bm25(X.memories(spark, d), ["decisions", "the", "src1"], ("topic", "summary"), boosts={"summary": 2}).select("id", r6("score")), 100, F.desc("score"), F.asc("id"))
+
+
+def _boosted_sql() -> str:
+    terms = ["decisions", "the", "src1"]
+    tf = ", ".join(f"len(list_filter(a, lambda x: x='{t}'))+2*len(list_filter(b, lambda x: x='{t}')) as tf{i}" for i, t in enumerate(terms))
+    sql = _bm25_sql("memories", "summary", terms, "or")
+    head, tail = sql.split(", st as (", 1)
+    return f"tk as (select id, {TOK.format('topic')} as a, {TOK.format('summary')} as b from memories), c as (select id, len(a)+len(b) as dl, {tf} from tk), st as (" + tail
+
+
+ORACLE_SQL["bm25_boosted"] = _with(M, _boosted_sql(), "select id, round(score,6) as score from bm order by round(score,6) desc, id limit 100")
+
 # --- vectors -----------------------------------------------------------------
 
 
