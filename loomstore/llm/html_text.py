@@ -4,8 +4,8 @@ A page is cut into words and tags. Words score +1, tags score minus their weight
 inside elements that are never an article's text (menus, page headers, footers, sidebars, forms,
 adverts, notices, reader comments) score minus; one linear scan finds the contiguous region with the largest
 sum. Weights come from labelled pages: pages that mark their article or main element, which
-say how often each tag stands inside and outside of it. They are counted over at most
-``sample`` pages, those with the smallest hashes of their ids (a bounded sample of labelled
+say how often each tag stands inside and outside of it. They are counted over about
+``sample`` pages at most, drawn by a hash of their ids (a bounded sample of labelled
 rows); without labelled pages the default weights hold.
 
 Where the region lies in an article or main element, it is widened to that element (short
@@ -173,10 +173,11 @@ def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
 
 
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 2000) -> dict[str, float]:
-    """Weights of tags from at most ``sample`` labelled pages."""
+    """Weights of tags from about ``sample`` labelled pages at most."""
     html = F.lower(F.coalesce(F.col(html_col), F.lit("")))
     labelled = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).filter(F.contains(html, F.lit("<article")) | F.contains(html, F.lit("<main")))
-    some = labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    share = min(1.0, sample / max(1, labelled.count()))
+    some = labelled.filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def fn(b):
         n: dict[str, list[int]] = {}
