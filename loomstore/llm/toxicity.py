@@ -13,7 +13,7 @@ per root of the length. A logistic function of these three, fitted on labelled t
 the models haven't seen, gives the score.
 
 All labelled rows that may be learned from are used: four in five for the counts, the
-rest (at most ``CALIBRATION_ROWS``, by hash) for the three coefficients. What reaches the scoring tasks is
+rest (about ``CALIBRATION_ROWS`` of them at most, by hash) for the three coefficients. What reaches the scoring tasks is
 a table of fixed size: ratios by 2**BUCKET_BITS hash buckets of six characters, and of
 their first five for what was never seen after these.
 
@@ -33,14 +33,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_arrow, only
+from .common import counted_broadcast, keep, map_arrow, only
 
 ORDER = 6
 DISCOUNT = 0.75
 FLOOR = 4.0
 BUCKET_BITS = 21
 CALIBRATION_ROWS = 20_000
-BROADCAST_LABELS = 1_000_000
 ALPHABET = 200
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -232,14 +231,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(id_col, F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (c % 3 != 1)).withColumn("calibrate", F.floor(c / 3) % 5 == 0)
     known = keep(known, "labels")
     # a label is a dozen bytes: up to a counted bound they go to the texts, beyond it both sides are shuffled
-    side = F.broadcast if known.count() <= BROADCAST_LABELS else (lambda df: df)
-    train = docs.select(id_col, F.col(text_col).alias("text")).join(side(known.filter("not calibrate")), id_col).select("text", "toxic")
+    train = docs.select(id_col, F.col(text_col).alias("text")).join(counted_broadcast(known.filter("not calibrate")), id_col).select("text", "toxic")
     ratios = fit_ratios(train)
     if ratios is None:
         scored = docs.select(id_col, F.lit(0.0).alias("score"))
     else:
         feats = keep(features(docs, ratios, id_col, text_col), "features")
-        seen = feats.join(side(known.filter("calibrate")), id_col).orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS).select("f1", "f2", "f3", "toxic").toPandas()
+        check = known.filter("calibrate")
+        share = min(1.0, CALIBRATION_ROWS / max(1, check.count()))
+        some = check.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+        seen = feats.join(counted_broadcast(some), id_col).orderBy(id_col).select("f1", "f2", "f3", "toxic").toPandas()
         if seen["toxic"].nunique() == 2:
             w = [float(v) for v in fit_logistic(seen[["f1", "f2", "f3"]].to_numpy(float), seen["toxic"].to_numpy(float))]
         else:
