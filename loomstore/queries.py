@@ -395,11 +395,11 @@ def auto_consolidate_top3(spark, d):
     return lifecycle.auto_consolidate(X.memories(spark, d)).select("topic", "n", F.sha2("summary", 256).alias("summary_sha"), F.size("keywords").cast("long").alias("keywords"))
 
 
-@query("select id, list_sort(list_distinct(list_concat(related_ids, coalesce(back,[])))) as related from memories left join (select dst as id, list(src) as back from (select id as src, unnest(related_ids) as dst from memories) group by dst) using (id)", M)
+@query("select id, array_to_string(list_sort(list_distinct(list_concat(related_ids, coalesce(back,[])))), ',') as related from memories left join (select dst as id, list(src) as back from (select id as src, unnest(related_ids) as dst from memories) group by dst) using (id)", M)
 def backrefs(spark, d):
     m = X.memories(spark, d)
     links = m.select(F.col("id").alias("src"), F.explode("related_ids").alias("dst"))
-    return lifecycle.backrefs(m, links).select("id", F.array_sort("related_ids").alias("related"))
+    return lifecycle.backrefs(m, links).select("id", F.array_join(F.array_sort("related_ids"), ",").alias("related"))
 
 
 # --- patterns ----------------------------------------------------------------
@@ -732,12 +732,12 @@ def split_sentences(spark, d):
 
 @query()
 def extract_facts(spark, d):
-    return extract.extract_facts(X.memories(spark, d))
+    return extract.extract_facts(X.memories(spark, d)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query()
 def entity_detect(spark, d):
-    return X.messages(spark, d).select("id", extract.entities(F.col("content")).alias("entities"))
+    return X.messages(spark, d).select("id", F.array_join(extract.entities(F.col("content")), ",").alias("entities"))
 
 
 @query("select id, kind, round(margin,6) as margin from (select v.id, arg_max(kind, case when kind is not null then sim*1e6 end) as kind, max(case when kind is not null then sim end)-max(case when kind is null then sim end) as margin from (select v.id, a.kind, list_cosine_similarity(v.embedding::double[],a.embedding::double[]) as sim from vectors v, (select case when id%3<>0 then 'k'||id end as kind, embedding from vectors where id<15) a) v group by v.id) where margin>=0.025", ("vectors",))
