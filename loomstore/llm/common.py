@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.plans.shared import fresh_path, keep, shared_dir
+from loomstore.plans.shared import counted_broadcast, fresh_path, keep, shared_dir
 
 __all__ = ["counted_broadcast", "fresh_path", "keep", "lower_ascii", "map_arrow", "shared_dir", "only", "small_batches", "table"]
 
@@ -24,15 +24,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
 
 
-#: Rows of a few numbers that may be sent to all tasks: some 50 MB at most.
-BROADCAST_ROWS = 200_000
-
-
-def counted_broadcast(df: DataFrame) -> DataFrame:
-    """``df`` to be joined by broadcast if it has at most BROADCAST_ROWS rows (narrow ones), else by shuffling both sides."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch holds, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -98,18 +98,31 @@ def segments(max_diff: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(fps: DataFrame, max_diff: int) -> DataFrame:
-    """(key, fp): a row for each wildcard place. The key holds the place and the segment without that bit."""
+def variants(fps: DataFrame, max_diff: int, refine: bool = False) -> DataFrame:
+    """(key, fp): a row for each wildcard place. The key holds the place and the segment without that bit.
+
+    With ``refine`` the bits outside of the segment are cut into max_diff + 1 blocks, of which one must be equal, and the key
+    (hashed) holds one of these too: that many times more rows, and some 80 times fewer chance meetings.
+    """
     place = F.col("place")
     seg = masks = F.lit(None).cast("long")
+    blocks = F.lit(None).cast("array<long>")
     for start, width in segments(max_diff):
         inside = place.between(start, start + width - 1)
         masks = F.when(inside, F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1))).otherwise(masks)
         seg = F.when(inside, F.lit(start)).otherwise(seg)
+        below = F.col("fp").bitwiseAND(F.lit((1 << start) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("fp", start + width), start) if start + width < 64 else F.lit(0).cast("long")
+        cuts = [round(i * (64 - width) / (max_diff + 1)) for i in range(max_diff + 2)]
+        parts = [F.shiftrightunsigned(below.bitwiseOR(above), x).bitwiseAND(F.lit((1 << (y - x)) - 1)).cast("long") for x, y in zip(cuts, cuts[1:], strict=False)]
+        blocks = F.when(inside, F.array(*parts)).otherwise(blocks)
     bit = F.expr("shiftleft(1L, cast(place - first as int))")
     rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place"))
-    rows = rows.select("fp", "place", masks.alias("value"), seg.alias("first"))
-    return rows.select((F.shiftleft(place.cast("long"), 56) + F.col("value").bitwiseAND(F.bitwise_not(bit))).alias("key"), "fp")
+    rows = rows.select("fp", "place", masks.alias("value"), seg.alias("first"), *([blocks.alias("blocks")] if refine else []))
+    key = F.shiftleft(place.cast("long"), 56) + F.col("value").bitwiseAND(F.bitwise_not(bit))
+    if not refine:
+        return rows.select(key.alias("key"), "fp")
+    return rows.select("fp", key.alias("key"), F.posexplode("blocks").alias("b", "v")).select(F.xxhash64("key", "b", "v").alias("key"), "fp")
 
 
 def _walk(f: np.ndarray, max_diff: int) -> Iterator[tuple[int, int]]:
@@ -186,10 +199,10 @@ def _links(max_diff: int, block: int, defer: bool):
 LINKS = "key long, part int, a long, b long"
 
 
-def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 100_000) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 100_000, refine: bool = False) -> DataFrame:
     """(a, b): edges over distinct fingerprints with the same components as all links of at most max_diff bits."""
     spark = fps.sparkSession
-    keyed = variants(fps.select("fp").distinct(), max_diff).repartition("key").sortWithinPartitions("key")
+    keyed = variants(fps.select("fp").distinct(), max_diff, refine).repartition("key").sortWithinPartitions("key")
     small_batches(spark, 100_000)
     first = keep(keyed.mapInArrow(_links(max_diff, block, True), LINKS), "links")
     edges = first.filter("part = -1").select("a", "b")
@@ -204,10 +217,10 @@ def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 100_000) -
     return edges.union(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4, block: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4, block: int = 100_000, refine: bool = False) -> DataFrame:
     """id_col, fingerprint (16 hexadecimal digits), component_id (smallest id reachable over links)."""
     fps = keep(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = connected_components(fingerprint_links(fps, max_diff, block))
+    classes = connected_components(fingerprint_links(fps, max_diff, block, refine))
     least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     least = least.join(classes.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
