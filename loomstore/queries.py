@@ -830,7 +830,7 @@ def import_session_jsonl(spark, d):
     return imports.session_jsonl(files).select(F.col("path").cast("long").alias("session_id"), F.col("pos").cast("long").alias("pos"), "role", F.sha2("content", 256).alias("content_sha"))
 
 
-@query("select session_id, sha256(string_agg('['||role||']: '||content, chr(10)||chr(10) order by turn)) as text_sha from messages where role<>'system' and content<>'' group by session_id", ("messages",))
+@query("select session_id, sha256(string_agg('['||role||']: '||content||chr(10), '' order by turn)) as text_sha from messages where role<>'system' and content<>'' group by session_id", ("messages",))
 def exchanges_as_text(spark, d):
     from loomstore.sources import imports
 

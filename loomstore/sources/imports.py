@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 FORMATS = ("messages_json", "mapping_json", "session_jsonl", "channel_json", "text")
 CHATS = "array<struct<uuid:string,chat_messages:array<struct<sender:string,text:string>>>>"
 MAPPING = "array<struct<mapping:map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>,create_time:double>>>>>"
-CHANNEL = "array<struct<user:string,text:string,ts:string,subtype:string,bot_id:string>>"
+CHANNEL = "array<struct<user:string,text:string,ts:string,subtype:string>>"
 EXTENSIONS = ("json", "jsonl", "txt", "md")
 SKIPPED = r"/(?:\.[^/]+|node_modules|__pycache__)/"
 
@@ -26,15 +26,16 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detect(path: Column, content: Column) -> Column:
+    """By extension first; JSON files by what their first 4 KB hold."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     head = F.substring(content, 1, 4096)
+    has = lambda w: F.contains(head, F.lit(w))
     return (
         F.when(ext == "jsonl", "session_jsonl")
-        .when(ext.isin("txt", "md"), "text")
-        .when(head.contains('"chat_messages"'), "messages_json")
-        .when(head.contains('"mapping"'), "mapping_json")
-        .when(head.contains('"ts"') | head.contains('"subtype"'), "channel_json")
-        .when(head.rlike(r'^\s*\{"(?:type|parentUuid)"'), "session_jsonl")
+        .when(ext != "json", "text")
+        .when(has("chat_messages") | (has('"uuid"') & has('"sender"')), "messages_json")
+        .when(has('"mapping"') & has('"conversation_id"'), "mapping_json")
+        .when(has('"messages"') & (has('"subtype"') | has('"client_msg_id"')), "channel_json")
         .otherwise("text")
     )
 
@@ -73,11 +74,10 @@ def session_jsonl(files: DataFrame) -> DataFrame:
 
 
 def channel_json(files: DataFrame) -> DataFrame:
-    """An array of messages, or an object with them under ``messages``; messages with a subtype are dropped."""
+    """An array of messages, or an object with them under ``messages``; messages with a subtype are dropped, all others are the user's."""
     inner = F.coalesce(F.get_json_object("content", "$.messages"), _as_array(F.col("content")))
     rows = files.select("path", F.posexplode(F.from_json(inner, CHANNEL)).alias("i", "m")).filter("coalesce(m.subtype, '') = ''")
-    role = F.when(F.col("m.bot_id").isNotNull(), "assistant").otherwise("user")
-    return _ranked(rows.select("path", "i", role.alias("role"), F.col("m.text").alias("content")), "i")
+    return _ranked(rows.select("path", "i", F.lit("user").alias("role"), F.col("m.text").alias("content")), "i")
 
 
 def text(files: DataFrame) -> DataFrame:
@@ -113,10 +113,10 @@ def exchanges(files: DataFrame, fmt: str | None = None) -> DataFrame:
 
 
 def as_text(exchanged: DataFrame) -> DataFrame:
-    """(path, text): turns with their speakers, without system turns."""
-    line = F.concat(F.lit("["), F.col("role"), F.lit("]: "), F.col("content"))
+    """(path, text): a line a turn with its speaker, without system turns."""
+    line = F.concat(F.lit("["), F.col("role"), F.lit("]: "), F.col("content"), F.lit("\n"))
     rows = exchanged.filter("role != 'system'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
-    return rows.select("path", F.array_join(F.transform("rows", lambda x: x["line"]), "\n\n").alias("text"))
+    return rows.select("path", F.array_join(F.transform("rows", lambda x: x["line"]), "").alias("text"))
 
 
 def import_memories(files: DataFrame, project: str, fmt: str | None = None) -> DataFrame:

@@ -143,7 +143,7 @@ def test_imports(spark, tmp_path):
     (tmp_path / "node_modules" / "x.json").write_text("{}")
     files = {
         "a.json": json.dumps([{"uuid": "u", "chat_messages": [{"sender": "human", "text": "hi"}, {"sender": "assistant", "text": "yo"}, {"sender": "human", "text": ""}]}]),
-        "b.json": json.dumps([{"mapping": {"n2": {"message": {"author": {"role": "assistant"}, "content": {"parts": ["two", "2"]}, "create_time": 2.0}}, "n1": {"message": {"author": {"role": "user"}, "content": {"parts": ["one"]}, "create_time": 1.0}}, "n0": {"message": None}}}]),
+        "b.json": json.dumps([{"conversation_id": "c", "mapping": {"n2": {"message": {"author": {"role": "assistant"}, "content": {"parts": ["two", "2"]}, "create_time": 2.0}}, "n1": {"message": {"author": {"role": "user"}, "content": {"parts": ["one"]}, "create_time": 1.0}}, "n0": {"message": None}}}]),
         "c.jsonl": '{"type":"user","message":{"content":"q"}}\nbroken\n{"type":"assistant","message":{"content":[{"type":"text","text":"r1"},{"type":"tool_use"},{"type":"text","text":"r2"}]}}\n{"type":"result"}',
         "d.json": json.dumps({"messages": [{"user": "U", "text": "hello", "ts": "1"}, {"user": "V", "text": "joined", "subtype": "channel_join", "ts": "2"}]}),
         "e.txt": "> ask 1\nanswer a\nanswer b\n> ask 2\n> ask 3\nend",
@@ -164,7 +164,7 @@ def test_imports(spark, tmp_path):
         "f.md": [("user", "just notes")],
     }
     text = imports.as_text(imports.exchanges(imports.read_files(spark, str(tmp_path)))).filter("path like '%a.json'").first().text
-    assert text == "[user]: hi\n\n[assistant]: yo"
+    assert text == "[user]: hi\n[assistant]: yo\n"
 
 
 def test_project_scan(spark, tmp_path):
