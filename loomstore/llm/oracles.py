@@ -5,12 +5,17 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 
 
-def _spans(kind: str, pattern: str, ok: str = "true") -> str:
-    """A list of {start, stop, value} of the matches: running sums over what lies between them and the matches."""
+def _cut(kind: str, pattern: str) -> str:
+    """The matches of a pattern and what lies between them, made once a text."""
     p = pattern.replace("'", "''")
+    return f"regexp_extract_all(t, '{p}') as m_{kind}, string_split_regex(t, '{p}') as g_{kind}"
+
+
+def _spans(kind: str, ok: str = "true") -> str:
+    """A list of {s, v}, start and value, of the matches: running sums over what lies between them and the matches."""
     return (
-        f"list_filter(list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{'s': length(array_to_string(list_concat(string_split_regex(t, '{p}')[1:i], regexp_extract_all(t, '{p}')[1:i-1]), '')), "
-        f"'v': regexp_extract_all(t, '{p}')[i]}}), lambda x: {ok}) as {kind}"
+        f"list_filter(list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': cast(list_sum(list_transform(g_{kind}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m_{kind}[1:i-1], lambda y: length(y))), 0) as bigint), "
+        f"'v': m_{kind}[i]}}), lambda x: {ok}) as {kind}"
     )
 
 
@@ -26,13 +31,21 @@ _NEAR = "regexp_matches(lower(substr(t, greatest(x.s-40,0)+1, x.s-greatest(x.s-4
 #: RE2 knows no look-around: what stands around a match is tested afterwards.
 _EDGE = "not regexp_matches(substr(t, x.s, 1), '{a}') and not regexp_matches(substr(t, x.s+length(x.v)+1, 1), '{a}')"
 
-PII = f"""with d as (select doc_id, coalesce(text,'') as t from documents), f as (select doc_id,
-{_spans("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")},
-{_spans("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "len(list_filter(string_split(x.v,'.'), lambda q: cast(q as hugeint)>255))=0")},
-{_spans("card", "[0-9](?: |-)?(?:[0-9](?: |-)?)*[0-9]", f"length({_DIGITS}) between 16 and 19 and {_LUHN}")},
-{_spans("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) between 8 and 15")},
-{_spans("iban", "[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9])+(?: ?[A-Z0-9]+)?", _EDGE.format(a="[A-Za-z0-9]") + f" and length({_IBAN}) between 12 and 35 and {_MOD97}")},
-{_spans("ssn", "[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", _EDGE.format(a="[0-9-]") + " and " + _NEAR)}
+_PII = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+",
+    "ip": "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+",
+    "card": "[0-9](?: |-)?(?:[0-9](?: |-)?)*[0-9]",
+    "phone": "[+][0-9][ ().0-9-]+[0-9]",
+    "iban": "[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9])+(?: ?[A-Z0-9]+)?",
+    "ssn": "[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]",
+}
+PII = f"""with d as (select doc_id, t, {", ".join(_cut(k, p) for k, p in _PII.items())} from (select doc_id, coalesce(text,'') as t from documents)), f as (select doc_id,
+{_spans("email")},
+{_spans("ip", "len(list_filter(string_split(x.v,'.'), lambda q: cast(q as hugeint)>255))=0")},
+{_spans("card", f"length({_DIGITS}) between 16 and 19 and {_LUHN}")},
+{_spans("phone", f"length({_DIGITS}) between 8 and 15")},
+{_spans("iban", _EDGE.format(a="[A-Za-z0-9]") + f" and length({_IBAN}) between 12 and 35 and {_MOD97}")},
+{_spans("ssn", _EDGE.format(a="[0-9-]") + " and " + _NEAR)}
 from d), b as (select *, list_concat(list_concat({_text("email")}, {_text("ip")}), list_concat({_text("card")}, {_text("phone")})) as base, list_concat({_text("iban")}, {_text("ssn")}) as more from f)
 select doc_id, cast(len(email) as bigint) as n_email, cast(len(ip) as bigint) as n_ip, cast(len(card) as bigint) as n_card, cast(len(phone) as bigint) as n_phone, sha256(array_to_string(base,',')) as base_sha256, array_to_string(list_concat(base,more),',') as spans, cast(len(iban) as bigint) as n_iban, cast(len(ssn) as bigint) as n_ssn from b"""
 
@@ -49,12 +62,14 @@ def _merged(kinds: list[str]) -> str:
 
 _ASSIGN = "(?:(?i:password|passwd|secret|token)|(?i:api_?key))[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9+/_.=-]+"
 _VALUE = "regexp_extract(x.v, '^[A-Za-z_]+[\"'']?[ ]*[:=][ ]*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)"
-SECRETS = f"""with d as (select doc_id, coalesce(text,'') as t from documents), f as (select doc_id,
-{_spans("assign", _ASSIGN, f"length({_VALUE})>=8")},
-{_spans("access", "AKIA[A-Z0-9]+", "length(x.v)>=16")},
-{_spans("hex", "[0-9a-f]+", "length(x.v)>=32")},
-{_spans("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----")},
-{_spans("prefixed", "gh[pousr]_[A-Za-z0-9]+|xox[abprs]-[A-Za-z0-9-]+", "case when starts_with(x.v,'gh') then length(x.v)>=40 else length(x.v)>=15 end")}
+#: Maximal runs of 32 hexadecimal digits or of AKIA and 12 more are what the open patterns leave.
+_SECRETS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}", "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "prefixed": "gh[pousr]_[A-Za-z0-9]+|xox[abprs]-[A-Za-z0-9-]+"}
+SECRETS = f"""with d as (select doc_id, t, {", ".join(_cut(k, p) for k, p in _SECRETS.items())} from (select doc_id, coalesce(text,'') as t from documents)), f as (select doc_id,
+{_spans("assign", f"length({_VALUE})>=8")},
+{_spans("access")},
+{_spans("hex")},
+{_spans("pem")},
+{_spans("prefixed", "case when starts_with(x.v,'gh') then length(x.v)>=40 else length(x.v)>=15 end")}
 from d) select doc_id, cast(len(assign) as bigint) as n_assign, cast(len(access) as bigint) as n_access, cast(len(hex) as bigint) as n_hex, sha256({_merged(["assign", "access", "hex"])}) as base_sha256, {_merged(["assign", "access", "hex", "pem", "prefixed"])} as spans from f"""
 
 EXACT = f"""with d as (select doc_id, translate(coalesce(text,''),'{UPPER}','{LOWER}') as t from documents where doc_id is not null)
