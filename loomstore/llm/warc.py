@@ -53,7 +53,9 @@ def base32_of_hex(hex40: Column) -> Column:
 def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: from ids and digests only."""
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    ids = keep(pages.select(F.col(id_col).alias("page_id"), F.octet_length(body).cast("long").alias("payload_bytes"), base32_of_hex(F.sha1(body)).alias("payload_digest")), "payloads")
+    # the digest stands in a column of its own: the 32 letters made of it must not each take it anew
+    hashed = pages.select(F.col(id_col).alias("page_id"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("hex"))
+    ids = keep(hashed.select("page_id", "payload_bytes", base32_of_hex(F.col("hex")).alias("payload_digest")), "payloads")
     first = ids.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
     return ids.join(first, ["payload_digest", "payload_bytes"], "left").select("page_id", "payload_bytes", "payload_digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
