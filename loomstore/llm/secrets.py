@@ -6,9 +6,9 @@ blobs whose (blob, rule_version) pair the ledger lacks, one copy of each, append
 finds (empty findings too, so that a clean blob isn't scanned again), and joins the
 findings back to all paths that hold the blob.
 
-One copy of a blob is its smallest path id: picking it needs ids and digests only, and
-the texts then move once, spread by id, so that a text with a third of all copies weighs
-on no task. Null counts as an empty text. Empty tables give empty results, extra columns
+One copy of a blob is its smallest path id: picking it needs ids and digests only. Texts of
+which a cheap hint speaks then move once, spread by id, so that a text with a third of all
+copies weighs on no task; all other texts stay where they are. Null counts as an empty text. Empty tables give empty results, extra columns
 are ignored, and repeated rows of one path are scanned once and reported once each.
 """
 
@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstore.functions.predicates import any_of
+from loomstore.plans.shared import BROADCAST_ROWS
+
 from .common import fresh_path, keep
 from .spans import spans
 
@@ -36,19 +39,24 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 LEDGER = "blob string, rule_version int, " + ", ".join(f"`{k}` {SPAN}" for k in KINDS)
 
 
+def hints(text: Column) -> dict[str, Column]:
+    """A cheap test for each kind that is true wherever its rule matches."""
+    return {
+        "assign": F.lower(text).rlike("passw|secret|token|api_?key"),
+        "access": F.contains(text, F.lit("AKIA")),
+        "hex": text.rlike(HEX),
+        "pem": F.contains(text, F.lit("PRIVATE KEY-----")),
+        "prefixed": text.rlike("gh[pousr]_|xox[abprs]-"),
+    }
+
+
 def scan_columns(text: Column) -> dict[str, Column]:
     """The span arrays of each kind. A run of 32 hexadecimal digits or of AKIA and 12 more
     is the leftmost match of the open pattern that is long enough: nothing else is dropped."""
-    lower = F.lower(text)
-    word = lower.rlike("passw|secret|token|api_?key")
     value_ok = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN_VALUE, 1)) >= 8
-    return {
-        "assign": F.filter(spans(text, ASSIGN, word), value_ok),
-        "access": spans(text, ACCESS, F.contains(text, F.lit("AKIA"))),
-        "hex": spans(text, HEX, text.rlike(HEX)),
-        "pem": spans(text, PEM, F.contains(text, F.lit("PRIVATE KEY-----"))),
-        "prefixed": spans(text, PREFIXED, text.rlike("gh[pousr]_|xox[abprs]-")),
-    }
+    rules = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "pem": PEM, "prefixed": PREFIXED}
+    found = {k: spans(text, rules[k], hint) for k, hint in hints(text).items()}
+    return found | {"assign": F.filter(found["assign"], value_ok)}
 
 
 class BlobLedger:
@@ -76,20 +84,25 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, id_col: str = "doc_i
     ledger = ledger or BlobLedger(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("path_id"), text.alias("text"))
-    paths = keep(rows.select("path_id", F.sha2("text", 256).alias("blob")), "paths")
-    todo = paths.groupBy("blob").agg(F.min("path_id").alias("path_id"))
+    # what no hint speaks of has no findings: its blob is entered as clean, and its text stays where it is
+    suspect = any_of(list(hints(F.col("text")).values()))
+    paths = keep(rows.select("path_id", F.sha2("text", 256).alias("blob"), suspect.alias("suspect")), "paths")
+    todo = paths.groupBy("blob").agg(F.min("path_id").alias("path_id"), F.max("suspect").alias("suspect"))
     if not ledger.empty:
         todo = todo.join(ledger.seen().select("blob"), "blob", "left_anti")
-    # repeated rows of one path: a path id may stand for several rows; a blob is scanned once
-    pick = todo.select(F.col("path_id").alias("pick_id"), "blob")
-    unseen = rows.join(pick, F.col("path_id").eqNullSafe(F.col("pick_id")))
+    todo = keep(todo, "unseen")
+    pick = todo.filter("suspect").select(F.col("path_id").alias("pick_id"), "blob")
+    # few suspects (counted) go to the texts; else suspicious texts are shuffled
+    few = pick.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    unseen = (rows if few else rows.filter(suspect)).join(F.broadcast(pick) if few else pick, F.col("path_id").eqNullSafe(F.col("pick_id")))
     if _repeats(paths):
         unseen = unseen.filter(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"])
     found = unseen.select("blob", F.lit(ledger.rule_version).alias("rule_version"), *[c.alias(k) for k, c in scan_columns(F.col("text")).items()])
-    ledger.append(found)
+    none = F.expr(f"cast(array() as {SPAN})")
+    clean = todo.filter("not suspect").select("blob", F.lit(ledger.rule_version).alias("rule_version"), *[none.alias(k) for k in KINDS])
+    ledger.append(found.unionByName(clean))
     # findings are few: blobs without any are left out of the join, so a hot clean blob is never dealt out
     hits = ledger.seen().filter(" or ".join(f"size(`{k}`) > 0" for k in KINDS)).drop("rule_version")
-    none = F.expr(f"cast(array() as {SPAN})")
     return paths.join(hits, "blob", "left").select(F.col("path_id").alias(id_col), "blob", *[F.coalesce(F.col(k), none).alias(k) for k in KINDS])
 
 
