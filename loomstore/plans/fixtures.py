@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstore.functions.text import tokens
+from loomstore.plans.shared import spread
 
 EPOCH = 1704067200  # 2024-01-01
 
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     i = F.col("doc_id")
     topic = F.when(i % 5 == 0, F.concat(F.lit("decisions-"), "source")).when(i % 5 == 1, "errors-resolved").when(i % 5 == 2, "preferences").when(i % 5 == 3, F.concat(F.lit("context-"), "source")).otherwise(F.col("source"))
     importance = F.when(i % 4 == 0, "critical").when(i % 4 == 1, "high").when(i % 4 == 2, "medium").otherwise("low")
@@ -41,7 +42,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     return c.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
         F.col("conv_id").alias("session_id"),

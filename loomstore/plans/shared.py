@@ -42,3 +42,9 @@ BROADCAST_ROWS = 200_000
 def counted_broadcast(df: DataFrame) -> DataFrame:
     """``df`` to be joined by broadcast if it has at most BROADCAST_ROWS rows (narrow ones), else by shuffling both sides."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores is dealt out to all cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
