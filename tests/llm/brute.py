@@ -34,7 +34,7 @@ def pii_base(text):
     num = lambda s: re.sub("[^0-9]", "", s)
     rules = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in s.split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(num(s)) <= 19 and luhn(num(s))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(num(s)) <= 15),
     )
