@@ -156,6 +156,16 @@ def test_whole_texts_n_best_and_library():
         assert all(m.decode(i.tolist()) == t.replace("▁", " ") for _, i in mine)
 
 
+def test_no_piece_is_cut_by_chunks():
+    path = queries.vocabulary("piece_bpe_32k.model")
+    m = piece_lattice.lattice(path)
+    assert [p for p in m.pieces if m.chunk(p) != [p] and p.strip("▁")] == []
+    for t in ("┌──────┐ a", "═══ b ═══", "x─══─", *m.pieces):
+        whole, mine = m.n_best(m.escape(t), 2), piece_lattice.encode_text(path, t, 2)
+        assert np.allclose([x for x, _ in mine], [x for x, _ in whole]), t
+        assert mine[0][1].tolist() == whole[0][1], t
+
+
 def test_smallest_sums():
     gaps = [[0.0, 1.0, 4.0], [0.0, 2.0], [0.0], [0.0, 0.5, 3.0]]
     want = sorted(sum(p) for p in itertools.product(*gaps))
