@@ -22,7 +22,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_lattice.encode_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), n=2)
+    return piece_lattice.encode_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), n=2, original=True)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,16 @@ def test_no_piece_is_cut_by_chunks():
         assert mine[0][1].tolist() == whole[0][1], t
 
 
+def test_round_trip_comes_from_decoding(spark, tmp_path):
+    texts = ["bars ▁▂▃ here", "a b", "", None, "né🎉 ──", "▁"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.round_trip for r in queries.op1_pieces(spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: True, 4: True, 5: False}
+    known = piece_lattice.memo(queries.vocabulary("piece_bpe_32k.model"), 2)
+    assert all(known.model.decode(np.frombuffer(b"".join(e[1] for e in known.whole(t)[1]), "<i4").tolist()) == t for t in ("a b", "né🎉 ──"))
+
+
 def test_smallest_sums():
     gaps = [[0.0, 1.0, 4.0], [0.0, 2.0], [0.0], [0.0, 0.5, 3.0]]
     want = sorted(sum(p) for p in itertools.product(*gaps))
