@@ -13,9 +13,9 @@ per root of the length. A logistic function of these three, fitted on labelled t
 the models haven't seen, gives the score.
 
 All labelled rows that may be learned from are used: four in five for the counts, the
-rest (about ``CALIBRATION_ROWS`` of them at most, by hash) for the three coefficients. What reaches the scoring tasks is
-a table of fixed size: ratios by 2**BUCKET_BITS hash buckets of six characters, and of
-their first five for what was never seen after these.
+rest (about ``CALIBRATION_ROWS`` of them at most, by hash) for the three coefficients. What reaches the scoring tasks are
+tables of all distinct grams of the training rows: the ratio of each six characters, and that of each
+five for what was never seen after these, found by 64-bit hashes. They grow with the grams, 12 bytes each.
 
 Null and empty texts have no words: their features are 0 and their score is what the logistic
 function gives for that. Without labelled toxic or ordinary rows all scores are 0. Labels repeated for
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +37,6 @@ from .common import counted_broadcast, keep, map_arrow, only
 ORDER = 6
 DISCOUNT = 0.75
 FLOOR = 4.0
-BUCKET_BITS = 21
 CALIBRATION_ROWS = 20_000
 ALPHABET = 200
 MEMO_WORDS = 400_000
@@ -49,8 +47,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & ((1 << BUCKET_BITS) - 1)
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    """As Spark's xxhash64, unsigned."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), 42) for g in grams], np.uint64)
 
 
 def gram_counts(train: DataFrame, flush_words: int = 300_000) -> DataFrame:
@@ -126,21 +127,37 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return p
 
 
+@dataclass
+class Table:
+    """Values by ascending hash."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """NaN for what the table doesn't hold."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+
+
 @dataclass
 class Ratios:
-    """Log-likelihood ratios by bucket: of grams, and of contexts for grams never seen after these."""
+    """Log-likelihood ratios of grams, and of contexts for grams never seen after these."""
 
-    gram: np.ndarray
-    context: np.ndarray
+    gram: Table
+    context: Table
 
     def word(self, w: str) -> float:
         s = f"^{w}$"
-        total = 0.0
-        for i in range(1, len(s)):
-            a = s[max(0, i - ORDER + 1) : i + 1]
-            r = self.gram[bucket(a)]
-            total += self.context[bucket(a[:-1])] if math.isnan(r) else r
-        return float(total)
+        grams = [s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))]
+        r = self.gram.get(gram_hashes(grams))
+        new = np.flatnonzero(np.isnan(r))
+        if len(new):
+            r[new] = np.nan_to_num(self.context.get(gram_hashes([grams[k][:-1] for k in new])))
+        return float(r.sum())
 
 
 def fit_ratios(train: DataFrame) -> Ratios | None:
@@ -157,16 +174,14 @@ def fit_ratios(train: DataFrame) -> Ratios | None:
     low = F.when(F.length("gram") > 1, F.expr("substring(gram, 2, length(gram) - 1)")).otherwise(F.col("gram"))
     full = grams.withColumn("ctx", ctx).join(contexts, "ctx").withColumn("low", low).join(p.withColumnRenamed("gram", "low"), "low", "left").withColumn("p", F.coalesce("p", F.lit(1.0 / ALPHABET)))
     ratio = F.log((own("toxic", "1") + mass("1") * F.col("p")) / (own("ordinary", "0") + mass("0") * F.col("p")))
-    hashed = lambda c: F.crc32(F.encode(F.col(c), "utf-8")).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("bucket")
-    weight = F.col("toxic") + F.col("ordinary")
-    by_gram = full.select(hashed("gram"), ratio.alias("r"), weight.alias("w")).groupBy("bucket").agg((F.sum(F.col("r") * F.col("w")) / F.sum("w")).cast("float").alias("r"))
-    by_context = contexts.select(hashed("ctx"), F.log(mass("1") / mass("0")).alias("r"), (F.col("n1") + F.col("n0")).alias("w")).groupBy("bucket").agg((F.sum(F.col("r") * F.col("w")) / F.sum("w")).cast("float").alias("r"))
+    by_gram = full.select(F.xxhash64("gram").alias("h"), ratio.cast("float").alias("r"))
+    by_context = contexts.select(F.xxhash64("ctx").alias("h"), F.log(mass("1") / mass("0")).cast("float").alias("r"))
     out = []
-    for df, empty in ((by_gram, np.nan), (by_context, 0.0)):
-        a = np.full(1 << BUCKET_BITS, empty, np.float32)
-        got = df.toArrow()  # at most 2**BUCKET_BITS rows of 12 bytes
-        a[got.column(0).to_numpy()] = got.column(1).to_numpy()
-        out.append(a)
+    for df in (by_gram, by_context):
+        got = df.toArrow()  # 12 bytes a distinct gram
+        keys = got.column(0).to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        out.append(Table(keys[by], got.column(1).to_numpy()[by]))
     return Ratios(*out)
 
 
