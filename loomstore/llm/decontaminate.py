@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Texts and items are reduced to templates: words in lower case, with typed placeholders for
-numbers, units after a number, and names (capitalised words within a sentence). Windows
+numbers, units after a number, and names (capitalised words within a sentence). A capitalised word that starts a
+sentence is read both as itself and as a name, unless it is a common word that is never capitalised within one;
+names are read as plain words too, so that texts in another case match. Windows
 of ``width`` template tokens of the items are hash-joined with those of the documents. Windows
 on one diagonal (document place less item place) form an alignment; in it the values behind the
 placeholders are compared: equal ones make an exact copy, a one-to-one renaming makes
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +42,23 @@ UNITS = frozenset(
 )
 # Number words.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
+# Words that start sentences and are no names.
+COMMON = frozenset(
+    "the an in on at of to for from by with as if is are was were be been do does did has have had can could will would shall should may might must not no yes and or but so then than "
+    "it its he she we you they his her our your their my this that these those there here what when where which who whom whose why how all any both each every few many more most much "
+    "some such one two three after before during while since until because although though however also only just now let given find suppose consider assume calculate compute determine "
+    "solve write show prove explain use note please first second next last finally later if about over under into out up down".split()
+)
 NUM, UNIT, NAME = "\x01n", "\x01u", "\x01p"
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|\d+")
 _END = re.compile(r"[.!?:;|\n\"“”]")
 MIN_LITERALS = 3
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """(template tokens, values): a value is the lower-case token itself."""
-    out, values = [], []
+def readings(text: str) -> tuple[list[str], list[str], list[int]]:
+    """(template tokens, values, places of words that start a sentence and may be names): a value is the lower-case token itself."""
+    out, values, maybe = [], [], []
+    names: set[str] = set()
     last = 0
     start = True
     number = False
@@ -59,15 +71,40 @@ def template(text: str) -> tuple[list[str], list[str]]:
             kind = NUM
         elif number and low in UNITS:
             kind = UNIT
-        elif not start and len(w) > 1 and w[0].isupper() and not w.isupper():
-            kind = NAME
+        elif len(w) > 1 and w[0].isupper() and not w.isupper():
+            if start:
+                kind = low
+                maybe.append(len(out))
+            else:
+                kind = NAME
+                names.add(low)
         else:
             kind = low
         number = kind is NUM
         out.append(kind)
         values.append(low)
         last, start = m.end(), False
-    return out, values
+    return out, values, [p for p in maybe if values[p] not in COMMON or values[p] in names]
+
+
+def template(text: str) -> tuple[list[str], list[str]]:
+    """(template tokens, values)."""
+    return readings(text)[:2]
+
+
+def window_readings(t: list[str], v: list[str], maybe: list[int], i: int, n: int) -> Iterator[list[str]]:
+    """The window of n tokens from i on: with each choice of names among ``maybe``, and with all names as plain words."""
+    w = t[i : i + n]
+    yield w
+    some = [p - i for p in maybe if i <= p < i + n]
+    for k in range(1, len(some) + 1):
+        for picks in combinations(some, k):
+            x = w.copy()
+            for p in picks:
+                x[p] = NAME
+            yield x
+    if NAME in w:
+        yield [b if a is NAME else a for a, b in zip(w, v[i : i + n], strict=True)]
 
 
 def _useful(window: list[str], width: int) -> bool:
@@ -79,29 +116,35 @@ class ItemTable:
     """Windows of some items, and the tests that let most documents pass at once."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, min_tokens: int):
-        self.items: dict[int, tuple[int, list[str], list[str]]] = {}
+        self.width = width
+        self.items: dict[int, tuple[int, list[str], list[str]]] = {}  # id, kinds of slots (else the word), values
         self.windows: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.sizes: set[int] = set()
         words: set[str] = set()
         anchors: dict[str, set[tuple[str | None, str | None]]] = defaultdict(set)
         for k, (item, text) in enumerate(items):
-            t, v = template(text)
+            t, v, maybe = readings(text)
             if len(t) < min_tokens:
                 continue
-            self.items[k] = (item, t, v)
+            slots = t.copy()
+            for p in maybe:
+                slots[p] = NAME
+            self.items[k] = (item, slots, v)
             n = min(width, len(t))
             self.sizes.add(n)
             words.update(v)
             for i in range(len(t) - n + 1):
-                if _useful(t[i : i + n], width):
-                    self.windows["\x00".join(t[i : i + n])].append((k, i))
-                    w = [None if x[0] == "\x01" else x for x in t[i : i + n]]
+                for x in window_readings(t, v, maybe, i, n):
+                    if not _useful(x, width):
+                        continue
+                    self.windows["\x00".join(x)].append((k, i))
+                    w = [None if y[0] == "\x01" else y for y in x]
                     at = max((j for j in range(n) if w[j]), key=lambda j: (len(w[j]), w[j]))
                     anchors[w[at]].add((w[at - 1] if at else None, w[at + 1] if at + 1 < n else None))
         self.shortest = min(self.sizes, default=0)
         self.anchors = anchors
         self.run = re.compile(b"[\1\2]{%d,}" % max(1, self.shortest))
-        self.flag = _Flags(words, set(anchors), {x for _, t, _ in self.items.values() for x in t if x[0] == "\x01"})
+        self.flag = _Flags(words, set(anchors), {x for _, kinds, _ in self.items.values() for x in kinds if x[0] == "\x01"})
 
     def hits(self, text: str, width: int, coverage: float) -> list[tuple[int, str, int, int]]:
         """(item, kind, covered tokens, item tokens) of the items that the text holds."""
@@ -109,20 +152,24 @@ class ItemTable:
             return []
         if not self._possible(text):
             return []
-        t, v = template(text)
+        t, v, maybe = readings(text)
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)
         for n in self.sizes:
+            first = 0
             for i in range(len(t) - n + 1):
-                for k, at in self.windows.get("\x00".join(t[i : i + n]), ()):
-                    if n == min(width, len(self.items[k][1])):
-                        lines[k, i - at].update(range(at, at + n))
+                while first < len(maybe) and maybe[first] < i:
+                    first += 1
+                near = maybe[first : first + n] if first < len(maybe) and maybe[first] < i + n else ()
+                for x in window_readings(t, v, near, i, n):
+                    for k, at in self.windows.get("\x00".join(x), ()):
+                        if n == min(width, len(self.items[k][1])):
+                            lines[k, i - at].add(at)
         found: dict[int, tuple[set[int], bool]] = {}
-        for (k, shift), places in lines.items():
-            same = self._consistent(k, shift, places, v)
-            if same is None:
-                continue
-            covered, exact = found.get(k, (set(), True))
-            found[k] = (covered | places, exact and same)
+        for (k, shift), starts in lines.items():
+            places, same = self._consistent(k, shift, sorted(starts), v)
+            if places:
+                covered, exact = found.get(k, (set(), True))
+                found[k] = (covered | places, exact and same)
         out = []
         for k, (covered, exact) in sorted(found.items()):
             item, it, _ = self.items[k]
@@ -145,20 +192,22 @@ class ItemTable:
                 at = flags.find(b"\2", at + 1, run.end())
         return False
 
-    def _consistent(self, k: int, shift: int, places: set[int], v: list[str]) -> bool | None:
-        """True if all slots hold equal values, False if these are renamed one to one, None if neither."""
-        _, it, iv = self.items[k]
+    def _consistent(self, k: int, shift: int, starts: list[int], v: list[str]) -> tuple[set[int], bool]:
+        """(places, True if all values there are equal); no places if values are neither equal nor renamed one to one."""
+        _, kinds, iv = self.items[k]
+        n = min(self.width, len(iv))
+        places = {p for a in starts for p in range(a, a + n)}
         there: dict[tuple[str, str], str] = {}
         back: dict[tuple[str, str], str] = {}
         same = True
         for p in places:
-            kind = it[p]
+            kind = kinds[p]
             if kind[0] == "\x01":
                 a, b = iv[p], v[p + shift]
                 if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                    return None
+                    return set(), True
                 same &= a == b
-        return same
+        return places, same
 
 
 class _Flags(dict):
@@ -192,9 +241,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     schema = f"{id_col} long, item_id long, kind string, covered int, item_tokens int"
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    # blocks by size: the number of words bounds the number of windows of an item
+    # blocks by size: an item has about as many windows as words, in up to three readings each
     total = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
-    blocks = max(1, -(-total // block_windows))
+    blocks = max(1, -(-3 * total // block_windows))
     out = None
     for k in range(blocks):
         some = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()]

@@ -108,6 +108,19 @@ def test_reparameterised_and_inconsistent_items(spark):
     assert t.hits("so it is that " + mixed[3:], 8, 0.9) == []
 
 
+def leak(item, text, coverage=0.5):
+    return [(h[1], h[2], h[3]) for h in decontaminate.ItemTable([(1, item)], 8, 5).hits(text, 8, coverage)]
+
+
+def test_names_at_sentence_starts_and_in_other_case():
+    short = "Tom has 3 apples. Tom gives 2 to Ann."
+    assert leak(short, short) == [("exact", 9, 9)]
+    assert leak(short, "Eva has 5 apples. Eva gives 4 to Lea.") == [("re-parameterised", 9, 9)]
+    assert leak(short, "Words before. Eva has 5 apples. Eva gives 4 to Lea. And after") == [("re-parameterised", 9, 9)]
+    for other in (ITEM.upper(), ITEM.lower(), ITEM.title()):
+        assert leak(ITEM, "so " + other) == [("exact", 21, 21)] or other.istitle() and leak(ITEM, "so " + other)[0][1] > 10
+
+
 def test_decontamination_against_brute_force(spark, sf):
     import re
 
