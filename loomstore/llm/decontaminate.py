@@ -6,9 +6,9 @@ sentence is read both as itself and as a name, unless it is a common word that i
 names are read as plain words too, so that texts in another case match. Windows
 of ``width`` template tokens of the items are hash-joined with those of the documents. Windows
 on one diagonal (document place less item place) form an alignment; in it the values behind the
-placeholders are compared: equal ones make an exact copy, a one-to-one renaming makes
-a re-parameterised question, anything else is inconsistent and doesn't count. A document holds
-an item if consistent alignments cover ``coverage`` of the item's tokens.
+placeholders are compared: windows with equal ones are exact, and a run of windows in which each value is renamed to one other
+is a re-parameterised question (two values may become the same); an alignment counts with its exact windows or its longest
+such run, whichever cover more. A document holds an item if its alignments cover ``coverage`` of the item's tokens.
 
 The items are joined as broadcast hash tables of at most ``block_windows`` windows each, one
 after the other: one table is enough for most benchmarks, and larger ones take more passes
@@ -193,21 +193,36 @@ class ItemTable:
         return False
 
     def _consistent(self, k: int, shift: int, starts: list[int], v: list[str]) -> tuple[set[int], bool]:
-        """(places, True if all values there are equal); no places if values are neither equal nor renamed one to one."""
+        """(places, True if all values there are equal): those of the windows with equal values, or of the longest run of windows
+        in which each value of the item stands for one of the text, whichever are more. Two values may become one."""
         _, kinds, iv = self.items[k]
         n = min(self.width, len(iv))
-        places = {p for a in starts for p in range(a, a + n)}
-        there: dict[tuple[str, str], str] = {}
-        back: dict[tuple[str, str], str] = {}
+        places = lambda some: {p for a in some for p in range(a, a + n)}
+        best = places([a for a in starts if iv[a : a + n] == v[a + shift : a + shift + n]])
         same = True
-        for p in places:
-            kind = kinds[p]
-            if kind[0] == "\x01":
-                a, b = iv[p], v[p + shift]
-                if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                    return set(), True
-                same &= a == b
-        return places, same
+        last: dict[tuple[str, str], dict[str, int]] = defaultdict(dict)  # what a value became, and in which window last
+        begin = 0
+        for r in range(len(starts) + 1):
+            cut = begin
+            if r == len(starts):
+                cut = r
+            else:
+                now: dict[tuple[str, str], str] = {}
+                for p in range(starts[r], starts[r] + n):
+                    if kinds[p][0] == "\x01":
+                        slot, b = (kinds[p], iv[p]), v[p + shift]
+                        if now.setdefault(slot, b) != b:
+                            cut = r + 1
+                        cut = max([cut, *(x + 1 for c, x in last[slot].items() if c != b)])
+                if cut <= r:
+                    for slot, b in now.items():
+                        last[slot][b] = r
+            if cut > begin:
+                run = places(starts[begin:r])
+                if len(run) > len(best):
+                    best, same = run, False
+                begin = cut
+        return best, same
 
 
 class _Flags(dict):

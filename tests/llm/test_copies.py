@@ -121,6 +121,16 @@ def test_names_at_sentence_starts_and_in_other_case():
         assert leak(ITEM, "so " + other) == [("exact", 21, 21)] or other.istitle() and leak(ITEM, "so " + other)[0][1] > 10
 
 
+def test_conflicting_and_coinciding_values():
+    item = "the shop sells 5 red pens and the baker who lives next door buys 5 blue cups for his old aunt in the far village"
+    assert leak(item, item.replace("5 blue", "8 blue")) == [("exact", 24, 25)]  # all but the changed value's own place
+    assert leak(item, item.replace("5 red", "7 red").replace("5 blue", "9 blue"))[0][0] == "re-parameterised"
+    item = "mix 3 cups of flour with 5 spoons of sugar then stir and wait"
+    assert leak(item, item.replace("3", "4").replace("5", "4")) == [("re-parameterised", 14, 14)]
+    item = "mix 5 cups of flour and some milk with 5 spoons of sugar"
+    assert leak(item, item.replace("5 cups", "7 cups").replace("5 spoons", "9 spoons"))[0][0] == "re-parameterised"
+
+
 def test_decontamination_against_brute_force(spark, sf):
     import re
 
