@@ -47,7 +47,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.write_warc(table(spark, sf_dir, "pages"))
+    path = warc.write_warc(table(spark, sf_dir, "pages"), repeats=True)
     return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -13,7 +13,8 @@
   the rest: a lost executor leaves nothing that a reader would see.
 
 Null payloads count as empty ones; null urls as "". Rows without an id are left out, for a
-record is named by its id; a repeated id raises an error. An empty table gives a manifest
+record is named by its id. A repeated id raises an error unless ``repeats`` is set: then each of its rows gets a record
+with its own payload's digest, and what repeats both id and payload is numbered in the record id. An empty table gives a manifest
 without files. Extra columns are ignored.
 """
 
@@ -82,8 +83,8 @@ def _open(path: str):
     return fs, at
 
 
-def _record(page_id: int, url: str, payload: bytes, size: int, digest: str, kind: str, refers: int | None) -> bytes:
-    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{digest}")
+def _record(page_id: int, url: str, payload: bytes, size: int, digest: str, kind: str, refers: int | None, again: int = 0) -> bytes:
+    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{digest}" + (f":{again}" if again else ""))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if kind == "response" else b"")
     head = [
@@ -106,7 +107,7 @@ def _record(page_id: int, url: str, payload: bytes, size: int, digest: str, kind
     return z.compress(raw) + z.flush()
 
 
-def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, shard_records: int = 5_000, min_revisit_bytes: int = 0) -> str:
+def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, shard_records: int = 5_000, min_revisit_bytes: int = 0, repeats: bool = False) -> str:
     """Writes the archives under ``path`` and returns it; MANIFEST.json lists the files."""
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
@@ -121,11 +122,12 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     own = F.col(id_col).alias("page_id")
     body = pages.select(own, F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     body = body.select(shard.alias("shard"), "page_id", F.lit(1).alias("page"), "url", "html", *[F.lit(None).cast(t).alias(c) for c, t in (("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"))])
-    rows = said.unionByName(body).repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", "page")
+    rows = said.unionByName(body).repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", "page", *(("url", "html") if repeats else ()))
     small_batches(spark, 500)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = plan_of = None
+        fs = now = None
+        plans: dict[str, list] = {}  # of the current id, by digest: what the plan says, records so far, rows planned
         out = name = sha = None
         shard_now = part = size = n = 0
         done: list[tuple] = []
@@ -140,12 +142,16 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
         for b in batches:
             for s, i, page, url, html, *meta in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if not page:
-                    plan_of = (i, *meta)
+                    if i != now:
+                        now, plans = i, {}
+                    plans.setdefault(meta[1], [meta, 0, 0])[2] += 1
                     continue
-                if plan_of is None or plan_of[0] != i:
-                    raise ValueError(f"page {i} has no plan: are ids unique?")
-                length, digest, kind, refers = plan_of[1:]
-                plan_of = None
+                if i != now or not repeats and sum(p[2] for p in plans.values()) != 1:
+                    raise ValueError(f"page {i} has no plan of its own: are ids unique?")
+                body = html.encode()
+                mine = next(iter(plans.values())) if len(plans) == 1 else plans[base64.b32encode(hashlib.sha1(body).digest()).decode()]
+                length, digest, kind, refers = mine[0]
+                mine[1] += 1
                 if out is not None and (s != shard_now or size >= roll_bytes):
                     close()
                     part = part + 1 if s == shard_now else 0
@@ -158,7 +164,7 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
                         fs, at = _open(tmp)
                         fs.create_dir(at, recursive=True)
                     out = fs.open_output_stream(_open(name)[1], compression=None)
-                raw = _record(i, " ".join(url.split()), html.encode(), length, digest, kind, refers)
+                raw = _record(i, " ".join(url.split()), body, length, digest, kind, refers, mine[1] - 1)
                 out.write(raw)
                 sha.update(raw)
                 size += len(raw)

@@ -308,3 +308,15 @@ def test_warc_round_trip(spark):
         assert [f["sha256"] for f in warc.manifest(spark, path)] == [f["sha256"] for f in warc.manifest(spark, again)]
     with pytest.raises(Exception):
         warc.write_warc(pages.unionByName(pages))
+
+
+def test_warc_repeated_ids_get_a_record_each(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "v", "b"), (1, "u", "a"), (2, "w", "b"), (3, "x", None), (3, "x", "c"), (4, "y", "a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in queries.op7_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1), (3, 0, "response", None), (3, 1, "response", None), (4, 1, "revisit", 1)]
+    paths = [warc.write_warc(p, repeats=True) for p in (pages, pages.repartition(5))]
+    assert len({f["sha256"] for path in paths for f in warc.manifest(spark, path)}) == 1
+    read = warc.read_warc(spark, paths[0]).filter("page_id = 1").collect()
+    assert sorted((r.url, bytes(r.payload).decode()) for r in read) == [("u", "a"), ("u", "a"), ("v", "b")]
