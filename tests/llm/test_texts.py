@@ -216,57 +216,6 @@ def test_toxicity_learns_rare_spellings(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_toxicity_ratios_are_those_of_each_gram(spark):
-    """Also of grams whose CRC agrees in 21 bits, and with backoff for grams never seen."""
-    import math
-    import zlib
-
-    seen, pairs = {}, []
-    rng = np.random.default_rng(3)
-    for w in map("".join, rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (20_000, 5))):
-        other = seen.setdefault(zlib.crc32(f"^{w}".encode()) & (2**21 - 1), w)
-        if other != w and len(pairs) < 20:
-            pairs.append((other, w))
-    assert len(pairs) == 20
-    train = [(" ".join(a for a, _ in pairs[::2]), 1), (" ".join([b for _, b in pairs[::2]] * 50 + ["the", "naïve", "東京"]), 0), (" ".join(a for a, _ in pairs[1::2]) + " naïve", 1)]
-    df = spark.createDataFrame(train, "text string, toxic int")
-    counts = toxicity.gram_counts(df)
-    n = {r.gram: (r.toxic, r.ordinary) for r in counts.collect()}
-    p = {r.gram: r.p for r in toxicity.shared_backoff(counts).collect()}
-
-    def ratio(g):
-        sides = []
-        for y in (0, 1):
-            after = [v[y] for k, v in n.items() if k[:-1] == g[:-1] and v[y]]
-            mass = 0.75 * len(after) / sum(after) if after else 1.0
-            own = max(n[g][y] - 0.75, 0) / sum(after) if g in n and after else 0.0
-            sides.append(own + mass * p.get(g[1:], 1 / 200) if g in n else mass)
-        return math.log(sides[0] / sides[1])
-
-    ratios = toxicity.fit_ratios(df)
-    for w in {x for pair in pairs for x in pair} | {"the", "naïve", "東京", "zzz", "thea"}:
-        s = f"^{w}$"
-        assert np.isclose(ratios.word(w), sum(ratio(s[max(0, i - 5) : i + 1]) for i in range(1, len(s))), atol=1e-4), w
-
-
-def test_toxicity_shared_backoff_sums_to_one(spark):
-    """Without a context, the shared probabilities and the mass left for characters never seen make one."""
-    train = spark.createDataFrame([("the then them", 0), ("this that", 1)], "text string, toxic int")
-    p = {r.gram: r.p for r in toxicity.shared_backoff(toxicity.gram_counts(train)).collect()}
-    ones = {g: v for g, v in p.items() if len(g) == 1}
-    unseen = 1 - sum(ones.values())
-    assert 0 < unseen < 0.8 and all(0 < v < 1 for v in p.values())
-
-
-def test_held_out_accuracy_on_provided_rows(spark):
-    from pyspark.sql import functions as F
-
-    sf = "/root/testdata/sf0.01"
-    got = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
-    r = got.agg(F.count_if(F.expr("predicted = 1 and toxic = 0")).alias("fp"), F.count_if(F.expr("toxic = 0")).alias("n")).first()
-    assert r.fp <= 0.05 * r.n
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="menu-open">
 <header class="top"><h1>Site</h1><p>Welcome to our wonderful site with many words in it</p></header><nav><ul><li><a href="x>y">Home</a></li></ul></nav>
 <div id="cookie-notice"><p>We use cookies for all sorts of things you know.</p></div><div class="ad">Buy now</div>
