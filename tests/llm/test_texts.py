@@ -102,18 +102,6 @@ def test_token_counts_of_any_text(text):
     assert c.count(text) == len(c.library.encode(text, add_special_tokens=False).ids)
 
 
-def test_prefix_answers_without_encoding_again():
-    c = token_counts.counter(queries.vocabulary("word_bpe_49k.json"))
-    text = "The unbelievable stories don't end here, 42 times over!"
-    flat = c.normalise(text)
-    for k in range(len(flat) + 1):
-        assert c.prefix_count(text, k) == len(c.library.encode(flat[:k], add_special_tokens=False).ids)
-    ends, counts = c.table(text)
-    assert counts[-1] == c.count(text) and ends[-1] == len(flat)
-    for budget in range(counts[-1] + 1):
-        assert c.fit_chars(text, budget) == max([0, *[e for e, n in zip(ends, counts, strict=True) if n <= budget]])
-
-
 def ways(m, s):
     """All segmentations of a chunk by brute force: (score, ids)."""
     if not s:
