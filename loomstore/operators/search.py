@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from loomstore.functions.text import query_terms, tokens
 from loomstore.functions.vectors import cosine, literal
-from loomstore.plans.shared import counted_broadcast, keep
+from loomstore.plans.shared import keep, with_keys
 from loomstore.schemas import MAX_HYBRID, MAX_KEYWORDS, MAX_LIMIT
 
 K1, B = 1.2, 0.75
@@ -139,11 +139,11 @@ def match_batch(queries: DataFrame, df: DataFrame, text: str = "summary") -> Dat
     terms = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
     each = terms.select("query_id", F.explode("terms").alias("term"))
     post = df.select("id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    counts = post.join(counted_broadcast(each.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = with_keys(post, keep(each.select("term").distinct(), "terms"), "term").groupBy("term").agg(F.count("*").alias("n"))
     # a term that no row holds has no count: its query matches nothing
     rare = each.join(counts, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m")).filter("m.n > 0").select("query_id", F.col("m.term").alias("term"))
-    candidates = keep(post.join(counted_broadcast(rare), "term").select("query_id", "id"), "candidates")
-    tested = df.select("id", tokens(F.col(text)).alias("toks")).join(counted_broadcast(candidates), "id").join(counted_broadcast(terms), "query_id")
+    candidates = keep(with_keys(post, keep(rare, "rare"), "term").select("query_id", "id"), "candidates")
+    tested = with_keys(df.select("id", F.col(text).alias("text")), candidates, "id").join(terms, "query_id").withColumn("toks", tokens(F.col("text")))
     return tested.filter(F.size(F.array_except("terms", "toks")) == 0).select("query_id", "id")
 
 

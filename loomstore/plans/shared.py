@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,13 +36,44 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers that may be sent to all tasks: some 50 MB at most.
-BROADCAST_ROWS = 200_000
+#: Bits of a key filter (2 MB): fixed, whatever the number of keys.
+FILTER_BITS = 1 << 24
 
 
-def counted_broadcast(df: DataFrame) -> DataFrame:
-    """``df`` to be joined by broadcast if it has at most BROADCAST_ROWS rows (narrow ones), else by shuffling both sides."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test that is true for every value in the one column of ``keys`` and false for most others: a Bloom filter of fixed size,
+    made and asked by built-in functions. With very many keys it lets more through, and never costs more than that."""
+
+    def places(c: Column) -> list[Column]:
+        h = F.xxhash64(c)
+        return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
+
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))
+    word = lambda p: F.shiftright(p, 6)
+    spark = keys.sparkSession
+    at = keys.select(F.explode(F.array(*places(F.col(keys.columns[0])))).alias("p"))
+    some = at.groupBy(word(F.col("p")).alias("id")).agg(F.bit_or(bit(F.col("p"))).alias("w"))
+    row = spark.range(bits >> 6).join(some, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("all"))
+    made = keep(row.select(F.transform("all", lambda x: x["w"]).alias("words")), "key-filter")
+
+    def test(c: Column) -> Column:
+        parts = [F.get(made.scalar(), word(p).cast("int")).bitwiseAND(bit(p)) != 0 for p in places(c)]
+        return parts[0] & parts[1]
+
+    return test
+
+
+def with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` joined with those of ``keys`` (a kept table) on ``key``. Only rows that pass the filter of the keys are
+    shuffled, so wide rows stay where they are; the plan is the same at every size."""
+    return df.filter(key_filter(keys.select(key))(F.col(key))).join(keys.hint("shuffle_hash"), key)
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` isn't in ``keys`` (a kept table). Rows that the filter of the keys rejects stay where they are."""
+    test = key_filter(keys.select(key))
+    maybe = df.filter(test(F.col(key))).join(keys.select(key).hint("shuffle_hash"), key, "left_anti")
+    return df.filter(~test(F.col(key))).unionByName(maybe)
 
 
 def spread(df: DataFrame) -> DataFrame:
