@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import counted_broadcast, fresh_path, keep, lower_ascii, small_batches
+from .common import fresh_path, keep, lower_ascii, small_batches, with_keys, without_keys
 
 RUN_SCHEMA = "digest string, best long, n long, run string"
 
@@ -109,49 +109,40 @@ class ExactIndex:
         return self.table().filter(F.col("digest").isin(list(digests)))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_id: str = "smallest", digest: Column | None = None, salt_rows: int = 2000, memtable_rows: int = 200_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_id: str = "smallest", digest: Column | None = None, salt_rows: int = 200, salt_bytes: int = 8 << 20, memtable_rows: int = 200_000) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, digest.
 
     ``digest``: a digest column for tests; the default is the SHA-256 of the text in
-    UTF-8 after lower-casing A-Z. Groups of over ``salt_rows`` copies are split over
-    that many more tasks for the byte check, so that no task gets a whole hot group.
+    UTF-8 after lower-casing A-Z. Groups of over ``salt_rows`` copies or ``salt_bytes`` of text are split
+    for the byte check, so that no task gets a whole hot group.
     """
     spark = docs.sparkSession
     norm = lower_ascii(F.col(text_col))
     docs = docs.filter(F.col(id_col).isNotNull())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"))
     # digests once, in the shared folder: the later joins read 40 bytes a row, not the texts
-    ids = keep(docs.select(F.col(id_col).cast("long").alias("id"), (F.sha2(norm, 256) if digest is None else digest).alias("digest")), "digests")
+    ids = keep(docs.select(F.col(id_col).cast("long").alias("id"), (F.sha2(norm, 256) if digest is None else digest).alias("digest"), F.octet_length(norm).alias("bytes")), "digests")
     index = ExactIndex(spark, keep_id=keep_id, memtable_rows=memtable_rows)
     index.flush(ids)
     index.compact()
     groups = index.table()
     found = keep(ids.join(groups, "digest"), "groups")
 
-    # the byte check: of texts that have copies, hits meet the kept row, which goes to each salt of its group. Who has
-    # copies is a few numbers a row: up to a counted bound these go to the texts, and only texts with copies move
+    # the byte check: of texts that have copies, hits meet the kept row, which goes to each salt of its group. Texts without
+    # copies stay where they are
     many = found.filter("n > 1")
-    salts = F.ceil(F.col("n") / salt_rows).cast("int")
+    salts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / salt_rows), F.ceil(F.col("n") * F.col("bytes") / salt_bytes))).cast("int")
     roles = many.withColumn("salt", F.when(F.col("id") == F.col("keep_id"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), salts).cast("int")))).select("id", "digest", "keep_id", "salt")
-    texts = rows.join(counted_broadcast(roles), "id").select("id", "digest", "keep_id", F.explode("salt").alias("salt"), "norm")
+    texts = with_keys(rows, keep(roles, "roles"), "id").select("id", "digest", "keep_id", F.explode("salt").alias("salt"), "norm")
     first = Window.partitionBy("digest", "salt").orderBy(F.desc(F.col("id") == F.col("keep_id")))
     hits = texts.withColumn("kept_norm", F.first("norm").over(first)).filter("id != keep_id")
-    differ = keep(hits.filter("norm != kept_norm").select("id", "digest", "norm"), "collisions")
+    differ = keep(hits.filter("norm != kept_norm").select("digest").distinct(), "collisions")
     plain = found.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
     if differ.isEmpty():
         return plain
+    # digests that different texts share: their rows are grouped by the text as well
     pick = F.min if keep_id == "smallest" else F.max
-    again = differ.groupBy("digest", "norm").agg(pick("id").alias("keep2"), F.count("*").alias("n2"))
-    other = differ.join(again, ["digest", "norm"]).select(F.col("id").alias(id_col), "keep2", "n2")
-    moved = differ.groupBy("digest").agg(F.count("*").alias("lost"))
-    return (
-        plain.join(moved, "digest", "left")
-        .join(other, id_col, "left")
-        .select(
-            id_col,
-            F.coalesce("keep2", "keep_id").alias("keep_id"),
-            F.coalesce(F.col("n2"), F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"),
-            (F.col(id_col) == F.coalesce("keep2", "keep_id")).alias("kept"),
-            "digest",
-        )
-    )
+    texts = with_keys(rows.join(ids.select("id", "digest").distinct(), "id"), differ, "digest") if digest is not None else with_keys(rows.withColumn("digest", F.sha2("norm", 256)), differ, "digest")
+    groups = texts.groupBy("digest", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
+    again = texts.join(groups, ["digest", "norm"]).select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
+    return without_keys(plain, differ, "digest").unionByName(again)

@@ -8,7 +8,11 @@ findings back to all paths that hold the blob.
 
 One copy of a blob is its smallest path id: picking it needs ids and digests only. Texts of
 which a cheap hint speaks then move once, spread by id, so that a text with a third of all
-copies weighs on no task; all other texts stay where they are. Null counts as an empty text. Empty tables give empty results, extra columns
+copies weighs on no task; all other texts stay where they are. Paths of clean blobs stay where they are too, those of
+blobs with findings are salted.
+
+Scans may share a ledger: each appends whole files of its own, and what two scans found in one blob at the same time (the same, as it is the
+blob and the rules that decide) counts once where the ledger is read. Null counts as an empty text. Empty tables give empty results, extra columns
 are ignored, and repeated rows of one path are scanned once and reported once each.
 """
 
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstore.functions.predicates import any_of
-from loomstore.plans.shared import BROADCAST_ROWS
+from loomstore.plans.shared import key_filter
 
 from .common import fresh_path, keep
 from .spans import spans
@@ -35,6 +39,8 @@ BASE = KINDS[:3]
 #: Raise it with any change of the rules: all blobs are then unseen.
 RULE_VERSION = 1
 
+#: Tasks that the paths of one blob with findings are dealt out to.
+SALTS = 16
 SPAN = "array<struct<start:int,end:int,value:string>>"
 LEDGER = "blob string, rule_version int, " + ", ".join(f"`{k}` {SPAN}" for k in KINDS)
 
@@ -64,18 +70,24 @@ class BlobLedger:
 
     def __init__(self, spark: SparkSession, path: str | None = None, rule_version: int = RULE_VERSION):
         self.spark, self.path, self.rule_version = spark, path or fresh_path(spark, "blob-ledger"), rule_version
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        self.empty = not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    @property
+    def empty(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def seen(self) -> DataFrame:
+        """One row for each scan of a blob."""
         if self.empty:
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(self.path).filter(F.col("rule_version") == self.rule_version)
 
     def append(self, scanned: DataFrame) -> None:
         scanned.write.mode("append").parquet(self.path)
-        self.empty = False
+
+    def findings(self) -> DataFrame:
+        """(blob, spans) of the blobs that hold something, once each."""
+        return self.seen().filter(" or ".join(f"size(`{k}`) > 0" for k in KINDS)).drop("rule_version").dropDuplicates(["blob"])
 
 
 def scan(docs: DataFrame, ledger: BlobLedger | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,18 +104,21 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, id_col: str = "doc_i
         todo = todo.join(ledger.seen().select("blob"), "blob", "left_anti")
     todo = keep(todo, "unseen")
     pick = todo.filter("suspect").select(F.col("path_id").alias("pick_id"), "blob")
-    # few suspects (counted) go to the texts; else suspicious texts are shuffled
-    few = pick.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    unseen = (rows if few else rows.filter(suspect)).join(F.broadcast(pick) if few else pick, F.col("path_id").eqNullSafe(F.col("pick_id")))
+    picked = key_filter(pick.select("pick_id"))
+    unseen = rows.filter(suspect & picked(F.col("path_id"))).join(pick.hint("shuffle_hash"), F.col("path_id").eqNullSafe(F.col("pick_id")))
     if _repeats(paths):
         unseen = unseen.filter(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"])
     found = unseen.select("blob", F.lit(ledger.rule_version).alias("rule_version"), *[c.alias(k) for k, c in scan_columns(F.col("text")).items()])
     none = F.expr(f"cast(array() as {SPAN})")
     clean = todo.filter("not suspect").select("blob", F.lit(ledger.rule_version).alias("rule_version"), *[none.alias(k) for k in KINDS])
     ledger.append(found.unionByName(clean))
-    # findings are few: blobs without any are left out of the join, so a hot clean blob is never dealt out
-    hits = ledger.seen().filter(" or ".join(f"size(`{k}`) > 0" for k in KINDS)).drop("rule_version")
-    return paths.join(hits, "blob", "left").select(F.col("path_id").alias(id_col), "blob", *[F.coalesce(F.col(k), none).alias(k) for k in KINDS])
+    hits = keep(ledger.findings(), "findings")
+    test = key_filter(hits.select("blob"))
+    clean = paths.filter(~test(F.col("blob"))).select("path_id", "blob", *[none.alias(k) for k in KINDS])
+    salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = paths.filter(test(F.col("blob"))).withColumn("salt", F.pmod(F.xxhash64("path_id"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), ["blob", "salt"], "left")
+    both = clean.unionByName(found.select("path_id", "blob", *[F.coalesce(F.col(k), none).alias(k) for k in KINDS]))
+    return both.withColumnRenamed("path_id", id_col)
 
 
 def _repeats(paths: DataFrame) -> bool:

@@ -69,6 +69,18 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert newer.seen().count() == 2
 
 
+def test_scans_that_share_a_ledger(spark):
+    """Two scans opened together on an empty ledger, and one after them: one result row a document."""
+    docs = spark.createDataFrame([(1, "token=abcdefghij"), (2, "clean"), (3, "token=abcdefghij")], "doc_id long, text string")
+    path = secrets.BlobLedger(spark).path
+    one, two = secrets.BlobLedger(spark, path), secrets.BlobLedger(spark, path)
+    first = secrets.scan(docs, one)
+    rows = one.seen().collect()
+    two.append(spark.createDataFrame(rows, secrets.LEDGER))  # what a scan at the same time would have added
+    for found in (first, secrets.scan(docs, two), secrets.scan(docs, secrets.BlobLedger(spark, path))):
+        assert sorted((r.doc_id, r.n_assign) for r in secrets.secrets_digest(found).collect()) == [(1, 1), (2, 0), (3, 1)]
+
+
 def test_empty_tables(spark, empty):
     vocab, model = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("piece_bpe_32k.model")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
