@@ -12,21 +12,21 @@ such run, whichever cover more. A document holds an item if its alignments cover
 
 The items are joined as broadcast hash tables of at most ``block_windows`` windows each, one
 after the other: one table is enough for most benchmarks, and larger ones take more passes
-over the documents, not more memory. A document is cut into tokens once a pass, and only
-documents get templates that have a run of tokens that could all stand in an item, with the longest
-word of a window and its neighbours among them: every window that matches lies in such a run.
+over the documents, not more memory. A document is cut into tokens once a pass, and templates are made only where
+a run of tokens that could all stand in an item has the longest
+word of a window and its neighbours among them: every window that matches lies around such a word.
 
 Items of fewer than ``width`` tokens have one window, the whole item; items of fewer than
 ``min_tokens`` tokens are too short to be told from chance, and windows with fewer than 3 words proper
-(or only words, if shorter) aren't joined. Null counts as empty, repeated items and documents are reported each.
-Empty tables give empty results; extra columns are ignored.
+(or only words, if shorter) aren't joined. Null counts as empty. Repeated items and documents are reported each, and so are
+rows without an id. Empty tables give empty results; extra columns of both tables are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -55,36 +55,61 @@ _END = re.compile(r"[.!?:;|\n\"“”]")
 MIN_LITERALS = 3
 
 
-def readings(text: str) -> tuple[list[str], list[str], list[int]]:
-    """(template tokens, values, places of words that start a sentence and may be names): a value is the lower-case token itself."""
+def read(text: str, tokens: list[re.Match], a: int, b: int, named: Callable[[str], bool]) -> tuple[list[str], list[str], list[int]]:
+    """Of tokens a to b: (template tokens, values, places of words that start a sentence and may be names). A value is the
+    lower-case token itself; ``named`` tells if a common word is a name elsewhere in the text."""
     out, values, maybe = [], [], []
-    names: set[str] = set()
-    last = 0
-    start = True
     number = False
-    for m in _TOKEN.finditer(text):
-        w = m.group()
+    if a:
+        w = tokens[a - 1].group()
+        number = w[0].isdigit() or w.lower() in NUMBERS
+    for k in range(a, b):
+        w = tokens[k].group()
         low = w.lower()
-        if m.start() > last and not start:
-            start = _END.search(text, last, m.start()) is not None
         if w[0].isdigit() or low in NUMBERS:
             kind = NUM
         elif number and low in UNITS:
             kind = UNIT
         elif len(w) > 1 and w[0].isupper() and not w.isupper():
-            if start:
+            kind = NAME
+            if begins(text, tokens, k):
                 kind = low
-                maybe.append(len(out))
-            else:
-                kind = NAME
-                names.add(low)
+                if low not in COMMON or named(low):
+                    maybe.append(k - a)
         else:
             kind = low
         number = kind is NUM
         out.append(kind)
         values.append(low)
-        last, start = m.end(), False
-    return out, values, [p for p in maybe if values[p] not in COMMON or values[p] in names]
+    return out, values, maybe
+
+
+def begins(text: str, tokens: list[re.Match], k: int) -> bool:
+    """True if token k starts a sentence."""
+    return not k or _END.search(text, tokens[k - 1].end(), tokens[k].start()) is not None
+
+
+def names_of(text: str, tokens: list[re.Match]) -> Callable[[str], bool]:
+    """A test for words that are capitalised within a sentence of the text; they are looked for when first asked for."""
+    names: set[str] | None = None
+
+    def named(low: str) -> bool:
+        nonlocal names
+        if names is None:
+            names = set()
+            for k, m in enumerate(tokens):
+                w = m.group()
+                if len(w) > 1 and w[0].isupper() and not w.isupper() and w.lower() in COMMON and w.lower() not in NUMBERS and not begins(text, tokens, k):
+                    names.add(w.lower())
+        return low in names
+
+    return named
+
+
+def readings(text: str) -> tuple[list[str], list[str], list[int]]:
+    """``read`` of a whole text."""
+    tokens = list(_TOKEN.finditer(text))
+    return read(text, tokens, 0, len(tokens), names_of(text, tokens))
 
 
 def template(text: str) -> tuple[list[str], list[str]]:
@@ -148,22 +173,29 @@ class ItemTable:
 
     def hits(self, text: str, width: int, coverage: float) -> list[tuple[int, str, int, int]]:
         """(item, kind, covered tokens, item tokens) of the items that the text holds."""
-        if not self.windows:
-            return []
-        if not self._possible(text):
+        starts = self._starts(text) if self.windows else {}
+        if not starts:
             return []
-        t, v, maybe = readings(text)
+        tokens = list(_TOKEN.finditer(text))
+        named = names_of(text, tokens)
+        v: dict[int, str] = {}
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for n in self.sizes:
-            first = 0
-            for i in range(len(t) - n + 1):
-                while first < len(maybe) and maybe[first] < i:
-                    first += 1
-                near = maybe[first : first + n] if first < len(maybe) and maybe[first] < i + n else ()
-                for x in window_readings(t, v, near, i, n):
-                    for k, at in self.windows.get("\x00".join(x), ()):
-                        if n == min(width, len(self.items[k][1])):
-                            lines[k, i - at].add(at)
+        for n, some in starts.items():
+            at = 0
+            while at < len(some):
+                # windows that overlap are read together
+                to = at + 1
+                while to < len(some) and some[to] <= some[to - 1] + n:
+                    to += 1
+                a = some[at]
+                t, low, maybe = read(text, tokens, a, some[to - 1] + n, named)
+                v.update(enumerate(low, a))
+                for i in some[at:to]:
+                    for x in window_readings(t, low, [p for p in maybe if i - a <= p < i - a + n], i - a, n):
+                        for k, place in self.windows.get("\x00".join(x), ()):
+                            if n == min(width, len(self.items[k][1])):
+                                lines[k, i - place].add(place)
+                at = to
         found: dict[int, tuple[set[int], bool]] = {}
         for (k, shift), starts in lines.items():
             places, same = self._consistent(k, shift, sorted(starts), v)
@@ -177,28 +209,32 @@ class ItemTable:
                 out.append((item, "exact" if exact else "re-parameterised", len(covered), len(it)))
         return out
 
-    def _possible(self, text: str) -> bool:
-        """False only if no window can match: none has its longest word, with that word's neighbours, in a run of item tokens."""
+    def _starts(self, text: str) -> dict[int, list[int]]:
+        """Window size -> first tokens of the windows that may match: those that hold the longest word of one of the items' windows
+        with its neighbours, in a run of item tokens."""
         flags = b"".join(map(self.flag.__getitem__, text.split()))
         found: list[str] | None = None
+        starts: dict[int, set[int]] = defaultdict(set)
         for run in self.run.finditer(flags):
-            at = flags.find(b"\2", run.start(), run.end())
+            first, end = run.span()
+            at = flags.find(b"\2", first, end)
             while at >= 0:
                 if found is None:
                     found = _TOKEN.findall(text)
                 before, after = found[at - 1].lower() if at else "", found[at + 1].lower() if at + 1 < len(found) else ""
                 if any((a is None or a == before) and (b is None or b == after) for a, b in self.anchors[found[at].lower()]):
-                    return True
-                at = flags.find(b"\2", at + 1, run.end())
-        return False
+                    for n in self.sizes:
+                        starts[n].update(range(max(first, at - n + 1), min(at, end - n) + 1))
+                at = flags.find(b"\2", at + 1, end)
+        return {n: sorted(x) for n, x in starts.items() if x}
 
-    def _consistent(self, k: int, shift: int, starts: list[int], v: list[str]) -> tuple[set[int], bool]:
+    def _consistent(self, k: int, shift: int, starts: list[int], v: dict[int, str]) -> tuple[set[int], bool]:
         """(places, True if all values there are equal): those of the windows with equal values, or of the longest run of windows
         in which each value of the item stands for one of the text, whichever are more. Two values may become one."""
         _, kinds, iv = self.items[k]
         n = min(self.width, len(iv))
         places = lambda some: {p for a in some for p in range(a, a + n)}
-        best = places([a for a in starts if iv[a : a + n] == v[a + shift : a + shift + n]])
+        best = places([a for a in starts if iv[a : a + n] == [v[p + shift] for p in range(a, a + n)]])
         same = True
         last: dict[tuple[str, str], dict[str, int]] = defaultdict(dict)  # what a value became, and in which window last
         begin = 0
@@ -244,7 +280,7 @@ class _Flags(dict):
 
     def __missing__(self, piece: str) -> bytes:
         f = bytes([self._can(w) for w in _TOKEN.findall(piece)])
-        if len(self) > 300_000:
+        if len(self) > 600_000:
             self.clear()
         if len(piece) <= 64:
             self[piece] = f
@@ -257,7 +293,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = f"{id_col} long, item_id long, kind string, covered int, item_tokens int"
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     # blocks by size: an item has about as many windows as words, in up to three readings each
-    total = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    total = items.agg(F.sum(F.size(F.split("text", r"(?U)\W+")))).first()[0] or 0
     blocks = max(1, -(-3 * total // block_windows))
     out = None
     for k in range(blocks):
