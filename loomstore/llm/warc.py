@@ -3,17 +3,17 @@
 * Payload digests decide what a record is: of equal payloads of at least
   ``min_revisit_bytes`` the one with the smallest id is a response, the others are
   revisits of it.
-* Records are range-sorted by id into shards whose bounds come from a histogram of the
-  ids with a fixed number of bins, so they depend on the rows alone. A shard rolls to a
-  new file when its compressed size passes ``roll_bytes``.
+* Records are range-sorted by id into shards of at most ``shard_records`` (more only if there would be over ``MAX_SHARDS`` of them, or
+  one id has more rows). Their bounds come from a histogram of the ids whose heavy bins are cut again until they are light, so
+  they depend on the rows alone. A shard rolls to a new file when its compressed size passes ``roll_bytes``.
 * Headers are made anew from the row (record id, date, digests, lengths), each record is
   one gzip member without a time stamp: equal rows give equal bytes.
-* A task writes under temporary names and returns manifest rows. The driver moves the
-  files of the tasks that counted to their names, writes MANIFEST.json last, and drops
-  the rest: a lost executor leaves nothing that a reader would see.
+* A task writes under temporary names and returns manifest rows. The files of the tasks that counted are moved to their
+  names (by tasks too; a move that was made already is left as it is), MANIFEST.json is written last, and
+  the rest is dropped: a lost executor leaves nothing that a reader would see.
 
 Null payloads count as empty ones; null urls as "". Rows without an id are left out, for a
-record is named by its id. A repeated id raises an error unless ``repeats`` is set: then each of its rows gets a record
+record is named by its id. Runs of white space in urls become one space, as headers are lines. A repeated id raises an error unless ``repeats`` is set: then each of its rows gets a record
 with its own payload's digest, and what repeats both id and payload is numbered in the record id. An empty table gives a manifest
 without files. Extra columns are ignored.
 """
@@ -35,6 +35,9 @@ from pyspark.sql import functions as F
 from .common import fresh_path, keep, small_batches
 
 BINS = 4096
+#: Bits by which a heavy bin is cut.
+FINER = 6
+MAX_SHARDS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, tmp string, shard int, part int, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -55,29 +58,56 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """page_id, payload_bytes, payload_digest, record_type, refers_to: from ids and digests only."""
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     # the digest stands in a column of its own: the 32 letters made of it must not each take it anew
-    hashed = pages.select(F.col(id_col).alias("page_id"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("hex"))
-    ids = keep(hashed.select("page_id", "payload_bytes", base32_of_hex(F.col("hex")).alias("payload_digest")), "payloads")
-    first = ids.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    hashed = pages.select(F.col(id_col).alias("page_id"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("hex"), F.xxhash64(body).alias("check"))
+    # payloads made to share a SHA-1 differ in the other hash
+    ids = keep(hashed.select("page_id", "payload_bytes", base32_of_hex(F.col("hex")).alias("payload_digest"), "check"), "payloads")
+    same = ["payload_digest", "payload_bytes", "check"]
+    first = ids.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    return ids.join(first, ["payload_digest", "payload_bytes"], "left").select("page_id", "payload_bytes", "payload_digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
+    return ids.join(first, same, "left").select("page_id", "payload_bytes", "payload_digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
 
 
 def shard_bounds(ids: DataFrame, shard_records: int) -> list[int]:
-    """Upper bounds of the shards but the last, from at most BINS+1 counts."""
-    lo, hi = ids.agg(F.min("page_id"), F.max("page_id")).first()
+    """First ids of the shards but the first one. Bins are ranges of ids that agree in their upper bits."""
+    lo, hi, n = ids.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
     if lo is None:
         return []
-    width = max(1, -(-(hi - lo + 1) // BINS))
-    counts = sorted(ids.groupBy(F.floor((F.col("page_id") - lo) / width).cast("long").alias("bin")).count().collect())
+    most = max(shard_records, -(-n // MAX_SHARDS))
+    shift = next(k for k in range(65) if (hi >> k) - (lo >> k) < BINS)
+    light: list[tuple[int, int]] = []
+    heavy = None
+    while True:
+        rows = ids
+        if heavy is not None:
+            # each has over ``most`` rows, so there are at most MAX_SHARDS
+            rows = ids.join(F.broadcast(ids.sparkSession.createDataFrame(heavy, "bin long")), F.shiftright("page_id", above) == F.col("bin"))
+        bins = [(v << shift, c, v) for v, c in rows.groupBy(F.shiftright("page_id", shift).alias("v")).count().collect()]
+        light += [(a, c) for a, c, _ in bins if c <= most or not shift]
+        heavy = [(v,) for _, c, v in bins if c > most and shift]
+        if not heavy:
+            break
+        above, shift = shift, max(0, shift - FINER)
     bounds, n = [], 0
-    for b, c in counts:
-        if n and n + c > shard_records:
-            bounds.append(lo + b * width)
+    for a, c in sorted(light):
+        if n and n + c > most:
+            bounds.append(a)
             n = 0
         n += c
     return bounds
 
 
+def with_shard(df: DataFrame, bounds: list[int]) -> DataFrame:
+    """``df`` and its column shard: how many bounds are at most page_id, by binary search, a step a projection."""
+    if not bounds:
+        return df.withColumn("shard", F.lit(0))
+    table = df.sparkSession.createDataFrame([(bounds,)], "bounds array<long>").scalar()
+    df = df.withColumn("shard", F.lit(0))
+    for k in reversed(range(len(bounds).bit_length())):
+        there = F.get(table, F.col("shard") + ((1 << k) - 1)) <= F.col("page_id")
+        df = df.withColumn("shard", F.col("shard") + F.when(there, 1 << k).otherwise(0))
+    return df
+
+
 def _open(path: str):
     fs, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
     return fs, at
@@ -116,12 +146,12 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     plan = plan_records(pages, id_col, html_col, min_revisit_bytes)
     plan = keep(plan, "warc-plan")
     bounds = shard_bounds(plan.select("page_id"), shard_records)
-    shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
     # one shuffle: what the plan says of a page stands right before the page in its shard
-    said = plan.select(shard.alias("shard"), "page_id", F.lit(0).alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_bytes", "payload_digest", "record_type", "refers_to")
-    own = F.col(id_col).alias("page_id")
-    body = pages.select(own, F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    body = body.select(shard.alias("shard"), "page_id", F.lit(1).alias("page"), "url", "html", *[F.lit(None).cast(t).alias(c) for c, t in (("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"))])
+    said = plan.select("page_id", F.lit(0).alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    own = F.col(id_col).cast("long").alias("page_id")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"))]
+    body = pages.select(own, F.lit(1).alias("page"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *none)
+    said, body = (with_shard(x, bounds).select("shard", *x.columns) for x in (said, body))
     rows = said.unionByName(body).repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", "page", *(("url", "html") if repeats else ()))
     small_batches(spark, 500)
 
@@ -183,9 +213,22 @@ def _commit(spark: SparkSession, path: str, tmp: str, files: list[dict]) -> None
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(at)
-    for f in files:
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(f.pop("tmp")), jvm.org.apache.hadoop.fs.Path(f"{path}/{f['file']}")):
-            raise OSError(f"can't move {f['file']}")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tmp, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                to = f"{path}/{name}"
+                where, source = _open(tmp)
+                # a task that is run again finds some files moved
+                if where.get_file_info(source).type == pafs.FileType.NotFound and where.get_file_info(_open(to)[1]).type == pafs.FileType.File:
+                    continue
+                where.move(source, _open(to)[1])
+            yield b
+
+    if files:
+        todo = spark.createDataFrame([(f.pop("tmp"), f["file"]) for f in files], "tmp string, file string").repartition(max(1, len(files) // 64))
+        if todo.mapInArrow(move, "tmp string, file string").count() != len(files):
+            raise OSError("not all files were moved")
     fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
     out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/MANIFEST.json"), True)
     out.write(bytearray(json.dumps({"files": files}, sort_keys=True).encode()))
@@ -209,7 +252,7 @@ def _records(stream) -> Iterator[tuple[dict, bytes]]:
         z, raw = zlib.decompressobj(31), []
         while not z.eof:
             if not rest:
-                rest = stream.read(1 << 20)
+                rest = stream.read(1 << 16)
                 eof = not rest
                 if eof:
                     break

@@ -269,3 +269,19 @@ def test_warc_repeated_ids_get_a_record_each(spark, tmp_path):
     assert len({f["sha256"] for path in paths for f in warc.manifest(spark, path)}) == 1
     read = warc.read_warc(spark, paths[0]).filter("page_id = 1").collect()
     assert sorted((r.url, bytes(r.payload).decode()) for r in read) == [("u", "a"), ("u", "a"), ("v", "b")]
+
+
+def test_warc_shards_stay_small_beside_far_ids(spark):
+    """One far id, clusters, negative ids and one id with many rows: no shard has more rows than asked for."""
+    ids = [*range(3000), 2**62, -(2**63), 2**63 - 1, *range(10**12, 10**12 + 500), *([77] * 60)]
+    df = spark.createDataFrame([(i,) for i in ids], "page_id long").repartition(3)
+    bounds = warc.shard_bounds(df, 50)
+    assert bounds == sorted(set(bounds)) == warc.shard_bounds(df.repartition(7), 50)
+    sizes = {r[0]: r[1] for r in warc.with_shard(df, bounds).groupBy("shard").count().collect()}
+    import bisect
+    want = {}
+    for i in ids:
+        k = bisect.bisect_right(bounds, i)
+        want[k] = want.get(k, 0) + 1
+    assert sizes == want and sorted(sizes.values())[-2] <= 50 and max(sizes.values()) <= 61
+    assert warc.shard_bounds(df.limit(0), 50) == [] and warc.shard_bounds(df, 10**6) == []
