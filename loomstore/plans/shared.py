@@ -76,6 +76,20 @@ def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.filter(~test(F.col(key))).unionByName(maybe)
 
 
+#: Keys that hold more than one in so many rows can't be more than so many.
+HOT_KEYS = 1000
+
+
+def join_counted(df: DataFrame, side: DataFrame, key: list[str], count: str) -> DataFrame:
+    """``df`` joined with ``side`` on ``key``; both are kept tables, and ``side`` has one row a key, with the number of rows that ``df``
+    has of it. The few keys with over 1/HOT_KEYS of all rows are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    total = side.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_KEYS > total
+    hot = F.broadcast(side.filter(is_hot))
+    rest = df.join(F.broadcast(side.filter(is_hot).select(*key)), key, "left_anti")
+    return df.join(hot, key).unionByName(rest.join(side.filter(~is_hot).hint("shuffle_hash"), key))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer partitions than cores is dealt out to all cores; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

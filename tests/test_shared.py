@@ -31,3 +31,11 @@ def test_key_filter_lets_few_others_through(spark):
     test = shared.key_filter(spark.range(10_000))
     some = spark.range(200_000).filter(test(F.col("id")))
     assert 10_000 <= some.count() <= 10_100 and some.filter("id < 10000").count() == 10_000
+
+
+def test_hot_keys_are_joined_apart(spark):
+    df = shared.keep(spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id"), "rows")
+    side = shared.keep(df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")), "side")
+    got = shared.join_counted(df, side, ["k"], "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.join(side, "k").collect()))
+    assert shared.join_counted(df.limit(0), side.limit(0), ["k"], "n").count() == 0
