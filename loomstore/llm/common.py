@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.plans.shared import fresh_path, keep, shared_dir, with_keys, without_keys
+from loomstore.plans.shared import fresh_path, join_counted, keep, shared_dir, with_keys, without_keys
 
-__all__ = ["fresh_path", "keep", "lower_ascii", "map_arrow", "shared_dir", "only", "small_batches", "table", "with_keys", "without_keys"]
+__all__ = ["fresh_path", "join_counted", "keep", "lower_ascii", "map_arrow", "shared_dir", "only", "small_batches", "table", "with_keys", "without_keys"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, keep, lower_ascii, small_batches, with_keys, without_keys
+from .common import fresh_path, join_counted, keep, lower_ascii, small_batches, with_keys, without_keys
 
 RUN_SCHEMA = "digest string, best long, n long, run string"
 
@@ -126,7 +126,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index.flush(ids)
     index.compact()
     groups = index.table()
-    found = keep(ids.join(groups, "digest"), "groups")
+    found = keep(join_counted(ids, groups, ["digest"], "n"), "groups")
 
     # the byte check: of texts that have copies, hits meet the kept row, which goes to each salt of its group. Texts without
     # copies stay where they are

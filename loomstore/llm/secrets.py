@@ -8,8 +8,8 @@ findings back to all paths that hold the blob.
 
 One copy of a blob is its smallest path id: picking it needs ids and digests only. Texts of
 which a cheap hint speaks then move once, spread by id, so that a text with a third of all
-copies weighs on no task; all other texts stay where they are. Paths of clean blobs stay where they are too, those of
-blobs with findings are salted.
+copies weighs on no task; all other texts stay where they are. Paths of clean blobs stay where they are too; of the
+others, those of hot blobs do.
 
 Scans may share a ledger: each appends whole files of its own, and what two scans found in one blob at the same time (the same, as it is the
 blob and the rules that decide) counts once where the ledger is read. Null counts as an empty text. Empty tables give empty results, extra columns
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstore.functions.predicates import any_of
-from loomstore.plans.shared import key_filter
+from loomstore.plans.shared import join_counted, key_filter
 
 from .common import fresh_path, keep
 from .spans import spans
@@ -39,8 +39,6 @@ BASE = KINDS[:3]
 #: Raise it with any change of the rules: all blobs are then unseen.
 RULE_VERSION = 1
 
-#: Tasks that the paths of one blob with findings are dealt out to.
-SALTS = 16
 SPAN = "array<struct<start:int,end:int,value:string>>"
 LEDGER = "blob string, rule_version int, " + ", ".join(f"`{k}` {SPAN}" for k in KINDS)
 
@@ -115,9 +113,9 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, id_col: str = "doc_i
     hits = keep(ledger.findings(), "findings")
     test = key_filter(hits.select("blob"))
     clean = paths.filter(~test(F.col("blob"))).select("path_id", "blob", *[none.alias(k) for k in KINDS])
-    salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = paths.filter(test(F.col("blob"))).withColumn("salt", F.pmod(F.xxhash64("path_id"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), ["blob", "salt"], "left")
-    both = clean.unionByName(found.select("path_id", "blob", *[F.coalesce(F.col(k), none).alias(k) for k in KINDS]))
+    dirty = keep(paths.filter(test(F.col("blob"))).select("path_id", "blob"), "dirty-paths")
+    counted = keep(dirty.groupBy("blob").count().join(hits, "blob", "left").select("blob", "count", *[F.coalesce(F.col(k), none).alias(k) for k in KINDS]), "counted-findings")
+    both = clean.unionByName(join_counted(dirty, counted, ["blob"], "count").drop("count"))
     return both.withColumnRenamed("path_id", id_col)
 
 

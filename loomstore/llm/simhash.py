@@ -3,9 +3,10 @@
 Two fingerprints that differ by at most d bits, cut into d // 2 + 1 segments, have a
 segment that differs by at most one bit (else they would differ by two bits in each). A
 segment's variants are its value with one bit made a wildcard; two segments differ by at
-most one bit exactly if they share a variant. So every distinct fingerprint is indexed
-under 64 variants (wildcard place, rest of the segment), and an equality grouping on the
-variant brings all linked pairs together, where the Hamming distance is checked.
+most one bit exactly if they share a variant. The bits outside of the segment differ by d at most, so of d + 1 blocks of
+them one is equal. So every distinct fingerprint is indexed
+under 64 variants (wildcard place, rest of the segment), each with d + 1 blocks, and an equality grouping on
+these brings all linked pairs together, where the Hamming distance is checked.
 
 Equal fingerprints collapse before that. Within a variant's group the check walks from
 a fingerprint to all it links to and takes those out of the rest: it gives one edge for
@@ -15,7 +16,8 @@ rounds (``loomstore.operators.components``).
 
 Words are runs of characters other than blanks (x20, x09-x0D) after lower-casing A-Z; a
 text of fewer than ``width`` words is one shingle, and one without words has fingerprint
-zero and is linked like any other. Null counts as empty. Ids are unique longs. Empty tables give
+zero and is linked like any other. Null counts as empty. Rows that repeat an id, and rows without one, are each reported;
+a null id is never the smallest of a class with others. Empty tables give
 empty results; extra columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomstore.operators.components import connected_components
 
-from .common import keep, map_arrow, small_batches
+from .common import join_counted, keep, map_arrow, small_batches
 
 CHUNK = 200_000
 
@@ -98,12 +100,10 @@ def segments(max_diff: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(fps: DataFrame, max_diff: int, refine: bool = False) -> DataFrame:
-    """(key, fp): a row for each wildcard place. The key holds the place and the segment without that bit.
-
-    With ``refine`` the bits outside of the segment are cut into max_diff + 1 blocks, of which one must be equal, and the key
-    (hashed) holds one of these too: that many times more rows, and some 80 times fewer chance meetings.
-    """
+def variants(fps: DataFrame, max_diff: int) -> DataFrame:
+    """(key, fp): rows for each wildcard place. The key holds the place and the segment without that bit, and one of the max_diff + 1
+    blocks that the bits outside of the segment are cut into: of these one at least is equal. It costs that many rows more, and makes
+    chance meetings some 80 times rarer."""
     place = F.col("place")
     seg = masks = F.lit(None).cast("long")
     blocks = F.lit(None).cast("array<long>")
@@ -118,10 +118,8 @@ def variants(fps: DataFrame, max_diff: int, refine: bool = False) -> DataFrame:
         blocks = F.when(inside, F.array(*parts)).otherwise(blocks)
     bit = F.expr("shiftleft(1L, cast(place - first as int))")
     rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place"))
-    rows = rows.select("fp", "place", masks.alias("value"), seg.alias("first"), *([blocks.alias("blocks")] if refine else []))
+    rows = rows.select("fp", "place", masks.alias("value"), seg.alias("first"), blocks.alias("blocks"))
     key = F.shiftleft(place.cast("long"), 56) + F.col("value").bitwiseAND(F.bitwise_not(bit))
-    if not refine:
-        return rows.select(key.alias("key"), "fp")
     return rows.select("fp", key.alias("key"), F.posexplode("blocks").alias("b", "v")).select(F.xxhash64("key", "b", "v").alias("key"), "fp")
 
 
@@ -199,10 +197,10 @@ def _links(max_diff: int, block: int, defer: bool):
 LINKS = "key long, part int, a long, b long"
 
 
-def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 100_000, refine: bool = False) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 20_000) -> DataFrame:
     """(a, b): edges over distinct fingerprints with the same components as all links of at most max_diff bits."""
     spark = fps.sparkSession
-    keyed = variants(fps.select("fp").distinct(), max_diff, refine).repartition("key").sortWithinPartitions("key")
+    keyed = variants(fps.select("fp").distinct(), max_diff).repartition("key").sortWithinPartitions("key")
     small_batches(spark, 100_000)
     first = keep(keyed.mapInArrow(_links(max_diff, block, True), LINKS), "links")
     edges = first.filter("part = -1").select("a", "b")
@@ -217,12 +215,12 @@ def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 100_000, r
     return edges.union(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4, block: int = 100_000, refine: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4, block: int = 20_000) -> DataFrame:
     """id_col, fingerprint (16 hexadecimal digits), component_id (smallest id reachable over links)."""
     fps = keep(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = connected_components(fingerprint_links(fps, max_diff, block, refine))
-    least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    least = least.join(classes.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(roots, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = connected_components(fingerprint_links(fps, max_diff, block))
+    least = fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
+    least = keep(least.join(classes.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root")), "least")
+    roots = keep(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "roots")
+    named = keep(join_counted(least, roots, ["root"], "members").select("fp", "n", "component_id"), "named")
+    return join_counted(fps, named, ["fp"], "n").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

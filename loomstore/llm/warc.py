@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, keep, small_batches
+from .common import fresh_path, join_counted, keep, small_batches
 
 BINS = 4096
 #: Bits by which a heavy bin is cut.
@@ -62,9 +62,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     # payloads made to share a SHA-1 differ in the other hash
     ids = keep(hashed.select("page_id", "payload_bytes", base32_of_hex(F.col("hex")).alias("payload_digest"), "check"), "payloads")
     same = ["payload_digest", "payload_bytes", "check"]
-    first = ids.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    large = ids.filter(F.col("payload_bytes") >= min_revisit_bytes)
+    first = keep(large.groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payload-groups")
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    return ids.join(first, same, "left").select("page_id", "payload_bytes", "payload_digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
+    known = join_counted(large, first, same, "n").select("page_id", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    small = ids.filter(F.col("payload_bytes") < min_revisit_bytes).select("page_id", "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to"))
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    return known.unionByName(small).select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def shard_bounds(ids: DataFrame, shard_records: int) -> list[int]:
