@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstore.functions import vectors
 from loomstore.functions.predicates import importance_rank
 from loomstore.functions.text import embed_text, summary_hash
-from loomstore.operators import extract, graph, lifecycle, packs, records, search
-from loomstore.schemas import AUTO_DECAY, DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS
+from loomstore.operators import extract, graph, lifecycle, lookup, packs, records, search
+from loomstore.plans.shared import keep
+from loomstore.schemas import AUTO_DECAY, CONSOLIDATE_AT, DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS, TABLES
 from loomstore.sources import sinks
 from loomstore.sources.snapshots import Snapshots
 
@@ -37,10 +40,16 @@ def hashing_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
+#: Rows that ``get`` keeps on the driver.
+CACHED = 256
+
+
 class MemoryEngine:
     def __init__(self, spark: SparkSession, path: str, dims: int = 64, readonly: bool = False, embedder: Embedder | None = None):
         self.spark, self.embedder = spark, embedder
         self.store_ = Snapshots(spark, path, dims, readonly)
+        self._cache: OrderedDict = OrderedDict()
+        self._cached_at = -1
 
     # --- memories ---------------------------------------------------------
 
@@ -103,7 +112,8 @@ class MemoryEngine:
             hits = search.keyword_search(self.memories, query.split(), limit).withColumn("score", F.lit(1.0))
         if touch and not self.store_.readonly:
             hits = self.spark.createDataFrame(hits.collect(), hits.schema)  # at most ``limit`` rows, kept as they were found
-            self.store_.mutate("memories", lambda m: lifecycle.touch(m, hits.select("id"), self._now()))
+            # a few rows beside the table, merged when it is read
+            self.store_.append("touches", hits.select("id", F.lit(1).alias("times"), self._now().alias("at")))
         return hits
 
     def render(self, hits: DataFrame, style: str = "toon") -> str:
@@ -174,7 +184,67 @@ class MemoryEngine:
 
         f = extract.extract_facts(texts)
         rows = f.select(F.expr("uuid()").alias("id"), F.lit(f"context-{project}").alias("topic"), F.col("fact").alias("summary"), cap_importance(F.col("importance"), max_importance).alias("importance"), F.array_union("kinds", extract.entities(F.col("fact"))).alias("keywords"), F.lit(None).cast("string").alias("raw_excerpt"), F.lit(None).cast("array<float>").alias("embedding"), F.monotonically_increasing_id().alias("seq"))
-        return self.store(self.spark.createDataFrame(rows.collect(), rows.schema)) if rows.take(1) else self.store_.state["version"]
+        rows = keep(rows, "facts")  # ids and order are fixed before they are used twice
+        return self.store_.state["version"] if rows.isEmpty() else self.store(rows)
+
+    def preview(self, texts: DataFrame, project: str) -> DataFrame:
+        """What ``extract`` would store: (topic, fact, importance, kinds)."""
+        return extract.extract_facts(texts).select(F.lit(f"context-{project}").alias("topic"), "fact", "importance", "kinds")
+
+    def maybe_consolidate(self, topic: str, threshold: int = CONSOLIDATE_AT, enabled: bool = True) -> str:
+        """Consolidates a topic of at least ``threshold`` rows; says what was done ('' for nothing)."""
+        n = lookup.by_key(self.memories, topic=topic).count() if enabled and not self.store_.readonly else 0
+        if n < max(2, threshold):
+            return ""
+        self.consolidate(topic)
+        return f"consolidated {n} entries of {topic}"
+
+    # --- getters --------------------------------------------------------------
+
+    def get(self, memory_id: str):
+        """One memory by id, or None. The last CACHED rows stay on the driver until the store moves on."""
+        if self._cached_at != self.store_.state["version"]:
+            self._cache.clear()
+            self._cached_at = self.store_.state["version"]
+        if memory_id in self._cache:
+            self._cache.move_to_end(memory_id)
+        else:
+            self._cache[memory_id] = lookup.by_key(self.memories, id=memory_id).first()
+            if len(self._cache) > CACHED:
+                self._cache.popitem(last=False)
+        return self._cache[memory_id]
+
+    def get_many(self, ids: list[str]) -> DataFrame:
+        return lookup.by_keys(self.memories, ids)
+
+    def memoir(self, key: str):
+        """A memoir by id or name, or None."""
+        return self.store_.table("memoirs").filter((F.col("id") == key) | (F.col("name") == key)).orderBy(F.col("id") != key).first()
+
+    def memoirs(self) -> DataFrame:
+        return lookup.list_memoirs(self.store_.table("memoirs"))
+
+    def concept(self, concept_id: str):
+        return lookup.by_key(self.store_.table("concepts"), id=concept_id).first()
+
+    def concept_named(self, memoir_id: str, name: str):
+        return lookup.by_key(self.store_.table("concepts"), memoir_id=memoir_id, name=name).first()
+
+    def concepts(self, memoir_id: str) -> DataFrame:
+        return lookup.list_concepts(self.store_.table("concepts"), memoir_id)
+
+    def links(self, concept_id: str, outgoing: bool = True) -> DataFrame:
+        return lookup.by_key(self.store_.table("links"), **{"source_id" if outgoing else "target_id": concept_id})
+
+    def session(self, session_id: str):
+        return lookup.by_key(self.store_.table("sessions"), id=session_id).first()
+
+    def sessions(self, limit: int = 50) -> DataFrame:
+        return self.store_.table("sessions").orderBy(F.desc("updated_at"), "id").limit(limit)
+
+    def counts(self) -> DataFrame:
+        """(name, n) of all tables."""
+        return lookup.table_counts({name: self.store_.table(name) for name in TABLES})
 
     def patterns(self, topic: str, min_size: int = 3) -> DataFrame:
         m = self.memories.filter(F.col("topic") == topic)
@@ -208,6 +278,36 @@ class MemoryEngine:
             raise ValueError("the link would close a cycle")
         return self.store_.write("links", links.unionByName(new, allowMissingColumns=True).dropDuplicates(["source_id", "target_id", "relation"]))
 
+    def _changed(self, table: str, changes: DataFrame) -> int:
+        rows = self.store_.table(table)
+        missing = graph.missing_ids(rows, changes).first()
+        if missing:
+            raise KeyError(missing.id)
+        return self.store_.write(table, graph.update_by_id(rows, changes.withColumn("updated_at", self._now())))
+
+    def update_memoir(self, memoir_id: str, name: str | None = None, description: str | None = None) -> int:
+        return self._changed("memoirs", self.spark.createDataFrame([(memoir_id, name, description)], "id string, name string, description string"))
+
+    def update_concept(self, concept_id: str, name: str | None = None, definition: str | None = None, confidence: float | None = None) -> int:
+        return self._changed("concepts", self.spark.createDataFrame([(concept_id, name, definition, confidence)], "id string, name string, definition string, confidence double"))
+
+    def delete_concept(self, concept_id: str) -> int:
+        """With its links."""
+        gone = self.spark.createDataFrame([(concept_id,)], "id string")
+        concepts, links = graph.delete_concept(self.store_.table("concepts"), self.store_.table("links"), gone)
+        self.store_.write("links", links)
+        return self.store_.write("concepts", concepts)
+
+    def delete_memoir(self, memoir_id: str) -> int:
+        """With its concepts and their links."""
+        concepts, links = graph.delete_memoir(self.store_.table("concepts"), self.store_.table("links"), memoir_id)
+        self.store_.write("links", links)
+        self.store_.write("concepts", concepts)
+        return self.store_.mutate("memoirs", lambda m: m.filter(F.col("id") != memoir_id))
+
+    def delete_link(self, link_id: str) -> int:
+        return self.store_.mutate("links", lambda x: x.filter(F.col("id") != link_id))
+
     def inspect(self, concept_id: str, depth: int = 1) -> DataFrame:
         start = self.spark.createDataFrame([(concept_id,)], "id string")
         return graph.neighbourhood(self.store_.table("links"), start, max(1, min(depth, 3))).join(self.store_.table("concepts"), "id")
@@ -238,11 +338,93 @@ class MemoryEngine:
         new = self.spark.createDataFrame([(session_id, agent, project)], "id string, agent string, project string").withColumn("started_at", now).withColumn("updated_at", now)
         self.store_.write("sessions", records.ensure_sessions(s, new))
         m = self.spark.createDataFrame([(str(uuid.uuid4()), session_id, r, c) for r, c in rows], "id string, session_id string, role string, content string").withColumn("ts", now)
-        return self.store_.write("messages", self.store_.table("messages").unionByName(m, allowMissingColumns=True))
+        return self.store_.append("messages", m)
 
     def search_transcripts(self, query: str, **scope) -> DataFrame:
         return records.search_transcripts(self.store_.table("messages"), self.store_.table("sessions"), query, **scope)
 
+    def fact_history(self, entity: str, key: str) -> DataFrame:
+        return lookup.by_key(self.store_.table("facts"), entity=entity, key=key).orderBy("created_at")
+
+    def forget_fact(self, entity: str, key: str) -> int:
+        return self.store_.mutate("facts", lambda f: f.filter((F.col("entity") != entity) | (F.col("key") != key)))
+
+    # --- feedback -------------------------------------------------------------
+
+    def record_feedback(self, topic: str, context: str, predicted: str, corrected: str, reason: str | None = None, source: str = "manual") -> str:
+        fid = str(uuid.uuid4())
+        row = self.spark.createDataFrame([(fid, topic, context, predicted, corrected, reason, source)], "id string, topic string, context string, predicted string, corrected string, reason string, source string")
+        self.store_.append("feedback", row.withColumn("created_at", self._now()).withColumn("applied_count", F.lit(0)))
+        return fid
+
+    def apply_feedback(self, ids: list[str]) -> int:
+        return self.store_.mutate("feedback", lambda f: records.increment_applied(f, self._ids(ids)))
+
+    def delete_feedback(self, ids: list[str]) -> int:
+        return self.store_.mutate("feedback", lambda f: records.delete_feedback(f, self._ids(ids)))
+
+    def search_feedback(self, query: str, topic: str | None = None, limit: int = 20) -> DataFrame:
+        return records.search_feedback(self.store_.table("feedback"), query, topic, limit)
+
+    def _ids(self, ids: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id string")
+
+    # --- hooks ----------------------------------------------------------------
+
+    def record_hook_events(self, events: DataFrame) -> int:
+        """Rows (ts, event, ...) get ids that go on from the last one."""
+        last = self.store_.table("hook_events").agg(F.max("id")).first()[0] or 0
+        return self.store_.append("hook_events", records.number_events(events, last))
+
+    def prune_hook_events(self, cutoff: datetime.datetime) -> int:
+        return self.store_.mutate("hook_events", lambda e: records.prune_events(e, F.lit(cutoff)))
+
+    def hook_stats(self) -> DataFrame:
+        return records.hook_stats(self.store_.table("hook_events"))
+
+    def hook_counter(self, reset: bool = False) -> int:
+        """Counts up by one, or sets the counter to 0."""
+        n = 0 if reset else int(self.store_.meta("hook_counter") or 0) + 1
+        self.store_.meta("hook_counter", str(n))
+        return n
+
+    def enqueue(self, project: str, tool_name: str, raw_output: str) -> int:
+        """Puts a tool's output on the queue of texts to extract from."""
+        row = self.spark.createDataFrame([(str(uuid.uuid4()), project, tool_name, raw_output)], "id string, project string, tool_name string, raw_output string")
+        return self.store_.append("pending", row.withColumn("captured_at", self._now()))
+
+    def on_prompt(self, session_id: str, agent: str, project: str, text: str, limit: int = 5) -> DataFrame:
+        """Archives a user's turn and gives what is known on it: its first 200 bytes are the query."""
+        self.record_messages(session_id, agent, project, [("user", text)])
+        head = text.encode()[:200].decode(errors="ignore")
+        return search.fallback_tiers(self.memories, head, project, limit)
+
+    def on_session_end(self, project: str, limit: int = 100) -> int:
+        """Extracts facts from the oldest queued texts of a project and takes them off the queue; returns how many."""
+        queue = keep(records.oldest_pending(lookup.by_key(self.store_.table("pending"), project=project), limit), "drained")
+        n = queue.count()
+        if n:
+            self.extract(queue.select("id", F.col("raw_output").alias("summary")), project)
+            self.store_.mutate("pending", lambda q: lifecycle.delete_rows(q, queue.select("id")))
+        return n
+
+    # --- exchange -------------------------------------------------------------
+
+    def push(self, folder: str, topics: list[str] | None = None) -> int:
+        """Writes memories (of some topics) to a folder that other stores can pull from; returns how many."""
+        rows = self.memories.filter(F.col("topic").isin(topics)) if topics else self.memories
+        rows = keep(rows, "pushed")
+        rows.write.mode("append").parquet(f"{folder.rstrip('/')}/memories")
+        return rows.count()
+
+    def pull(self, folder: str) -> int:
+        """Memories of a folder replace those of their id and add the others; of several pushes of one id the last change counts."""
+        got = self.spark.read.schema(self.memories.schema).parquet(f"{folder.rstrip('/')}/memories")
+        newest = got.groupBy("id").agg(F.max_by(F.struct(*got.columns), "updated_at").alias("r")).select("r.*")
+        dims = self.store_.state["dims"]
+        fit = newest.withColumn("embedding", F.when(vectors.has_dims(F.col("embedding"), dims), F.col("embedding")))
+        return self.store_.write("memories", lifecycle.upsert(self.memories, keep(fit, "pulled")))
+
     def nearest(self, vector: list[float], limit: int = 10) -> DataFrame:
         return search.knn(self.memories, vector, limit)
 

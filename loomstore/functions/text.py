@@ -137,3 +137,15 @@ def is_tool_command(cmd: Column, tool: str) -> Column:
 
 def parse_time(c: Column) -> Column:
     return F.try_to_timestamp(c)
+
+
+def instructed(text: Column, model: str, role: str) -> Column:
+    """The text as a model wants it: models of the E5 family have a word before queries and passages."""
+    from loomstore.schemas import E5_PREFIXES
+
+    return F.concat(F.lit(E5_PREFIXES[role]), text) if "-e5-" in model.lower() else text
+
+
+def local_time(ts: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """A timestamp as the clocks of a zone show it, whatever the session's zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), ts.cast("timestamp_ntz")), pattern)

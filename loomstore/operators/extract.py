@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomstore.schemas import ANCHORS
 from loomstore.functions.predicates import any_of, contains_any
 from loomstore.functions.text import greedy_distinct
 
@@ -168,3 +169,35 @@ def keyword_hit(response: Column, answer: Column, threshold: float = 0.3) -> Col
     ws = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(answer, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.lower), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)))
     low = F.lower(response)
     return F.when(F.size(ws) == 0, True).otherwise(F.size(F.filter(ws, lambda w: F.contains(low, w))) / F.size(ws) >= threshold)
+
+
+def answer_scores(answers: DataFrame) -> DataFrame:
+    """Adds matches, total and score to rows (answer, expected array, min_matches): 100 from ``min_matches`` expected words on, else the share
+    of them that was found."""
+    low = F.lower("answer")
+    found = F.size(F.filter("expected", lambda w: F.contains(low, F.lower(w))))
+    rows = answers.withColumn("matches", found).withColumn("total", F.size("expected"))
+    share = F.when(F.col("matches") >= F.col("min_matches"), F.lit(100.0)).otherwise(F.col("matches") * 100.0 / F.col("min_matches"))
+    return rows.withColumn("score", F.least(share, F.lit(100.0)))
+
+
+def anchor_importance(kind: Column) -> Column:
+    """How important a sentence is that an anchor of this kind found."""
+    return F.create_map(*[F.lit(x) for pair in ANCHORS.items() for x in pair])[kind]
+
+
+def anchor_tag(kind: Column) -> Column:
+    return F.when(kind.isin(list(ANCHORS)), F.concat(F.lit("kind:"), kind))
+
+
+def merge_prompt(df: DataFrame, max_tokens: int = 200) -> DataFrame:
+    """(topic, prompt): what a language model is asked to make one entry of a topic's entries, the heaviest first, as many as fit
+    four characters a token; the rest is counted."""
+    w = Window.partitionBy("topic").orderBy(F.desc("weight"), "id")
+    line = F.concat(F.lit("- "), F.regexp_replace("summary", r"\s+", " "))
+    rows = df.select("topic", line.alias("line"), F.sum(F.length(line) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(w).alias("rn"))
+    fits = F.col("upto") <= 4 * max_tokens
+    some = rows.groupBy("topic").agg(F.array_sort(F.collect_list(F.when(fits, F.struct("rn", "line")))).alias("rows"), F.count_if(~fits).alias("more"))  # as many as fit
+    text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    head = F.concat(F.lit("Merge these entries on "), "topic", F.lit(f" into one of at most {max_tokens} tokens. Keep each fact once and names as they are.\n"))
+    return some.select("topic", F.concat(head, text, F.when(F.col("more") > 0, F.concat(F.lit("\n("), F.col("more").cast("string"), F.lit(" more)"))).otherwise("")).alias("prompt"))

@@ -107,9 +107,8 @@ def refine(concepts: DataFrame, changes: DataFrame) -> DataFrame:
 
 def delete_memoir(concepts: DataFrame, links: DataFrame, memoir: str) -> tuple[DataFrame, DataFrame]:
     """What is left of concepts and links: links with either end in the memoir go too."""
-    gone = concepts.filter(F.col("memoir_id") == memoir).select("id")
-    kept = links.join(gone, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("target_id") == F.col("id"), "left_anti")
-    return concepts.filter(F.col("memoir_id") != memoir), kept
+    rest, kept = delete_concept(concepts, links, concepts.filter(F.col("memoir_id") == memoir))
+    return rest, kept
 
 
 def named_edges(concepts: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,3 +193,22 @@ def batch_concept_counts(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("memoir_id").agg(F.count("*").alias("concepts"))
 
 
+
+
+def update_by_id(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of ``df`` with the values of the row in ``changes`` that has their id (nulls change nothing). The ids of ``changes`` that ``df`` lacks
+    are the caller's to refuse: ``missing_ids``."""
+    cols = [c for c in changes.columns if c != "id"]
+    new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in cols])
+    return df.join(new, "id", "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def missing_ids(df: DataFrame, changes: DataFrame) -> DataFrame:
+    return changes.select("id").join(df, "id", "left_anti")
+
+
+def delete_concept(concepts: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without these concepts, and without the links from or to them."""
+    gone = ids.select(F.col("id").alias("_id"))
+    rest = concepts.join(gone, F.col("id") == F.col("_id"), "left_anti")
+    return rest, links.join(gone, F.col("source_id") == F.col("_id"), "left_anti").join(gone, F.col("target_id") == F.col("_id"), "left_anti")

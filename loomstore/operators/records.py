@@ -229,6 +229,21 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
     return total.unionByName(topic).unionByName(top)
 
 
+def record_feedback(feedback: DataFrame, new: DataFrame) -> DataFrame:
+    """With new rows, not applied yet."""
+    return feedback.unionByName(new.withColumn("applied_count", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def increment_applied(feedback: DataFrame, ids: DataFrame) -> DataFrame:
+    """One more for each time that an id is named."""
+    times = ids.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n"))
+    return feedback.join(times, F.col("id") == F.col("_id"), "left").withColumn("applied_count", F.col("applied_count") + F.coalesce("_n", F.lit(0))).drop("_id", "_n")
+
+
+def delete_feedback(feedback: DataFrame, ids: DataFrame) -> DataFrame:
+    return feedback.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 # --- telemetry -------------------------------------------------------------
 
 
@@ -246,6 +261,23 @@ def hook_stats(events: DataFrame, mode: str = "nearest") -> DataFrame:
     return base.join(ps, "event")
 
 
+def number_events(new: DataFrame, last: int = 0, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """New events with ids that go on from the last one, in this order: places within sorted partitions, after the partitions' counts."""
+    from loomstore.plans.shared import keep
+
+    rows = keep(new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_k", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_k", 33)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_before", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
+    numbered = rows.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return numbered.withColumn("id", F.coalesce("_before", F.lit(0)) + F.col("_k").bitwiseAND((1 << 33) - 1) + 1 + last).drop("_p", "_k", "_c", "_before")
+
+
+def prune_events(events: DataFrame, cutoff) -> DataFrame:
+    """Without the events before the cutoff."""
+    return events.filter(F.col("ts") >= cutoff)
+
+
 def recent_events(events: DataFrame, limit: int, event: str | None = None) -> DataFrame:
     rows = events.filter(F.col("event") == event) if event else events
     return rows.orderBy(F.desc("id")).limit(limit)

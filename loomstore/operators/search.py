@@ -7,8 +7,11 @@ postings filtered by the query terms before any shuffle.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,6 +85,41 @@ def keyword_or_search(df: DataFrame, words: list[str], limit: int = 20) -> DataF
     return topk(df.filter(test), min(limit, MAX_LIMIT), F.desc("weight"), F.asc("id"))
 
 
+def topic_prefix(df: DataFrame, prefix: str, limit: int = 500) -> DataFrame:
+    """The relational dialect: topics that begin so, case and all; by weight."""
+    return topk(df.filter(F.startswith("topic", F.lit(prefix))), limit, F.desc("weight"), F.asc("id"))
+
+
+def keyword_like(df: DataFrame, words: list[str], limit: int = 20) -> DataFrame:
+    """The relational dialect: words may hold the wildcards % and _, and case doesn't count."""
+    some = [f"%{w}%" for w in words[:MAX_KEYWORDS]]
+    test = reduce(lambda a, b: a | b, [c.ilike(w) for w in some for c in (F.to_json("keywords"), F.col("summary"), F.col("topic"))], F.lit(False))
+    return topk(df.filter(test), min(limit, MAX_LIMIT), F.desc("weight"), F.asc("id"))
+
+
+_WEB = re.compile(r'(-?)(?:"([^"]*)"?|([^\s"]+))')
+
+
+def websearch(query: str, toks: Column) -> Column:
+    """The relational dialect's query language over an array of words: all words, "phrases", -exclusions, and ``or`` between groups."""
+    line = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    groups: list[list[Column]] = [[]]
+    for minus, phrase, word in _WEB.findall(query):
+        if word.lower() == "or" and not minus:
+            groups.append([])
+            continue
+        terms = query_terms(phrase or word)
+        if terms:
+            test = F.contains(line, F.lit(" " + " ".join(terms) + " "))
+            groups[-1].append(~test if minus else test)
+    some = [reduce(lambda a, b: a & b, g) for g in groups if g]
+    return reduce(lambda a, b: a | b, some, F.lit(False))
+
+
+def fts_websearch(df: DataFrame, query: str, limit: int = 10, cols: tuple[str, ...] = ("topic", "summary", "keywords")) -> DataFrame:
+    return topk(df.filter(websearch(query, tokens(all_text(cols)))), min(limit, MAX_LIMIT), F.desc("weight"), F.asc("id"))
+
+
 def knn(df: DataFrame, query: list[float], limit: int = 10) -> DataFrame:
     """(id, sim): exact nearest neighbours by cosine; rows without a vector are left out."""
     return topk(df.filter("embedding is not null").select("id", cosine(F.col("embedding"), literal(query)).alias("sim")), limit, F.desc("sim"), F.asc("id"))
@@ -89,20 +127,50 @@ def knn(df: DataFrame, query: list[float], limit: int = 10) -> DataFrame:
 
 def knn_batch(queries: DataFrame, df: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """(query_id, id, sim, rn): for each query vector its k best rows. The queries are a stated set; they are
-    counted first and shared with all tasks only up to ``max_queries``, else taken in blocks of that size."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    n = q.count()
-    blocks = max(1, -(-n // max_queries))
+    counted first and shared with all tasks only up to ``max_queries``, else taken in blocks of that size.
+
+    Tasks multiply batches of rows with all queries of a block as matrices, and send on the best k of each batch and query only.
+    """
+    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).filter("q is not null")
+    kind, query_kind = df.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-q.count() // max_queries))
     out = None
     for b in range(blocks):
-        some = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = df.filter("embedding is not null").crossJoin(F.broadcast(some)).select("query_id", "id", cosine(F.col("embedding"), F.col("q")).alias("sim"))
+        some = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        part = df.filter("embedding is not null").select("id", "embedding").mapInArrow(_best_of_batch(some, k), f"query_id {query_kind}, id {kind}, sim double")
         w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("id"))
-        part = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+        part = part.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _matrix(col) -> np.ndarray:
+    """Rows of a list column; those of another length than the first's are an error."""
+    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def _best_of_batch(queries, k: int):
+    ids, vectors = queries.column(0).combine_chunks(), _matrix(queries.column(1).combine_chunks())
+    lengths = np.sqrt((vectors**2).sum(axis=1))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            rows = _matrix(b.column(1))
+            sims = (vectors @ rows.T) / np.maximum(lengths[:, None] * np.sqrt((rows**2).sum(axis=1))[None, :], 1e-10)
+            if k < sims.shape[1]:
+                # all that reach the kth best, so that ties are settled by id later
+                least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+                at, of = np.nonzero(sims >= least[:, None] - 1e-12)
+            else:
+                at, of = (x.ravel() for x in np.indices(sims.shape))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), b.column(0).take(pa.array(of)), pa.array(sims[at, of])], names=["query_id", "id", "sim"])
+
+    return run
+
+
 def hybrid(df: DataFrame, query: str, vector: list[float], limit: int = 10, cols: tuple[str, ...] = ("topic", "summary"), dialect: str = "embedded", monotone: bool = False) -> DataFrame:
     """(id, score): 30 % text and 70 % vector over two candidate pools of 4 * limit rows.
 

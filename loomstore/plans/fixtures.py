@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstore.functions.text import tokens
@@ -76,6 +76,12 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.join(d, "doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("topic"), F.col("text").alias("context"), F.col("quality").cast("string").alias("predicted"), F.col("toxic").cast("string").alias("corrected"), (F.col("doc_id") % 4).alias("applied_count"))
 
 
+def memoirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One for each table that concepts come from but the last, which stays without."""
+    rows = [("region", "regions", 1), ("nation", "nations", 2), ("customer", "customers", 3), ("supplier", "suppliers", 4)]
+    return spark.createDataFrame(rows, "id string, name string, rank int")
+
+
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(name: str, key: str, label: str, prefix: str) -> DataFrame:
         k = F.col(key).cast("string")
@@ -97,6 +103,40 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(of(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "s", "l_partkey", "p", "depends_on"))
 
 
+# What synthetic rows are made of, by turns.
+SYNTHETIC_TOPICS = ("architecture", "preferences", "errors-resolved", "context-project", "decisions")
+SYNTHETIC_QUERIES = ("database architecture", "authentication flow", "error handling", "user preferences", "deployment config")
+SYNTHETIC_IMPORTANCE = ("critical", "high", "medium", "low")
+
+
+def turn(values: tuple[str, ...], i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+
+
+def synthetic(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
+    """n deterministic memories, as the published latencies were measured on: topics and importances by turns, numbered summaries."""
+    i = F.col("id")
+    rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    summary = F.concat(F.lit("Benchmark memory number "), i.cast("string"), F.lit(" about "), turn(SYNTHETIC_TOPICS, i), F.lit(" with some extra words for FTS matching"))
+    return rows.select(
+        i,
+        turn(SYNTHETIC_TOPICS, i).alias("topic"),
+        summary.alias("summary"),
+        turn(SYNTHETIC_IMPORTANCE, i).alias("importance"),
+        (F.lit(1.0) - (i % 20) * 0.05).alias("weight"),
+        (i % 7).alias("access_count"),
+        F.array(turn(SYNTHETIC_TOPICS, i), F.concat(F.lit("k"), (i % 100).cast("string"))).alias("keywords"),
+        F.timestamp_seconds(F.lit(EPOCH) + i * 3600).alias("created_at"),
+        F.timestamp_seconds(F.lit(EPOCH) + i * 3600).alias("last_accessed"),
+    )
+
+
+def synthetic_vectors(spark: SparkSession, n: int, dims: int = 384) -> DataFrame:
+    """n rows with vectors of integers made from the row's and the place's number."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: ((F.col("id") * 31 + j * 17 + F.col("id") * j) % 101 - 50).cast("float"))
+    return spark.range(n).select("id", parts.alias("embedding"))
+
+
 SQL = {
     "memories": f"""select doc_id as id,
       case doc_id%5 when 0 then 'decisions-'||source when 1 then 'errors-resolved' when 2 then 'preferences' when 3 then 'context-'||source else source end as topic,
@@ -111,6 +151,7 @@ SQL = {
     "touches": "select user_id as project, event_type as file_path, cast(floor(epoch(ts)) as bigint) as ts_s, event_id as seq, case when event_id%3=0 then 'tool'||(event_id%5) end as tool_name from events",
     "fact_log": "select user_id as entity, event_type as key, json_extract_string(props,'$.k') as value, event_id as seq from events",
     "feedback": "select doc_id as id, source as topic, text as context, cast(quality as varchar) as predicted, cast(toxic as varchar) as corrected, doc_id%4 as applied_count from labels join documents using (doc_id)",
+    "memoirs": "select * from (values ('region','regions',1),('nation','nations',2),('customer','customers',3),('supplier','suppliers',4)) t(id,name,rank)",
     "concepts": " union all ".join(
         f"select '{p}'||{k} as id, '{n}' as memoir_id, {lab} as name, 'kind:{n} of '||{lab} as definition, cast(1 as double)*({k}%10)/10 as confidence, [{{'namespace':'kind','value':'{n}'}},{{'namespace':'tag','value':cast({k}%3 as varchar)}}] as labels from {n}"
         for n, k, lab, p in (("region", "r_regionkey", "r_name", "r"), ("nation", "n_nationkey", "n_name", "n"), ("customer", "c_custkey", "c_name", "c"), ("supplier", "s_suppkey", "s_name", "s"), ("part", "p_partkey", "p_name", "p"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from loomstore.functions import predicates as P
 from loomstore.functions import text as T
-from loomstore.operators import extract, graph, lifecycle, packs, records, search
+from loomstore.operators import extract, graph, lifecycle, lookup, packs, records, search
 from loomstore.plans import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -848,35 +848,20 @@ def telemetry_windows(spark, d):
     return hooks.telemetry(e).select(start.alias("start_s"), "event", "n", "errors", r6("avg_ms"))
 
 
-@query("select id, sha256(case when strlen(summary)<=500 then summary else 'cut' end) as head_sha, topic||' '||summary = topic||' '||summary as same, 'ns:'||topic as label from memories", M)
-def text_helpers(spark, d):
-    m = X.memories(spark, d)
-    head = T.head_bytes(F.col("summary"), 500)
-    short = F.when(F.octet_length("summary") <= 500, head).otherwise(F.when((F.octet_length(head) <= 500) & (F.octet_length(head) > 496) & F.startswith("summary", head), "cut"))
-    label = P.format_labels(F.array(P.parse_label(F.concat(F.lit("ns:"), F.col("topic")))))
-    return m.select("id", F.sha2(short, 256).alias("head_sha"), (T.embed_text(F.col("topic"), F.col("summary")) == F.concat(F.col("topic"), F.lit(" "), F.col("summary"))).alias("same"), label.alias("label"))
-
-
 @query("select cast(count(*) as bigint) as topics, cast(sum(n) as bigint) as entries, round(avg(w),6) as mean_of_means from (select topic, count(*) as n, avg(weight) as w from memories group by topic)", M)
 def health_totals(spark, d):
     h = lifecycle.health(X.memories(spark, d), now())
     return h.agg(F.count("*").alias("topics"), F.sum("entries").alias("entries"), F.round(F.avg("avg_weight"), 6).alias("mean_of_means"))
 
 
-@query("select session_id, min(k) as k from (select session_id, case when contains(lower(content),'the') then 1 else 2 end as k from messages) group by session_id", ("messages",))
-def answer_scores(spark, d):
-    """The best class of a session's answers: with the expected word or without."""
-    k = F.when(F.lower("content").contains("the"), 1).otherwise(2)
-    return X.messages(spark, d).groupBy("session_id").agg(F.min(k).alias("k"))
-
-
 @query("select topic, id from (select topic, id, row_number() over (partition by topic order by weight desc, id) as rn from memories) where rn<=3", M)
 def top3_per_topic(spark, d):
-    w = Window.partitionBy("topic").orderBy(F.desc("weight"), "id")
-    return X.memories(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("topic", "id")
+    return lookup.top_per(X.memories(spark, d), "topic", [F.desc("weight"), F.asc("id")], 3).select("topic", "id")
 
 
 @query("select id, topic, row_number() over (order by weight desc, id) as rn from memories order by weight desc, id limit 20 offset 40", M)
 def memories_page(spark, d):
-    page = X.memories(spark, d).orderBy(F.desc("weight"), "id").offset(40).limit(20)
-    return page.withColumn("rn", (F.row_number().over(Window.orderBy(F.desc("weight"), "id")) + 40).cast("long")).select("id", "topic", "rn")
+    return lookup.page(X.memories(spark, d), [F.desc("weight"), F.asc("id")], 20, 40).select("id", "topic", "rn")
+
+
+from loomstore import store_queries  # noqa: E402, F401  adds its queries to QUERIES

@@ -53,3 +53,11 @@ def format_costs(df: DataFrame) -> dict[str, tuple[int, int]]:
         text = render(df, style)
         out[style] = (len(text.encode()), -(-len(text) // 4))
     return out
+
+
+def negotiate(wanted: str | None, accept: str | None) -> str:
+    """'json' or 'toon': what is asked for by name, else JSON only if it is accepted and no text is."""
+    if (wanted or "").lower() in ("json", "toon"):
+        return wanted.lower()
+    a = (accept or "").lower()
+    return "json" if "application/json" in a and "text/" not in a else "toon"
