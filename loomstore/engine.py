@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomstore.functions import vectors
 from loomstore.functions.predicates import importance_rank
 from loomstore.functions.text import embed_text, summary_hash
-from loomstore.operators import extract, graph, lifecycle, lookup, packs, records, search
+from loomstore.operators import extract, graph, lifecycle, lookup, packs, postings, records, search
 from loomstore.plans.shared import keep
 from loomstore.schemas import AUTO_DECAY, CONSOLIDATE_AT, DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS, TABLES
 from loomstore.sources import sinks
@@ -116,6 +116,22 @@ class MemoryEngine:
             self.store_.append("touches", hits.select("id", F.lit(1).alias("times"), self._now().alias("at")))
         return hits
 
+    def index(self) -> postings.Postings:
+        """The inverted index of the memories' current version, built when it is first asked for."""
+        state = self.store_.state
+        name = state["tables"].get("memories", "none").replace("/", "-")
+        path = f"{self.store_.path}/_postings/{name}"
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+        if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return postings.Postings(self.spark, path)
+        half = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        half.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(half, True)  # one that wasn't finished
+        return postings.Postings.build(self.memories, path)
+
+    def search_text(self, query: str, limit: int = 10, mode: str = "or") -> DataFrame:
+        """(id, score): by BM25 over the index."""
+        return self.index().top(postings.phrase_terms(query), limit, mode)
+
     def render(self, hits: DataFrame, style: str = "toon") -> str:
         return sinks.render(hits, style)
 

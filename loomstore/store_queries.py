@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from loomstore.functions import predicates as P
 from loomstore.functions import text as T
 from loomstore.functions import vectors as V
-from loomstore.operators import extract, graph, lifecycle, lookup, records, search
+from loomstore.operators import extract, graph, lifecycle, lookup, postings, records, search
 from loomstore.plans import fixtures as X
-from loomstore.queries import NOW_S, TOK, M, query, r6, secs
+from loomstore.plans.shared import fresh_path
+from loomstore.queries import NOW_S, ORACLE_SQL, TOK, M, query, r6, secs
 from loomstore.schemas import ANCHORS, MODEL_DIMS
 
 LINKS = ("concepts", "links")
@@ -109,6 +110,31 @@ def fts_websearch(spark, d):
     return search.fts_websearch(X.memories(spark, d), 'the "of the" -and or preferences to', 50).select("id", r6("weight"))
 
 
+# --- the inverted index ---------------------------------------------------------
+
+
+def _index(spark, d):
+    return postings.Postings.build(X.memories(spark, d), fresh_path(spark, "postings"), ("summary",))
+
+
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_indexed(spark, d):
+    """The scores of the scan, from postings."""
+    return search.topk(_index(spark, d).bm25(["thing", "with", "ention"]).select("id", r6("score")), 100, F.desc("score"), F.asc("id"))
+
+
+@query(ORACLE_SQL["bm25_all_terms"])
+def bm25_indexed_all_terms(spark, d):
+    return search.topk(_index(spark, d).bm25(["the", "with"], "and").select("id", r6("score")), 100, F.desc("score"), F.asc("id"))
+
+
+@query(f", q as (select item_id as query_id, list_sort(list_distinct(regexp_extract_all(lower(text),'[\\p{{L}}\\p{{N}}]+')))[1:3] as terms from benchmark where item_id<10), d as (select id, {TOK.format('summary')} as toks from memories), s as (select count(*) as n, avg(len(toks)) as avgdl from d), t as (select query_id, unnest(terms) as term, len(terms) as wanted from q), p as (select t.query_id, t.term, t.wanted, d.id, len(list_filter(d.toks, lambda x: x=t.term)) as tf, len(d.toks) as dl from t join d on list_contains(d.toks, t.term)), f as (select term, count(distinct id) as df from p group by term), sc as (select query_id, id, wanted, count(*) as k, sum(greatest(ln((n-df+0.5)/(df+0.5)),1e-6)*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))) as score from p join f using (term), s group by all) select query_id, count(*) as hits, round(sum(score),4) as total from (select *, row_number() over (partition by query_id order by score desc, id) as rn from sc where k=wanted) where rn<=10 group by query_id", M)
+def bm25_batch(spark, d):
+    """Three terms of each of ten benchmark items; the ten best rows with all of them."""
+    q = X.table(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 1, 3), " ").alias("text"))
+    return _index(spark, d).batch(q, 10, "and").groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 4).alias("total"))
+
+
 # --- mutations -----------------------------------------------------------------
 
 

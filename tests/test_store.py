@@ -138,3 +138,17 @@ def test_facts_consolidation_and_exchange(engine, spark, tmp_path):
     assert other.memories.count() == 1 and row.summary == "Blue bicycles ride well" and row.embedding is None
     assert engine.maybe_consolidate("notes") == "" and engine.maybe_consolidate("decisions-app", 4, enabled=False) == ""
     assert engine.maybe_consolidate("decisions-app", 4).startswith("consolidated 4") and engine.memories.filter("topic = 'decisions-app'").count() == 1
+
+
+def test_the_index_is_built_once_a_version(engine):
+    got = engine.search_text("bicycles option", 3)
+    assert got.count() == 3 and engine.search_text("blue bicycles", mode="and").count() == 1
+    path = engine.index().path
+    engine.recall("bicycles")
+    assert engine.index().path == path
+    engine.store([{"topic": "notes", "summary": "Red bicycles too"}])
+    assert engine.index().path != path and engine.search_text("red").count() == 1 and engine.search_text("").count() == 0
+    rows = engine.index().batch(engine.spark.createDataFrame([(1, "red bicycles"), (2, "option"), (3, "zzz")], "query_id long, text string"), 2).collect()
+    assert {(r.query_id, r.rn) for r in rows} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    plan = engine.index().bm25(["red"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "[bucket") or "PartitionFilters: [" in plan
