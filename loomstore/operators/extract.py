@@ -16,49 +16,112 @@ from loomstore.functions.text import greedy_distinct
 
 # What each group of words adds to a sentence's score, and whether it raises the importance to high.
 SIGNALS = (
-    (1.5, False, "maximum|minimum|default|requires|supports|timeout|threshold|configured|limited by|port|nodes|cluster|protocol|phase"),
-    (2.0, False, "architecture|module|pipeline|component|design|structure|layer|implementation|deployed|system|framework|model"),
-    (3.0, True, "algorithm|implements|complexity|o(n|recursive|tolerance|consensus|replication|latency|throughput|bandwidth|fault"),
-    (2.5, True, "chose|chosen|decided|because|instead of|trade-off|rather than|reason|motivated|proposed|introduced|invented|ok so we|ok, so we|so we'll|so we will|let's go with|going with|final answer:|the call is|settled on|opted for"),
-    (2.0, False, "benchmark|performance|measured|achieves|tps|latency|availability|scales"),
-    (1.0, False, "licensed|published|paper|team|professor|university|company|stanford|mit"),
-    (2.5, True, "fixed|resolved|bug|workaround|root cause|regression|patch"),
-    (2.0, False, "configured|installed|migrated|upgraded|downgraded|enabled|disabled|deprecated"),
-    (2.0, False, "error:|failed:|warning:|panic|traceback|exception|denied|unauthorized|not found|timed out"),
-    (1.5, False, "version|release|v0.|v1.|v2.|changelog|breaking change"),
-    (1.5, False, "provider|database|credential|endpoint|webhook|api key|token|connection|cluster"),
-    (2.5, True, "always |never |must |should not|shouldn't|don't |do not |prefer |avoid |make sure|important to|remember to|rule:|convention:"),
-    (2.5, True, "learned|realized|turns out|the trick is|the fix was|the solution|the key is|the problem was|discovered that|figured out|gotcha|caveat|pitfall|note to self"),
-    (2.5, False, "we're using|we use |we switched|we migrated|we deploy|the project|the repo |the codebase|our stack|we went with|we picked"),
-    (2.5, True, "doesn't work|does not work|won't work|will not work|incompatible|breaks when|only works|doesn't support|does not support|limitation|can't use|cannot use|not compatible|not supported"),
-)
+    (1.5, False, (
+        "maximum", "minimum", "default", "requires", "supports", "timeout", "threshold", "configured", "limited by", "port", "nodes", "cluster", "protocol", "phase",
+    )),
+    (2.0, False, (
+        "architecture", "module", "pipeline", "component", "design", "structure", "layer", "implementation", "deployed", "system", "framework", "model",
+    )),
+    (3.0, True, (
+        "algorithm", "implements", "complexity", "o(n", "recursive", "tolerance", "consensus", "replication", "latency", "throughput", "bandwidth", "fault",
+    )),
+    (2.5, True, (
+        "chose", "chosen", "decided", "because", "instead of", "trade-off", "rather than", "reason", "motivated", "proposed", "introduced", "invented", "ok so we",
+        "ok, so we", "so we'll", "so we will", "let's go with", "going with", "final answer:", "the call is", "settled on", "opted for",
+    )),
+    (2.0, False, (
+        "benchmark", "performance", "measured", "achieves", "tps", "latency", "availability", "scales",
+    )),
+    (1.0, False, (
+        "licensed", "published", "paper", "team", "professor", "university", "company", "stanford", "mit",
+    )),
+    (2.5, True, (
+        "fixed", "resolved", "bug", "workaround", "root cause", "regression", "patch",
+    )),
+    (2.0, False, (
+        "configured", "installed", "migrated", "upgraded", "downgraded", "enabled", "disabled", "deprecated",
+    )),
+    (2.0, False, (
+        "error:", "failed:", "warning:", "panic", "traceback", "exception", "denied", "unauthorized", "not found", "timed out",
+    )),
+    (1.5, False, (
+        "version", "release", "v0.", "v1.", "v2.", "changelog", "breaking change",
+    )),
+    (1.5, False, (
+        "provider", "database", "credential", "endpoint", "webhook", "api key", "token", "connection", "cluster",
+    )),
+    (2.5, True, (
+        "always ", "never ", "must ", "should not", "shouldn't", "don't ", "do not ", "prefer ", "avoid ", "make sure", "important to", "remember to", "rule:",
+        "convention:",
+    )),
+    (2.5, True, (
+        "learned", "realized", "turns out", "the trick is", "the fix was", "the solution", "the key is", "the problem was", "discovered that", "figured out", "gotcha",
+        "caveat", "pitfall", "note to self",
+    )),
+    (2.5, False, (
+        "we're using", "we use ", "we switched", "we migrated", "we deploy", "the project", "the repo ", "the codebase", "our stack", "we went with", "we picked",
+    )),
+    (2.5, True, (
+        "doesn't work", "does not work", "won't work", "will not work", "incompatible", "breaks when", "only works", "doesn't support", "does not support",
+        "limitation", "can't use", "cannot use", "not compatible", "not supported",
+    )),
+)
 # Starts of sentences that tell what somebody is about to do.
-NARRATION = "let me |let's |i will |i'll |i'm going to |i am going to |i'm now |i am now |now i'll |now let me |next, i'll |next i'll |first, i'll |first i'll |first, let me |first let me |reading the |looking at the |checking the |running the |storing this |i should |i need to check|i need to look|i need to read|i need to verify|i'll start by |i will start by |let me start by |let me check "
+NARRATION = (
+    "let me ", "let's ", "i will ", "i'll ", "i'm going to ", "i am going to ", "i'm now ", "i am now ", "now i'll ", "now let me ", "next, i'll ", "next i'll ",
+    "first, i'll ", "first i'll ", "first, let me ", "first let me ", "reading the ", "looking at the ", "checking the ", "running the ", "storing this ", "i should ",
+    "i need to check", "i need to look", "i need to read", "i need to verify", "i'll start by ", "i will start by ", "let me start by ", "let me check ",
+)
 # Starts of clauses cut off from their sentence.
-SUBORDINATE = "because |rather than |instead of |although |though |since |while |whereas |whether |due to |such that |so that |as if |as though |in order to "
+SUBORDINATE = (
+    "because ", "rather than ", "instead of ", "although ", "though ", "since ", "while ", "whereas ", "whether ", "due to ", "such that ", "so that ", "as if ",
+    "as though ", "in order to ",
+)
 # Abbreviations whose dot ends no sentence.
-HONORIFICS = "Mr.|Mrs.|Ms.|Dr.|Prof.|Sr.|Jr.|St.|Mt.|Rev.|Hon.|Lt.|Sgt.|Cpl.|Pvt.|Gen.|Col.|Maj.|Capt.|Cmdr."
+HONORIFICS = (
+    "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "St.", "Mt.", "Rev.", "Hon.", "Lt.", "Sgt.", "Cpl.", "Pvt.", "Gen.", "Col.", "Maj.", "Capt.", "Cmdr.",
+)
 # Words of each kind of fact.
 KINDS = (
-    ("kind:decision", "decided|chose|chosen|went with|picked|switched to|instead of|rather than|trade-off|trade off|we chose|settled on|opted for"),
-    ("kind:preference", "always |never |prefer |avoid |convention:|rule:|make sure|important to|must |should not|shouldn't|don't |do not "),
-    ("kind:problem", "bug|error:|failed:|root cause|workaround|doesn't work|does not work|breaks when|limitation|incompatible|regression|crash"),
-    ("kind:milestone", "shipped|launched|deployed|released|migrated|completed|go live|went live|milestone|v1.|v2.|v3."),
-)
+    ("kind:decision", (
+        "decided", "chose", "chosen", "went with", "picked", "switched to", "instead of", "rather than", "trade-off", "trade off", "we chose", "settled on",
+        "opted for",
+    )),
+    ("kind:preference", (
+        "always ", "never ", "prefer ", "avoid ", "convention:", "rule:", "make sure", "important to", "must ", "should not", "shouldn't", "don't ", "do not ",
+    )),
+    ("kind:problem", (
+        "bug", "error:", "failed:", "root cause", "workaround", "doesn't work", "does not work", "breaks when", "limitation", "incompatible", "regression", "crash",
+    )),
+    ("kind:milestone", (
+        "shipped", "launched", "deployed", "released", "migrated", "completed", "go live", "went live", "milestone", "v1.", "v2.", "v3.",
+    )),
+)
 # Capitalised words that are no names, and what stands before and after names.
 NO_NAMES = (
-    "The|This|That|These|Those|When|Where|What|Which|How|But|And|Also|However|Furthermore|Moreover|Therefore|Because|After|Before|During|Since|Until|While|Although|Though|"
-    "Some|Many|Most|Each|Every|All|Any|Both|Other|Here|There|Now|Then|Just|Only|Even|Still|Yet|Yes|No|Not|Can|Could|Would|Should|Will|May|Might|Monday|Tuesday|Wednesday|"
-    "Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|API|CLI|URL|HTTP|HTTPS|JSON|HTML|CSS|SQL|SSH|DNS|"
-    "TCP|UDP|TLS|SSL|REST|GRPC|OAuth|JWT|AWS|GCP|Azure|Docker|Linux|Mac|Windows|Rust|Python|Java|Node|React|Vue|Svelte|Next|Git|Github|Gitlab|Slack|Chrome|Firefox|Safari|"
-    "Postgres|Redis|Mongo|SQLite|MySQL|True|False|None|Null|Ok|Err"
-)
-BEFORE_NAMES = "with |from |ask |tell |cc |ping |by |per |asked |told |called |messaged |emailed |thank |thanks "
-AFTER_NAMES = " said| mentioned| suggested| proposed| agreed| thinks| wants| noted| confirmed| replied| approved| reviewed| reported| fixed| built|'s |'s,|'s.|'s:"
+    "The", "This", "That", "These", "Those", "When", "Where", "What", "Which", "How", "But", "And", "Also", "However", "Furthermore", "Moreover", "Therefore",
+    "Because", "After", "Before", "During", "Since", "Until", "While", "Although", "Though", "Some", "Many", "Most", "Each", "Every", "All", "Any", "Both", "Other",
+    "Here", "There", "Now", "Then", "Just", "Only", "Even", "Still", "Yet", "Yes", "No", "Not", "Can", "Could", "Would", "Should", "Will", "May", "Might", "Monday",
+    "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August", "September",
+    "October", "November", "December", "API", "CLI", "URL", "HTTP", "HTTPS", "JSON", "HTML", "CSS", "SQL", "SSH", "DNS", "TCP", "UDP", "TLS", "SSL", "REST", "GRPC",
+    "OAuth", "JWT", "AWS", "GCP", "Azure", "Docker", "Linux", "Mac", "Windows", "Rust", "Python", "Java", "Node", "React", "Vue", "Svelte", "Next", "Git", "Github",
+    "Gitlab", "Slack", "Chrome", "Firefox", "Safari", "Postgres", "Redis", "Mongo", "SQLite", "MySQL", "True", "False", "None", "Null", "Ok", "Err",
+)
+BEFORE_NAMES = (
+    "with ", "from ", "ask ", "tell ", "cc ", "ping ", "by ", "per ", "asked ", "told ", "called ", "messaged ", "emailed ", "thank ", "thanks ",
+)
+AFTER_NAMES = (
+    " said", " mentioned", " suggested", " proposed", " agreed", " thinks", " wants", " noted", " confirmed", " replied", " approved", " reviewed", " reported",
+    " fixed", " built", "'s ", "'s,", "'s.", "'s:",
+)
 # Common words that answers are not judged by.
-STOP_WORDS = "the and that this with from have has was were been being would could should they them their there then than what when where which who whom will about into over after before between under pour dans avec mais que qui les des une est sont par sur pas plus"
+STOP_WORDS = (
+    "the", "and", "that", "this", "with", "from", "have", "has", "was", "were", "been", "being", "would", "could", "should", "they", "them", "their", "there", "then",
+    "than", "what", "when", "where", "which", "who", "whom", "will", "about", "into", "over", "after", "before", "between", "under", "pour", "dans", "avec", "mais",
+    "que", "qui", "les", "des", "une", "est", "sont", "par", "sur", "pas", "plus",
+)
 
-_HONORIFIC = re.compile(rf"(?:^|[ \t\n\r\f])(?:{'|'.join(re.escape(h) for h in HONORIFICS.split('|'))})\s*$")
+_HONORIFIC = re.compile(rf"(?:^|[ \t\n\r\f])(?:{'|'.join(re.escape(h) for h in HONORIFICS)})\s*$")
 MIN_FRAGMENT = 30
 
 
@@ -94,33 +157,35 @@ def keepable(s: Column) -> Column:
     """Long enough, no markup, no cut-off clause, no lower-case start, no dangling address at the end."""
     t = F.ltrim(s)
     low = F.lower(t)
-    return (F.length(s) >= MIN_FRAGMENT) & ~t.rlike(r"^(?:> |- |\* |\+ |# |```|\|)") & ~any_of([low.startswith(w) for w in SUBORDINATE.split("|")]) & ~t.rlike(r"^\p{Ll}") & ~s.rlike(r"(?:/|\\|=)\s*$")
+    return (F.length(s) >= MIN_FRAGMENT) & ~t.rlike(r"^(?:> |- |\* |\+ |# |```|\|)") & ~any_of([low.startswith(w) for w in SUBORDINATE]) & ~t.rlike(r"^\p{Ll}") & ~s.rlike(r"(?:/|\\|=)\s*$")
 
 
-def fact_score(s: Column) -> Column:
-    low = F.lower(s)
+def fact_score(s: Column, low: Column | None = None) -> Column:
+    """``low``: the sentence in lower case, where a column has it."""
+    low = F.lower(s) if low is None else low
     caps = F.size(F.filter(F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 2, 100_000), lambda w: w.rlike(r"^\p{Lu}") & (F.octet_length(w) > 1) & ~w.rlike(r"^\p{Lu}+$")))
     total = F.when(s.rlike("[0-9]"), 1.5).otherwise(0.0) + F.when(caps >= 2, 1.5).otherwise(0.0)
     for weight, _, group in SIGNALS:
-        for w in group.split("|"):
+        for w in group:
             total = total + F.when(low.contains(w), F.lit(weight)).otherwise(0.0)
     total = total + F.when(contains_any(low, (".rs", "fn ", "struct ")), 1.0).otherwise(0.0)
     return total + F.when(s.contains("/") & contains_any(low, (".rs", ".ts", ".py", ".toml", ".json")), 1.5).otherwise(0.0)
 
 
-def fact_importance(s: Column) -> Column:
-    words = tuple(w for _, high, group in SIGNALS if high for w in group.split("|"))
-    return F.when(contains_any(F.lower(s), words), "high").otherwise("medium")
+def fact_importance(s: Column, low: Column | None = None) -> Column:
+    words = tuple(w for _, high, group in SIGNALS if high for w in group)
+    return F.when(contains_any(F.lower(s) if low is None else low, words), "high").otherwise("medium")
 
 
 def candidate(s: Column) -> Column:
-    return F.octet_length(s).between(20, 500) & ~any_of([F.lower(s).startswith(w) for w in NARRATION.split("|")])
+    return F.octet_length(s).between(20, 500) & ~any_of([F.lower(s).startswith(w) for w in NARRATION])
 
 
 def score_sentences(sentences: DataFrame, min_score: float = 2.0) -> DataFrame:
     """rows (id, pos, sentence) -> (id, pos, sentence, score, importance) of the candidates from min_score on."""
-    fine = sentences.filter(candidate(F.col("sentence")))
-    return fine.select("id", "pos", "sentence", fact_score(F.col("sentence")).alias("score"), fact_importance(F.col("sentence")).alias("importance")).filter(F.col("score") >= min_score)
+    fine = sentences.filter(candidate(F.col("sentence"))).withColumn("low", F.lower("sentence"))
+    scored = fine.select("id", "pos", "sentence", "low", fact_score(F.col("sentence"), F.col("low")).alias("score")).filter(F.col("score") >= min_score)
+    return scored.select("id", "pos", "sentence", "score", fact_importance(F.col("sentence"), F.col("low")).alias("importance"))
 
 
 def extract_facts(df: DataFrame, min_score: float = 2.0, max_facts: int = 20) -> DataFrame:
@@ -135,7 +200,7 @@ def extract_facts(df: DataFrame, min_score: float = 2.0, max_facts: int = 20) ->
 
 def classify(s: Column) -> Column:
     low = F.lower(s)
-    return F.array_compact(F.array(*[F.when(contains_any(low, tuple(words.split("|"))), F.lit(tag)) for tag, words in KINDS]))
+    return F.array_compact(F.array(*[F.when(contains_any(low, words), F.lit(tag)) for tag, words in KINDS]))
 
 
 def entities(text: Column) -> Column:
@@ -148,8 +213,8 @@ def entities(text: Column) -> Column:
     def name(w: Column, i: Column) -> Column:
         b = base(w)
         prev = F.get(ws, i - 1)
-        shaped = (i > 0) & F.octet_length(b).between(2, 15) & b.rlike(r"^\p{Lu}") & b.rlike(r"\p{Ll}") & ~prev.rlike(r"[.!?]$") & ~b.isin(*dict.fromkeys(NO_NAMES.split("|")))
-        known = any_of([F.contains(low, F.concat(F.lit(p), F.lower(b))) for p in BEFORE_NAMES.split("|")]) | any_of([F.contains(low, F.concat(F.lower(b), F.lit(p))) for p in AFTER_NAMES.split("|")])
+        shaped = (i > 0) & F.octet_length(b).between(2, 15) & b.rlike(r"^\p{Lu}") & b.rlike(r"\p{Ll}") & ~prev.rlike(r"[.!?]$") & ~b.isin(*dict.fromkeys(NO_NAMES))
+        known = any_of([F.contains(low, F.concat(F.lit(p), F.lower(b))) for p in BEFORE_NAMES]) | any_of([F.contains(low, F.concat(F.lower(b), F.lit(p))) for p in AFTER_NAMES])
         return F.when(shaped & (known | F.contains(text, F.concat(F.lit("@"), b)) | clean(w).rlike("(?:'s|’s)$")), F.concat(F.lit("entity:"), b))
 
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(ws, name))))
@@ -165,7 +230,7 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 
 def keyword_hit(response: Column, answer: Column, threshold: float = 0.3) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS.split()])
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     ws = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(answer, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.lower), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)))
     low = F.lower(response)
     return F.when(F.size(ws) == 0, True).otherwise(F.size(F.filter(ws, lambda w: F.contains(low, w))) / F.size(ws) >= threshold)

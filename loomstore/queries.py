@@ -695,12 +695,12 @@ ORACLE_SQL["snapshot_budget"] = _with(M, _SNAP, "select id, section, cast(len as
 # --- extraction and evaluation -----------------------------------------------
 
 
-def _has(words: str, hay: str = "low") -> str:
-    return " or ".join(f"contains({hay},'{w.replace(chr(39), chr(39) * 2)}')" for w in words.split("|"))
+def _has(words: tuple[str, ...], hay: str = "low") -> str:
+    return " or ".join(f"contains({hay},'{w.replace(chr(39), chr(39) * 2)}')" for w in words)
 
 
 def _score_sql() -> str:
-    parts = [f"case when contains(low,'{w.replace(chr(39), chr(39) * 2)}') then {wt} else 0 end" for wt, _, g in extract.SIGNALS for w in g.split("|")]
+    parts = [f"case when contains(low,'{w.replace(chr(39), chr(39) * 2)}') then {wt} else 0 end" for wt, _, g in extract.SIGNALS for w in g]
     parts.append("case when regexp_matches(s,'[0-9]') then 1.5 else 0 end")
     parts.append("case when len(list_filter(list_filter(string_split_regex(s,'\\s+'), lambda w: w<>'')[2:], lambda w: regexp_matches(w,'^\\p{Lu}') and strlen(w)>1 and not regexp_matches(w,'^\\p{Lu}+$')))>=2 then 1.5 else 0 end")
     parts.append("case when contains(low,'.rs') or contains(low,'fn ') or contains(low,'struct ') then 1.0 else 0 end")
@@ -708,7 +708,7 @@ def _score_sql() -> str:
     return "cast(" + "+".join(parts) + " as double)"
 
 
-_LINES = "ln as (select id, unnest(string_split(summary, chr(10))) as s, generate_subscripts(string_split(summary, chr(10)),1)-1 as pos from memories), lc as (select id, pos, s, lower(s) as low from ln where strlen(s) between 20 and 500 and not (" + " or ".join(f"starts_with(lower(s),'{w.replace(chr(39), chr(39) * 2)}')" for w in extract.NARRATION.split("|")) + "))"
+_LINES = "ln as (select id, unnest(string_split(summary, chr(10))) as s, generate_subscripts(string_split(summary, chr(10)),1)-1 as pos from memories), lc as (select id, pos, s, lower(s) as low from ln where strlen(s) between 20 and 500 and not (" + " or ".join(f"starts_with(lower(s),'{w.replace(chr(39), chr(39) * 2)}')" for w in extract.NARRATION) + "))"
 
 
 @query()
@@ -794,7 +794,7 @@ def keyword_hit(spark, d):
     return m.join(n, ["session_id", "turn"]).select("id", extract.keyword_hit(F.col("content"), F.col("answer")).alias("hit"))
 
 
-_STOP = "[" + ",".join(f"'{w}'" for w in extract.STOP_WORDS.split()) + "]"
+_STOP = "[" + ",".join(f"'{w}'" for w in extract.STOP_WORDS) + "]"
 ORACLE_SQL["keyword_hit"] = _with(("messages",), f"kh as (select m.id, lower(m.content) as low, list_distinct(list_filter(list_transform(regexp_extract_all(n.content,'[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)), lambda w: length(w)>3 and not list_contains({_STOP}, w))) as ws from messages m join messages n on m.session_id=n.session_id and n.turn=m.turn+1)", "select id, case when len(ws)=0 then true else len(list_filter(ws, lambda w: contains(low,w)))/len(ws)>=0.3 end as hit from kh")
 
 

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 MANIFESTS = ("Cargo.toml", "package.json", "pyproject.toml", "go.mod")
 MAX_DEPS = 15
 # File names of entry points, configurations and scripts.
-ENTRYPOINTS = "main.rs|lib.rs|main.py|__main__.py|app.py|index.ts|index.js|main.ts|main.go|server.ts|server.js"
-CONFIGS = "Dockerfile|docker-compose.yml|docker-compose.yaml|.gitlab-ci.yml|.travis.yml|Jenkinsfile|.eslintrc.json|.prettierrc|tsconfig.json|rustfmt.toml|clippy.toml|ruff.toml|.pre-commit-config.yaml"
+ENTRYPOINTS = ("main.rs", "lib.rs", "main.py", "__main__.py", "app.py", "index.ts", "index.js", "main.ts", "main.go", "server.ts", "server.js")
+CONFIGS = (
+    "Dockerfile", "docker-compose.yml", "docker-compose.yaml", ".gitlab-ci.yml", ".travis.yml", "Jenkinsfile", ".eslintrc.json", ".prettierrc", "tsconfig.json",
+    "rustfmt.toml", "clippy.toml", "ruff.toml", ".pre-commit-config.yaml",
+)
 SCRIPTS = r"(?:^|/)(?:Makefile|justfile|Taskfile\.yml)$|(?:^|/)scripts/[^/]+\.(?:sh|py|ts|js)$"
 
 
@@ -92,8 +95,8 @@ def scan(files: DataFrame, project: str) -> DataFrame:
     base = F.regexp_extract("path", r"([^/]+)$", 1)
     folder = F.regexp_replace("path", r"/?[^/]+$", "")
     at = F.when(F.regexp_replace(folder, r"/?src$", "") == "", project).otherwise(F.regexp_replace(folder, r"/?src$", ""))
-    entry = files.filter(base.rlike(f"^(?:{re.sub('([.])', r'[.]', ENTRYPOINTS)})$")).select(F.lit("entrypoint").alias("kind"), F.col("path").alias("name"), F.lit("").alias("detail"), at.alias("parent"))
-    config = files.filter(base.isin(*CONFIGS.split("|")) | F.col("path").rlike(r"^\.github/workflows/[^/]+\.ya?ml$")).select(F.lit("config").alias("kind"), F.col("path").alias("name"), F.lit("").alias("detail"), F.lit(project).alias("parent"))
+    entry = files.filter(base.isin(*ENTRYPOINTS)).select(F.lit("entrypoint").alias("kind"), F.col("path").alias("name"), F.lit("").alias("detail"), at.alias("parent"))
+    config = files.filter(base.isin(*CONFIGS) | F.col("path").rlike(r"^\.github/workflows/[^/]+\.ya?ml$")).select(F.lit("config").alias("kind"), F.col("path").alias("name"), F.lit("").alias("detail"), F.lit(project).alias("parent"))
     script = files.filter(F.col("path").rlike(SCRIPTS)).select(F.lit("script").alias("kind"), F.col("path").alias("name"), F.lit("").alias("detail"), F.lit(project).alias("parent"))
     out = identity
     for part in (deps, members, src, entry, config, script):
@@ -120,7 +123,7 @@ def read_project(spark: SparkSession, folder: str) -> DataFrame:
     known ones among these are named to it. Empty files are passed over too."""
     jvm, folder = spark._jvm, folder.rstrip("/")
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    hidden = [f"{folder}/{n}" for n in (".github/workflows", *[c for c in CONFIGS.split("|") if c.startswith(".")])]
+    hidden = [f"{folder}/{n}" for n in (".github/workflows", *[c for c in CONFIGS if c.startswith(".")])]
     paths = [folder, *[p for p in hidden if fs.exists(jvm.org.apache.hadoop.fs.Path(p))]]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     root = folder.split("://")[-1]

@@ -39,3 +39,23 @@ def test_hot_keys_are_joined_apart(spark):
     got = shared.join_counted(df, side, ["k"], "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.join(side, "k").collect()))
     assert shared.join_counted(df.limit(0), side.limit(0), ["k"], "n").count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 50, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, small, monkeypatch):
+    import random
+
+    from loomstore.operators import components
+
+    monkeypatch.setattr(components, "SMALL_EDGES", small)
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(100, 180)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(90)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.id: x.component for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    loops = {a for a, b in edges if a == b}
+    assert got == {x: c for x, c in root.items() if x in got} and set(root) - set(got) <= loops
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string")
+    assert {x.id: x.component for x in components.connected_components(named).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
