@@ -59,3 +59,14 @@ def test_components_in_rounds_and_in_one_task(spark, small, monkeypatch):
     assert got == {x: c for x, c in root.items() if x in got} and set(root) - set(got) <= loops
     named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string")
     assert {x.id: x.component for x in components.connected_components(named).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_scratch_tables_go(spark):
+    import glob
+
+    with shared.scratch(spark):
+        kept = shared.keep(spark.range(3), "gone")
+        out = shared.fresh_path(spark, "stays")
+        kept.write.parquet(out)
+        assert glob.glob(shared.shared_dir(spark).removeprefix("file:") + "/loomstore/gone-*")
+    assert not glob.glob(shared.shared_dir(spark).removeprefix("file:") + "/loomstore/gone-*") and spark.read.parquet(out).count() == 3
