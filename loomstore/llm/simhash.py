@@ -84,6 +84,14 @@ def fingerprint_batch(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
+def fingerprint_of(hashes: np.ndarray) -> np.uint64:
+    """The fingerprint of one text's shingle hashes, repeats included."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return (np.uint64(1) << np.flatnonzero(2 * ones > len(hashes)).astype(np.uint64)).sum(dtype=np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """id_col, fp (the 64 bits as a long)."""
 
@@ -200,7 +208,9 @@ LINKS = "key long, part int, a long, b long"
 def fingerprint_links(fps: DataFrame, max_diff: int = 4, block: int = 20_000) -> DataFrame:
     """(a, b): edges over distinct fingerprints with the same components as all links of at most max_diff bits."""
     spark = fps.sparkSession
-    keyed = variants(fps.select("fp").distinct(), max_diff).repartition("key").sortWithinPartitions("key")
+    # distinct fingerprints are small, but their variants aren't: all cores make them
+    some = fps.select("fp").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = variants(some, max_diff).repartition("key").sortWithinPartitions("key")
     small_batches(spark, 100_000)
     first = keep(keyed.mapInArrow(_links(max_diff, block, True), LINKS), "links")
     edges = first.filter("part = -1").select("a", "b")
