@@ -59,8 +59,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a key filter (2 MB): fixed, whatever the number of keys.
-FILTER_BITS = 1 << 24
+#: Bits of a key filter (half a megabyte): fixed, whatever the number of keys.
+FILTER_BITS = 1 << 22
 
 
 def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:

@@ -12,6 +12,7 @@ from loomstore.plans import fixtures as X
 from loomstore.plans.shared import fresh_path
 from loomstore.queries import NOW_S, ORACLE_SQL, TOK, M, query, r6, secs
 from loomstore.schemas import ANCHORS, MODEL_DIMS
+from loomstore.sources.snapshots import Snapshots
 
 LINKS = ("concepts", "links")
 
@@ -196,6 +197,43 @@ def cloud_upsert(spark, d):
     return lifecycle.upsert(m, pulled)
 
 
+def _store(spark, d, topics: str = "true") -> Snapshots:
+    store = Snapshots.temporary(spark, 64)
+    store.write("memories", X.memories(spark, d).filter(topics).withColumn("id", F.col("id").cast("string")).withColumn("updated_at", F.col("created_at")))
+    return store
+
+
+@query("select id::varchar as id, topic, access_count+case when id%10=0 then 3 when id%10=1 then 1 else 0 end as access_count, case when id%10=0 then 1800000000 when id%10=1 then greatest(accessed_s,1700000000) else accessed_s end as accessed_s from memories where topic<>'preferences'", M)
+def store_touches(spark, d):
+    """A store with a topic forgotten and rows touched: the touches are parts beside the table."""
+    store = _store(spark, d)
+    store.mutate("memories", lambda m: m.filter("topic <> 'preferences'"))
+    ids = store.table("memories").select("id", (F.col("id").cast("long") % 10).alias("k"))
+    store.append("touches", ids.filter("k = 0").select("id", F.lit(2).alias("times"), F.timestamp_seconds(F.lit(1800000000)).alias("at")))
+    store.append("touches", ids.filter("k in (0, 1)").select("id", F.lit(1).alias("times"), F.timestamp_seconds(F.lit(1700000000)).alias("at")))
+    return store.table("memories").select("id", "topic", "access_count", secs("last_accessed", "accessed_s"))
+
+
+@query("select id::varchar as id, case when starts_with(topic,'decisions-') and id%3=0 then 'moved' else topic end as topic from memories where starts_with(topic,'decisions-') or id%4=1", M)
+def store_exchange(spark, d):
+    """What one store pushed, another pulled: rows of known ids are replaced, the others added."""
+    from loomstore.engine import MemoryEngine
+
+    one, two = _store(spark, d, "startswith(topic, 'decisions-')"), _store(spark, d, "id % 4 = 1")
+    one.mutate("memories", lambda m: m.withColumn("topic", F.when(F.col("id").cast("long") % 3 == 0, "moved").otherwise(F.col("topic"))))
+    folder = fresh_path(spark, "exchange")
+    MemoryEngine(spark, one.path, 64).push(folder)
+    engine = MemoryEngine(spark, two.path, 64)
+    engine.pull(folder)
+    return engine.memories.select("id", "topic")
+
+
+@query("select id, to_json({'topic':topic,'importance':importance,'keywords':keywords})::varchar as line from memories order by weight desc, id limit 40", M)
+def memories_json_lines(spark, d):
+    top = search.topk(X.memories(spark, d), 40, F.desc("weight"), F.asc("id"))
+    return top.select("id", F.to_json(F.struct("topic", "importance", "keywords")).alias("line"))
+
+
 # --- helpers --------------------------------------------------------------------
 
 MODELS = list(MODEL_DIMS)
