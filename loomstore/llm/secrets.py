@@ -103,7 +103,7 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, id_col: str = "doc_i
     todo = keep(todo, "unseen")
     pick = todo.filter("suspect").select(F.col("path_id").alias("pick_id"), "blob")
     picked = key_filter(pick.select("pick_id"))
-    unseen = rows.filter(suspect & picked(F.col("path_id"))).join(pick.hint("shuffle_hash"), F.col("path_id").eqNullSafe(F.col("pick_id")))
+    unseen = rows.filter(picked(F.col("path_id"))).join(pick.hint("shuffle_hash"), F.col("path_id").eqNullSafe(F.col("pick_id")))
     if _repeats(paths):
         unseen = unseen.filter(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["blob"])
     found = unseen.select("blob", F.lit(ledger.rule_version).alias("rule_version"), *[c.alias(k) for k, c in scan_columns(F.col("text")).items()])
