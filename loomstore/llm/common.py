@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,6 +57,17 @@ def only(key, make):
     Workers outlive the stages of a pipeline; so the memo of one operator goes before that of the next fills.
     """
     if key not in _LIVE:
-        _LIVE.clear()
+        if _LIVE:
+            _LIVE.clear()
+            _give_back()
         _LIVE[key] = make()
     return _LIVE[key]
+
+
+def _give_back() -> None:
+    """Returns what was freed to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -40,7 +40,7 @@ DISCOUNT = 0.75
 CLASS_DISCOUNT = 4.0
 SHARES = np.array([0.003, 0.01, 0.03, 0.1])
 ALPHABET = 200
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,7 +55,7 @@ def gram_hashes(grams: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), 42) for g in grams], np.uint64)
 
 
-def gram_counts(train: DataFrame, flush_words: int = 300_000) -> DataFrame:
+def gram_counts(train: DataFrame, flush_words: int = 100_000) -> DataFrame:
     """(gram, toxic, ordinary) from rows (text, toxic): the ``ORDER`` characters up to each of a word's.
 
     Tasks count words first and cut each distinct one once; partial counts are added up after that.
