@@ -80,4 +80,19 @@ _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x'||substr({h
 WARC = f"""with p as (select page_id, cast(strlen(coalesce(html,'')) as bigint) as payload_bytes, array_to_string(list_transform(range(0,32), lambda i: {_LETTER}), '') as payload_digest, min(page_id) over (partition by coalesce(html,'')) as first from pages where page_id is not null)
 select page_id, payload_bytes, payload_digest, case when first=page_id then 'response' else 'revisit' end as record_type, case when first<>page_id then first end as refers_to from p"""
 
-ORACLE_SQL = {"op3_exact_dedup": EXACT, "op5_pii": PII, "op6_secrets": SECRETS, "op7_warc": WARC}
+#: crc32 byte by byte from its table of 256; words one edit apart by what is left of them without one character.
+SPELLING = f"""with recursive t as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as bigint)) else c >> 1 end, cast(i as bigint))) as tab),
+runs as (select coalesce(cast(doc_id as varchar),'') as id, unnest(regexp_extract_all(translate(text,'{UPPER}','{LOWER}'), '[a-zÀ-ÿ]+')) as w from documents),
+once as (select id, w, count(*) as k, length(w) as len, hex(encode(id||':'||w)) as x from runs where length(w)>=7 group by id, w),
+crc as (select w, k, len, xor(list_reduce(range(length(x)//2), lambda c, i: xor(c >> 8, tab[(xor(c, cast('0x'||substr(x, 2*i+1, 2) as bigint)) & 255) + 1]), cast(4294967295 as bigint)), cast(4294967295 as bigint)) as h from once, t),
+slipped as (select case when h%31=0 then substr(w,1,cast(h%len as int))||substr(w,cast(h%len as int)+2) else w end as word, k from crc),
+words as (select word, cast(sum(k) as bigint) as n from slipped where length(word)>=7 group by word having sum(k)>=2),
+gaps as (select word, n, i, substr(word,1,cast(i as int))||substr(word,cast(i as int)+2) as g from words, unnest(range(length(word))) as u(i)),
+pairs as (select a.word as a, b.word as b, b.n from gaps a join gaps b on a.g=b.g and a.i=b.i and a.word<>b.word
+union select a.word, b.word, b.n from gaps a join words b on a.g=b.word union select b.word, a.word, a.n from gaps a join words b on a.g=b.word),
+near as (select a as word, count(*) as n_near, max(n) as best_n, arg_min(b, struct_pack(m := -n, w := b)) as best from pairs group by a),
+forms as (select w.word, case when best_n>=10*w.n then best end as form, w.n, coalesce(n_near,0) as n_near, case when best_n>=10*w.n then best_n end as form_n from words w left join near using (word)),
+far as (select word, word as tip, 0 as d from forms union all select far.word, forms.form, d+1 from far join forms on forms.word=far.tip where forms.form is not null)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from forms f join (select word, arg_max(tip, d) as root from far group by word) r using (word)"""
+
+ORACLE_SQL = {"op3_exact_dedup": EXACT, "op5_pii": PII, "op6_secrets": SECRETS, "op7_warc": WARC, "op11_spelling": SPELLING}

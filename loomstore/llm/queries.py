@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, oracles, pii, piece_lattice, secrets, simhash, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, hidden_markov, html_text, oracles, pii, piece_lattice, secrets, simhash, spelling, token_counts, toxicity, warc
 from .common import table
 
 
@@ -63,8 +63,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pieces, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_pii, op6_secrets, op7_warc, op8_toxicity, op9_token_counts, op10_html_text)
+    for f in (op1_pieces, op2_simhash, op3_exact_dedup, op4_decontaminate, op5_pii, op6_secrets, op7_warc, op8_toxicity, op9_token_counts, op10_html_text, op11_spelling, op12_hidden_markov)
 }
 ORACLE_SQL = oracles.ORACLE_SQL
