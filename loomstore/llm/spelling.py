@@ -23,8 +23,10 @@ are ignored. Very long texts and words are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +152,10 @@ def local_pairs(words: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def shared_keys(words: list[str]) -> Iterator[tuple[str, int, int]]:
-    """(key, kind, place) of nodes above the first or last word: kind 0 the word itself, 1 one character out, 2 a wildcard."""
+    """(key, kind, place) of nodes above the first or last word: kind 1 one character out, 2 a wildcard."""
     first, last = words[0], words[-1]
     for i, w in enumerate(words):
         k, n = Keys(w), len(w)
-        yield k.whole(), 0, i
         for d in range(min(n, max(_common(w, first), _common(w, last)) + 1)):
             yield k.wildcard(d), 2, i
             if w[d + 1 : d + 2] != w[d]:
@@ -162,10 +163,13 @@ def shared_keys(words: list[str]) -> Iterator[tuple[str, int, int]]:
 
 
 def errata(words: DataFrame, range_words: int = RANGE_WORDS) -> DataFrame:
-    """Rows of two kinds from (word, n): what is found within a range (key null: word, near, best_n, best), and keys for the rest (key, kind, word, n)."""
+    """From (word, n) rows of three kinds, by ids in code-point order of the words: 0 the words (id, n, word, key), 1 and 2 keys of ``shared_keys`` (id, n, key),
+    3 what is found within a range (id, near, best_n, best)."""
     small_batches(words.sparkSession, 10_000)
-    kinds = [("key", pa.string()), ("kind", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("near", pa.int64()), ("best_n", pa.int64()), ("best", pa.string())]
-    schema = pa.schema(kinds)
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("word", pa.string()), ("key", pa.string()), ("near", pa.int64()), ("best_n", pa.int64()), ("best", pa.int64())])
+
+    def batch(k: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(k, f.type) for f in schema], schema=schema)
 
     def run(batches):
         ws: list[str] = []
@@ -175,6 +179,8 @@ def errata(words: DataFrame, range_words: int = RANGE_WORDS) -> DataFrame:
             ns += b.column(1).to_pylist()
         if not ws:
             return
+        # ranges are in order of their partitions, words in order within these
+        first = TaskContext.get().partitionId() << 32
         near: dict[int, list] = {}
         for pair in local_pairs(ws):
             for i, j in (pair, pair[::-1]):
@@ -185,53 +191,46 @@ def errata(words: DataFrame, range_words: int = RANGE_WORDS) -> DataFrame:
                     x[0] += 1
                     if (-ns[j], j) < (-ns[x[1]], x[1]):
                         x[1] = j
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(near), pa.string()), pa.nulls(len(near), pa.int32()), pa.array([ws[i] for i in near], pa.string()), pa.array([ns[i] for i in near], pa.int64()), pa.array([x[0] for x in near.values()], pa.int64()), pa.array([ns[x[1]] for x in near.values()], pa.int64()), pa.array([ws[x[1]] for x in near.values()], pa.string())], schema=schema
-        )
-        part: tuple[list, list, list] = ([], [], [])
-
-        def keys():
-            k = len(part[0])
-            out = pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array([ws[i] for i in part[2]], pa.string()), pa.array([ns[i] for i in part[2]], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], schema=schema)
-            for col in part:
-                col.clear()
-            return out
-
-        size = 0
-        for row in shared_keys(ws):
-            for col, v in zip(part, row, strict=True):
-                col.append(v)
-            size += len(ws[row[2]])
-            if len(part[0]) >= 50_000 or size > 1 << 23:
-                yield keys()
-                size = 0
-        if part[0]:
-            yield keys()
+        best = [x[1] for x in near.values()]
+        yield batch(len(near), kind=[3] * len(near), id=[first + i for i in near], near=[x[0] for x in near.values()], best_n=[ns[j] for j in best], best=[first + j for j in best])
+        for at in range(0, len(ws), 10_000):
+            part = range(at, min(len(ws), at + 10_000))
+            yield batch(len(part), kind=[0] * len(part), id=[first + i for i in part], n=[ns[i] for i in part], word=[ws[i] for i in part], key=[Keys(ws[i]).whole() for i in part])
+        kinds, at, keys = [], [], []
+        for key, kind, i in chain(shared_keys(ws), [(None, 0, 0)]):
+            if key is None or len(keys) == 50_000:
+                yield batch(len(keys), kind=kinds, id=[first + i for i in at], n=[ns[i] for i in at], key=keys)
+                kinds, at, keys = [], [], []
+            kinds.append(kind)
+            at.append(i)
+            keys.append(key)
 
     # ranges by number: Spark neither joins nor splits these partitions, so each task has all words of its range
     ranges = max(1, -(-words.count() // range_words))
     dealt = words.select("word", "n").repartitionByRange(ranges, "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "key string, kind int, word string, n long, near long, best_n long, best string")
+    return dealt.mapInArrow(run, "kind int, id long, n long, word string, key string, near long, best_n long, best long")
 
 
 def near_words(words: DataFrame, range_words: int = RANGE_WORDS) -> DataFrame:
-    """(word, n_near, best_n, best): for each word with any, the number of words one edit apart and of these the most frequent (ties: the first in code-point order)."""
+    """(word, n, n_near, best_n, best): the number of words one edit apart and of these the most frequent (ties: the first in code-point order)."""
     found = keep(errata(words, range_words), "errata")
-    local = found.filter("key is null").select("word", "near", "best_n", "best")
-    keys = found.filter("key is not null").select("key", "kind", "word", "n")
-    whole = keys.filter("kind = 0").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    pairs = keys.filter("kind = 1").join(whole.hint("shuffle_hash"), "key")
+    local = found.filter("kind = 3").select("id", "near", "best_n", "best")
+    whole = found.filter("kind = 0").select("key", F.col("id").alias("other"), F.col("n").alias("other_n"))
+    pairs = found.filter("kind = 1").select("key", "id", "n").join(whole.hint("shuffle_hash"), "key")
     one = F.lit(1).cast("long").alias("near")
-    skipped = pairs.select("word", one, F.col("other_n").alias("best_n"), F.col("other").alias("best"))
-    put_in = pairs.select(F.col("other").alias("word"), one, F.col("n").alias("best_n"), F.col("word").alias("best"))
+    skipped = pairs.select("id", one, F.col("other_n").alias("best_n"), F.col("other").alias("best"))
+    put_in = pairs.select(F.col("other").alias("id"), one, F.col("n").alias("best_n"), F.col("id").alias("best"))
     # of a wildcard's words, LETTERS at most, the best comes first: it is that of all others, and the second is its own
-    group = keys.filter("kind = 2").groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("word").alias("word")))).alias("g")).filter(F.size("g") > 1)
+    group = found.filter("kind = 2").groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "id"))).alias("g")).filter(F.size("g") > 1)
     member = group.select("g", F.posexplode("g").alias("at", "x"))
     best = F.when(F.col("at") == 0, F.get("g", F.lit(1))).otherwise(F.get("g", F.lit(0)))
-    replaced = member.select(F.col("x.word").alias("word"), (F.size("g") - 1).cast("long").alias("near"), (-best["m"]).alias("best_n"), best["word"].alias("best"))
+    replaced = member.select(F.col("x.id").alias("id"), (F.size("g") - 1).cast("long").alias("near"), (-best["m"]).alias("best_n"), best["id"].alias("best"))
     all_ = local.unionByName(skipped).unionByName(put_in).unionByName(replaced)
     top = F.min(F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w")))
-    return all_.groupBy("word").agg(F.sum("near").alias("n_near"), top.alias("top")).select("word", "n_near", (-F.col("top.m")).alias("best_n"), F.col("top.w").alias("best"))
+    near = all_.groupBy("id").agg(F.sum("near").alias("n_near"), top.alias("top")).select("id", "n_near", (-F.col("top.m")).alias("best_n"), F.col("top.w").alias("best"))
+    names = found.filter("kind = 0").select("id", "word", "n")
+    rows = names.join(near.hint("shuffle_hash"), "id", "left")
+    return rows.join(names.select(F.col("id").alias("best"), F.col("word").alias("best_word")).hint("shuffle_hash"), "best", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "best_n", F.col("best_word").alias("best"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -248,11 +247,8 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: int = RATIO, range_words: int = RANGE_WORDS) -> DataFrame:
     """word, form, root, n, n_near, form_n: one row a word."""
-    words = keep(word_counts(docs, id_col, text_col), "words")
-    near = near_words(words, range_words)
+    near = near_words(keep(word_counts(docs, id_col, text_col), "words"), range_words)
     is_form = F.col("best_n") >= F.col("n") * ratio
-    rows = keep(
-        words.join(near, "word", "left").select("word", F.when(is_form, F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best_n")).alias("form_n")), "forms"
-    )
+    rows = keep(near.select("word", F.when(is_form, F.col("best")).alias("form"), "n", "n_near", F.when(is_form, F.col("best_n")).alias("form_n")), "forms")
     last = roots(rows.filter("form is not null").select("word", "form"))
     return rows.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
