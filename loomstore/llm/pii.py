@@ -7,7 +7,8 @@ their score is; the added kinds stay from ``min_score`` on.
 
 The patterns are those of the contract, written so that they can't backtrack over
 long runs: possessive repeats, and a start only where a run begins or the last match
-ended. Null counts as an empty text: no spans. Empty tables give empty results, extra
+ended. Null counts as an empty text: no spans. Rows without an id and repeated rows give a row each. Very long texts are read whole: spans take about
+linear time in their matches, and the words near a span are found without a walk from the text's start. Empty tables give empty results, extra
 columns are ignored.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import digits, luhn, mod97, render, spans
+from .spans import around, digits, luhn, mod97, pieces, render, spans
 
 # Patterns of the kinds, in the order of the contract; then the added kinds.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -67,14 +68,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     def scored(kind: str) -> Column:
         def one(s: Column) -> Column:
             at = F.greatest(s["start"] - WINDOW, F.lit(0))
-            near = F.concat_ws(" ", F.substr(text, at + 1, s["start"] - at), F.substr(text, s["end"] + 1, F.lit(WINDOW)))
+            near = F.concat_ws(" ", around(F.col("_p"), at, s["start"] - at), around(F.col("_p"), s["end"], F.lit(WINDOW)))
             bonus = F.when(F.lower(near).rlike(f"(?:{CONTEXT[kind]})"), F.lit(0.3)).otherwise(F.lit(0.0))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(F.lit(1.0), F.lit(PRIOR[kind] + CONFIRMED[kind]) + bonus).alias("score"))
 
-        all_ = F.transform(raw[kind], one)
+        all_ = F.transform(kind, one)
         return all_ if kind in BASE else F.filter(all_, lambda s: s["score"] >= min_score)
 
-    return rows.select(id_col, *[scored(k).alias(k) for k in KINDS])
+    # a step of its own, so that spans and pieces are made once
+    found = rows.select(id_col, pieces(text).alias("_p"), *[c.alias(k) for k, c in raw.items()])
+    return found.select(id_col, *[scored(k).alias(k) for k in KINDS])
 
 
 def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -285,3 +285,18 @@ def test_warc_shards_stay_small_beside_far_ids(spark):
         want[k] = want.get(k, 0) + 1
     assert sizes == want and sorted(sizes.values())[-2] <= 50 and max(sizes.values()) <= 61
     assert warc.shard_bounds(df.limit(0), 50) == [] and warc.shard_bounds(df, 10**6) == []
+
+
+def test_a_megabyte_of_matches(spark):
+    import time
+
+    long = " ".join(f"u{i}@x.org" for i in range(70_000)) + " é🎉 ssn 123-45-6789 " + " ".join(f"{i:032x}" for i in range(5_000)) + " x" * 3000 + " social 123-45-6788"
+    df = spark.createDataFrame([(1, long), (2, long), (1, "a@b.co"), (None, "a@b.co")], "doc_id long, text string")
+    began = time.time()
+    got = sorted((tuple(r) for r in pii.pii_report(df).select("doc_id", "n_email", "base_sha256", "n_ssn").collect()), key=str)
+    assert time.time() - began < 60
+    counts, _, digest = brute.pii_base(long)
+    small = brute.pii_base("a@b.co")
+    assert got == sorted([(1, counts[0], digest, 2), (2, counts[0], digest, 2), (1, 1, small[2], 0), (None, 1, small[2], 0)], key=str)
+    found = secrets.secrets_digest(secrets.scan(df.filter("doc_id = 2"))).first()
+    assert (found.n_hex, found.base_sha256) == (brute.secrets_base(long)[0][2], brute.secrets_base(long)[2])
