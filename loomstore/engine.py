@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from loomstore.functions import vectors
 from loomstore.functions.predicates import importance_rank
 from loomstore.functions.text import embed_text, summary_hash
-from loomstore.operators import extract, graph, lifecycle, lookup, packs, postings, records, search
-from loomstore.plans.shared import keep
+from loomstore.operators import blocks, extract, graph, lifecycle, lookup, packs, postings, records, search
+from loomstore.plans.shared import fresh_path, keep, read_if_there
 from loomstore.schemas import AUTO_DECAY, CONSOLIDATE_AT, DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS, TABLES
 from loomstore.sources import sinks
 from loomstore.sources.snapshots import Snapshots
@@ -107,7 +109,7 @@ class MemoryEngine:
     def recall(self, query: str, limit: int = 10, touch: bool = True, **scope) -> DataFrame:
         self.maybe_decay()
         vector = self.embedder([query])[0] if self.embedder else None
-        hits = search.recall(self.memories, query, vector, limit, **scope)
+        hits = search.recall(self.memories, query, vector, limit, index=self.text_index(), **scope)
         if vector is None and hits.isEmpty():
             hits = search.keyword_search(self.memories, query.split(), limit).withColumn("score", F.lit(1.0))
         if touch and not self.store_.readonly:
@@ -128,9 +130,40 @@ class MemoryEngine:
         half.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(half, True)  # one that wasn't finished
         return postings.Postings.build(self.memories, path)
 
+    def text_index(self) -> blocks.BlockIndex:
+        """The index that skips, brought up to date: what differs between the version that it was made of and the current one goes into a
+        new segment, and segments are merged by their sizes. Which segments count stands in the store's metadata."""
+        of = self.store_.state["tables"].get("memories")
+        state = json.loads(self.store_.meta("text_index") or "{}")
+        if state.get("of") == of and state:
+            return blocks.BlockIndex(self.spark, f"{self.store_.path}/text_index", state["segments"])
+        cols = ["id", "topic", "summary", "keywords"]
+        now = self.memories.select(*cols)
+        if self.store_.readonly:  # nothing may be written beside the store
+            path = fresh_path(self.spark, "text-index")
+            blocks.BlockIndex.add(now, path, 0)
+            return blocks.BlockIndex(self.spark, path)
+        path = f"{self.store_.path}/text_index"
+        before = read_if_there(self.spark, f"{self.store_.path}/{state['of']}") if state.get("of") else None
+        number = state.get("next", 0)
+        if before is None:
+            blocks.BlockIndex.add(now, path, number, now.limit(0))
+            index = blocks.BlockIndex(self.spark, path, [number])
+        else:
+            same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+            old = before.select(*cols)
+            new = keep(now.alias("n").join(old.alias("o"), same("n", "o"), "left_anti"), "changed")
+            gone = keep(old.alias("o").join(now.alias("n"), same("o", "n"), "left_anti"), "gone")
+            index = blocks.BlockIndex(self.spark, path, state["segments"])
+            if not (new.isEmpty() and gone.isEmpty()):
+                blocks.BlockIndex.add(new, path, number, gone)
+                index = blocks.BlockIndex(self.spark, path, [*state["segments"], number]).compact(number + 1)
+        self.store_.meta("text_index", json.dumps({"of": of, "segments": index.segments, "next": number + 2}))
+        return index
+
     def search_text(self, query: str, limit: int = 10, mode: str = "or") -> DataFrame:
         """(id, score): by BM25 over the index."""
-        return self.index().top(postings.phrase_terms(query), limit, mode)
+        return self.text_index().top(query, limit, mode)
 
     def render(self, hits: DataFrame, style: str = "toon") -> str:
         return sinks.render(hits, style)

@@ -73,7 +73,7 @@ class Postings:
         shares = self._scored(rows, ["term"]).select("term", "id", "s")
         both = each.join(shares, "term").groupBy("query_id", "id", "wanted").agg(F.sum("s").alias("score"), F.count("*").alias("k"))
         both = both.filter(F.col("k") == F.col("wanted")) if mode == "and" else both
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), F.asc("id"))
         return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("query_id", "id", "score", "rn")
 
 

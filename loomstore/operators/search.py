@@ -171,9 +171,10 @@ def _best_of_batch(queries, k: int):
     return run
 
 
-def hybrid(df: DataFrame, query: str, vector: list[float], limit: int = 10, cols: tuple[str, ...] = ("topic", "summary"), dialect: str = "embedded", monotone: bool = False) -> DataFrame:
+def hybrid(df: DataFrame, query: str, vector: list[float], limit: int = 10, cols: tuple[str, ...] = ("topic", "summary"), dialect: str = "embedded", monotone: bool = False, index=None) -> DataFrame:
     """(id, score): 30 % text and 70 % vector over two candidate pools of 4 * limit rows.
 
+    With an ``index`` (``blocks.BlockIndex``) of ``df`` the text pool comes from it, over the columns that it was made of.
     Dialects: 'embedded' scores text by 1 / (1 + bm25), so a better text match gets less (``monotone``
     turns that round); 'ranked' divides by the pool's best; 'minmax' scales both families over the pool.
     """
@@ -181,7 +182,9 @@ def hybrid(df: DataFrame, query: str, vector: list[float], limit: int = 10, cols
     pool = 4 * limit
     terms = query_terms(query)
     vec = knn(df, vector, pool)
-    if terms:
+    if terms and index is not None:
+        text = index.top(query, pool, "or" if dialect == "minmax" else "and")
+    elif terms:
         text = topk(bm25(df, terms, cols, "or" if dialect == "minmax" else "and"), pool, F.desc("score"), F.asc("id"))
     else:
         text = df.select("id", F.lit(0.0).alias("score")).limit(0)
@@ -239,8 +242,8 @@ def expand(initial: DataFrame, df: DataFrame, max_neighbours: int, discount: flo
     return topk(initial.select("id", "score").unionByName(some), total, F.desc("score"), F.asc("id"))
 
 
-def recall(df: DataFrame, query: str, vector: list[float] | None = None, limit: int = 10, project: str | None = None, topic: str | None = None, keyword: str | None = None, expand_hops: bool = True) -> DataFrame:
-    """Hybrid search, then the filters, then one hop of related rows at half the score, filtered again."""
+def recall(df: DataFrame, query: str, vector: list[float] | None = None, limit: int = 10, project: str | None = None, topic: str | None = None, keyword: str | None = None, expand_hops: bool = True, index=None) -> DataFrame:
+    """Hybrid search, then the filters, then one hop of related rows at half the score, filtered again. With an ``index`` of the rows no text is read but that of hits."""
     from loomstore.functions.predicates import keyword_matches, project_matches, topic_matches
 
     limit = max(1, min(limit, MAX_LIMIT))
@@ -251,7 +254,10 @@ def recall(df: DataFrame, query: str, vector: list[float] | None = None, limit:
         return d.filter(keyword_matches(F.col("keywords"), keyword)) if keyword else d
 
     if vector is not None:
-        hits = hybrid(df, query, vector, limit)
+        hits = hybrid(df, query, vector, limit, index=index)
+    elif index is not None and query_terms(query):
+        one = df.sparkSession.createDataFrame([(0, " ".join(query_terms(query)))], "query_id int, text string")
+        hits = topk(df.join(index.matching(one).select("id"), "id", "left_semi"), min(limit, MAX_LIMIT), F.desc("weight"), F.asc("id")).select("id", F.lit(1.0).alias("score"))
     else:
         hits = fts_by_weight(df, query, limit).select("id", F.lit(1.0).alias("score"))
     hits = scoped(hits.join(df, "id")).select("id", "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomstore.functions import predicates as P
 from loomstore.functions import text as T
 from loomstore.functions import vectors as V
-from loomstore.operators import extract, graph, lifecycle, lookup, postings, records, search
+from loomstore.operators import blocks, extract, graph, lifecycle, lookup, postings, records, search
 from loomstore.plans import fixtures as X
 from loomstore.plans.shared import fresh_path
 from loomstore.queries import NOW_S, ORACLE_SQL, TOK, M, query, r6, secs
@@ -129,11 +129,63 @@ def bm25_indexed_all_terms(spark, d):
     return search.topk(_index(spark, d).bm25(["the", "with"], "and").select("id", r6("score")), 100, F.desc("score"), F.asc("id"))
 
 
-@query(f", q as (select item_id as query_id, list_sort(list_distinct(regexp_extract_all(lower(text),'[\\p{{L}}\\p{{N}}]+')))[1:3] as terms from benchmark where item_id<10), d as (select id, {TOK.format('summary')} as toks from memories), s as (select count(*) as n, avg(len(toks)) as avgdl from d), t as (select query_id, unnest(terms) as term, len(terms) as wanted from q), p as (select t.query_id, t.term, t.wanted, d.id, len(list_filter(d.toks, lambda x: x=t.term)) as tf, len(d.toks) as dl from t join d on list_contains(d.toks, t.term)), f as (select term, count(distinct id) as df from p group by term), sc as (select query_id, id, wanted, count(*) as k, sum(greatest(ln((n-df+0.5)/(df+0.5)),1e-6)*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))) as score from p join f using (term), s group by all) select query_id, count(*) as hits, round(sum(score),4) as total from (select *, row_number() over (partition by query_id order by score desc, id) as rn from sc where k=wanted) where rn<=10 group by query_id", M)
+def _best_of_items(source: str, mode: str, k: int = 10) -> str:
+    """The k best rows of ``source`` (id, text) for each whole benchmark item, by scan."""
+    every = "having count(*)=wanted" if mode == "and" else ""
+    return rf""", d as (select id, {TOK.format("text")} as toks from ({source})), s as (select count(*) as n, avg(len(toks)) as avgdl from d),
+p as (select id, term, len(any_value(toks)) as dl, count(*) as tf from (select id, toks, unnest(toks) as term from d) group by id, term), f as (select term, count(*) as df from p group by term),
+q as (select item_id as query_id, unnest(list_distinct({TOK.format("text")})) as term from benchmark), wq as (select query_id, count(*) as wanted from q group by 1),
+sc as (select query_id, id, sum(greatest(ln((n-df+0.5)/(df+0.5)),1e-6)*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))) as score from q join wq using (query_id) join p using (term) join f using (term), s group by query_id, id, wanted {every}),
+r as (select *, row_number() over (partition by query_id order by round(score,8) desc, id) as rn from sc) select query_id, id, round(score,6) as score, rn from r where rn<={k}"""
+
+
+def _blocks(df) -> blocks.BlockIndex:
+    path = fresh_path(df.sparkSession, "blocks")
+    blocks.BlockIndex.add(df, path, 0, cols=("summary",))
+    return blocks.BlockIndex(df.sparkSession, path)
+
+
+def _items(spark, d):
+    return X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+ALL_ROWS = "select id, summary as text from memories"
+
+
+@query(_best_of_items(ALL_ROWS, "and"), M)
 def bm25_batch(spark, d):
-    """Three terms of each of ten benchmark items; the ten best rows with all of them."""
-    q = X.table(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 1, 3), " ").alias("text"))
-    return _index(spark, d).batch(q, 10, "and").groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 4).alias("total"))
+    """Whole benchmark items; the ten best rows with all of their terms."""
+    return _index(spark, d).batch(_items(spark, d), 10, "and").select("query_id", "id", r6("score"), "rn")
+
+
+@query(_best_of_items(ALL_ROWS, "or"), M)
+def bm25_blocks(spark, d):
+    """Whole benchmark items; the ten best rows with any of their terms, by the index that skips blocks."""
+    return _blocks(X.memories(spark, d)).search(_items(spark, d), 10).select("query_id", "id", r6("score"), "rn")
+
+
+@query(_best_of_items(ALL_ROWS, "and"), M)
+def bm25_blocks_all_terms(spark, d):
+    return _blocks(X.memories(spark, d)).search(_items(spark, d), 10, "and").select("query_id", "id", r6("score"), "rn")
+
+
+@query(_best_of_items("select id, case when id%10=1 then summary||' zebra' else summary end as text from memories where id%10<>0 or id%3=0", "or"), M)
+def bm25_after_changes(spark, d):
+    """An index with a segment of changed and forgotten rows and one of rows that come back; these two merged into one."""
+    m = X.memories(spark, d).select("id", "summary")
+    ix = _blocks(m)
+    gone, back, old = m.filter("id % 10 = 0"), m.filter("id % 10 = 0 and id % 3 = 0"), m.filter("id % 10 = 1")
+    blocks.BlockIndex.add(old.withColumn("summary", F.concat("summary", F.lit(" zebra"))), ix.path, 1, old.unionByName(gone), cols=("summary",))
+    blocks.BlockIndex.add(back, ix.path, 2, back.limit(0), cols=("summary",))
+    merged = blocks.BlockIndex(spark, ix.path, [0, 1, 2]).merge([1, 2], 3)
+    return merged.search(_items(spark, d), 10).select("query_id", "id", r6("score"), "rn")
+
+
+@query(f", t as (select id, ' '||array_to_string({TOK.format('summary')},' ')||' ' as line from memories), q as (select item_id as query_id, {TOK.format('text')} as w from benchmark), p as (select query_id, ' '||array_to_string(w[1:3],' ')||' ' as phrase from q where len(w)>=3) select query_id, id from p join t on contains(line, phrase)", M)
+def phrases_of_items(spark, d):
+    """Rows that hold the first three words of a benchmark item side by side, by the places in the index."""
+    q = _items(spark, d).withColumn("w", T.tokens(F.col("text"))).filter(F.size("w") >= 3).select("query_id", F.array_join(F.slice("w", 1, 3), " ").alias("text"))
+    return _blocks(X.memories(spark, d)).matching(q, near=0)
 
 
 # --- mutations -----------------------------------------------------------------
