@@ -1,6 +1,7 @@
 """The store: crashes, two writers, touches; getters, mutations, feedback, hooks and exchange on the engine."""
 
 import datetime
+import json
 import os
 
 import pytest
@@ -21,13 +22,35 @@ def test_a_torn_pointer_leaves_the_last_state(spark, tmp_path):
     s = Snapshots(spark, str(tmp_path), 64)
     s.meta("a", "1")
     at = s.state["version"]
-    (tmp_path / f"POINTER-{at + 1:012d}.json").write_text('{"version": 99, "tab')
+    torn = tmp_path / f"POINTER-{at + 1:012d}.json"
+    torn.write_text('{"version": 99, "tab')
+    os.utime(torn, (1, 1))  # long ago: its writer won't finish it
     again = Snapshots(spark, str(tmp_path), 64)
     assert again.state["version"] == at and again.meta("a") == "1"
     again.meta("a", "2")
     assert Snapshots(spark, str(tmp_path), 64).meta("a") == "2"
 
 
+def test_a_pointer_that_is_being_written_belongs_to_its_writer(spark, tmp_path):
+    first, second = Snapshots(spark, str(tmp_path), 64), Snapshots(spark, str(tmp_path), 64)
+    at = first.state["version"] + 1
+    claim = tmp_path / f"POINTER-{at:012d}.json"
+    claim.write_text("")  # the first writer has made its pointer, but not written it
+    with pytest.raises(ConflictError):
+        second.meta("b", "2")
+    claim.write_text(json.dumps(first.state | {"version": at, "metadata": {"a": "1"}}))
+    with pytest.raises(ConflictError):
+        second.meta("b", "2")
+    second.refresh()
+    second.meta("b", "2")
+    assert Snapshots(spark, str(tmp_path), 64).state["metadata"] == {"a": "1", "b": "2"}
+    # old pointers are gone, and a writer of an old state still can't write below the newest
+    third = Snapshots(spark, str(tmp_path), 64)
+    third.vacuum()
+    with pytest.raises(ConflictError):
+        first.meta("c", "3")
+
+
 def test_two_writers(spark, tmp_path):
     one, two = Snapshots(spark, str(tmp_path), 64), Snapshots(spark, str(tmp_path), 64)
     rows = spark.createDataFrame([("1", "p")], "id string, project string")
