@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomstore.functions import predicates as P
 from loomstore.functions import text as T
 from loomstore.functions import vectors as V
-from loomstore.operators import blocks, extract, graph, lifecycle, lookup, postings, records, search
+from loomstore.operators import blocks, cells, extract, graph, lifecycle, lookup, postings, records, search
 from loomstore.plans import fixtures as X
 from loomstore.plans.shared import fresh_path
 from loomstore.queries import NOW_S, ORACLE_SQL, TOK, M, query, r6, secs
@@ -188,6 +188,22 @@ def phrases_of_items(spark, d):
     return _blocks(X.memories(spark, d)).matching(q, near=0)
 
 
+@query(ORACLE_SQL["knn_batch"])
+def knn_cells(spark, d):
+    """The neighbours of the batch search, by the index of learned cells in its exact mode."""
+    v = X.vectors(spark, d)
+    ix = cells.CellIndex.build(v, fresh_path(spark, "cells"))
+    return ix.search(v.filter("id % 100 = 0"), 5, exact=True).select("query_id", "id", r6("sim"), "rn")
+
+
+@query()
+def knn_cells_probed(spark, d):
+    """By the codes of a few cells only; recall against the batch search is asserted in the tests."""
+    v = X.vectors(spark, d)
+    ix = cells.CellIndex.build(v, fresh_path(spark, "cells"))
+    return ix.search(v.filter("id % 100 = 0"), 5, probes=max(8, len(ix.cells) // 2)).select("query_id", "id", r6("sim"), "rn")
+
+
 # --- mutations -----------------------------------------------------------------
 
 
