@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomstore.functions import vectors
 from loomstore.functions.predicates import importance_rank
 from loomstore.functions.text import embed_text, summary_hash
-from loomstore.operators import blocks, extract, graph, lifecycle, lookup, packs, postings, records, search
+from loomstore.operators import blocks, context, extract, graph, lifecycle, lookup, packs, postings, records, search
 from loomstore.plans.shared import fresh_path, keep, read_if_there
 from loomstore.schemas import AUTO_DECAY, CONSOLIDATE_AT, DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS, TABLES
 from loomstore.sources import sinks
@@ -165,6 +165,11 @@ class MemoryEngine:
         """(id, score): by BM25 over the index."""
         return self.text_index().top(query, limit, mode)
 
+    def context_for(self, prompt: str, limit: int = 5, project: str | None = None) -> str:
+        """What is known on a prompt's words, without near repetitions and within the byte budget ('' for nothing)."""
+        one = self.spark.createDataFrame([(0, prompt)], "query_id int, text string")
+        return context.recall_context(self.memories, one, self.text_index(), limit, project).first().text
+
     def render(self, hits: DataFrame, style: str = "toon") -> str:
         return sinks.render(hits, style)
 

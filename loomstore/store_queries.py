@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from loomstore.functions import predicates as P
 from loomstore.functions import text as T
 from loomstore.functions import vectors as V
-from loomstore.operators import blocks, cells, extract, graph, lifecycle, lookup, postings, records, search
+from loomstore.operators import blocks, cells, context, extract, graph, lifecycle, lookup, postings, records, search
 from loomstore.plans import fixtures as X
 from loomstore.plans.shared import fresh_path
-from loomstore.queries import NOW_S, ORACLE_SQL, TOK, M, query, r6, secs
+from loomstore.queries import LOWER_PREF, NOW_S, ORACLE_SQL, SEGS, TOK, M, query, r6, secs
 from loomstore.schemas import ANCHORS, MODEL_DIMS
 from loomstore.sources.snapshots import Snapshots
 
@@ -204,6 +204,31 @@ def knn_cells_probed(spark, d):
     return ix.search(v.filter("id % 100 = 0"), 5, probes=max(8, len(ix.cells) // 2)).select("query_id", "id", r6("sim"), "rn")
 
 
+_TEXTS = {"head": context.HEAD, "more": context.MORE, "tail": context.TAIL}
+_CUT = "'- '||case when length(summary)>400 then left(summary,400)||' […]' else summary end||chr(10)"
+_LIT = {k: "'" + v.replace("'", "''").replace("\n", "'||chr(10)||'") + "'" for k, v in _TEXTS.items()}
+
+
+@query(
+    rf""", mt as (select id, topic, summary, weight, list_distinct({TOK.format('summary')}) as toks, {LOWER_PREF} as pref, {LOWER_PREF} or list_contains({SEGS},'src1') as mine from memories),
+q as (select item_id as query_id, list_distinct({TOK.format('text')}[1:2]) as w from benchmark), h as (select query_id, id, weight, mine, row_number() over (partition by query_id order by weight desc, id) as rn from q join mt on len(w)>0 and list_has_all(toks, w)),
+p as (select * from (select *, bool_or(mine) over (partition by query_id) as own from h where rn<=20) where mine or not own), b as (select query_id, id, row_number() over (partition by query_id order by weight desc, id) as rn from p),
+l as (select id, row_number() over (order by weight desc, id) as rn from mt where pref), c as (select query_id, id, rn from b where rn<=5 union all select query_id, id, rn from q, l where rn<=5 and query_id not in (select query_id from b)),
+i as (select query_id, rn, id, summary, list_distinct(list_filter(string_split_regex(summary,'\s+'), lambda x: x<>'')) as ws, {_CUT} as line from c join mt using (id)),
+g as (select query_id, cast(0 as bigint) as n, cast([] as bigint[]) as ids, cast([] as varchar[][]) as kept, {_LIT['head']} as txt, false as full_ from q
+ union all select g.query_id, n+1, case when hit then ids else list_append(ids, i.id) end, case when hit then kept else list_append(kept, ws) end,
+ case when hit or full_ then txt when strlen(txt)+strlen(line)<=4000 then txt||line else txt||{_LIT['more']} end, full_ or (not hit and strlen(txt)+strlen(line)>4000)
+ from g join i on i.query_id=g.query_id and i.rn=n+1, lateral (select len(list_filter(kept, lambda y: case when len(y)+len(ws)=0 then true else len(list_intersect(y,ws))::double/(len(y)+len(ws)-len(list_intersect(y,ws)))>0.6 end))>0 as hit) z)
+select query_id, array_to_string(ids,',') as ids, case when len(ids)=0 then '' else txt||{_LIT['tail']} end as text from (select query_id, arg_max(ids,n) as ids, arg_max(txt,n) as txt from g group by query_id)""",
+    M,
+)
+def context_of_items(spark, d):
+    """What is known on the first two words of each benchmark item, as a prompt gets it."""
+    q = _items(spark, d).select("query_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("text"))
+    m = X.memories(spark, d)
+    return context.recall_context(m, q, _blocks(m), 5, "src1").select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "text")
+
+
 # --- mutations -----------------------------------------------------------------
 
 
