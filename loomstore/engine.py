@@ -152,8 +152,8 @@ class MemoryEngine:
         else:
             same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
             old = before.select(*cols)
-            new = keep(now.alias("n").join(old.alias("o"), same("n", "o"), "left_anti"), "changed")
-            gone = keep(old.alias("o").join(now.alias("n"), same("o", "n"), "left_anti"), "gone")
+            new = keep(now.alias("n").join(old.alias("o"), same("n", "o"), "left_anti"), "text-changed")
+            gone = keep(old.alias("o").join(now.alias("n"), same("o", "n"), "left_anti"), "text-gone")
             index = blocks.BlockIndex(self.spark, path, state["segments"])
             if not (new.isEmpty() and gone.isEmpty()):
                 blocks.BlockIndex.add(new, path, number, gone)

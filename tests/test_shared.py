@@ -63,10 +63,13 @@ def test_components_in_rounds_and_in_one_task(spark, small, monkeypatch):
 
 def test_scratch_tables_go(spark):
     import glob
+    import uuid
+
+    name = f"gone-{uuid.uuid4().hex}"  # other runs leave tables in the same folder
 
     with shared.scratch(spark):
-        kept = shared.keep(spark.range(3), "gone")
+        kept = shared.keep(spark.range(3), name)
         out = shared.fresh_path(spark, "stays")
         kept.write.parquet(out)
-        assert glob.glob(shared.shared_dir(spark).removeprefix("file:") + "/loomstore/gone-*")
-    assert not glob.glob(shared.shared_dir(spark).removeprefix("file:") + "/loomstore/gone-*") and spark.read.parquet(out).count() == 3
+        assert glob.glob(shared.shared_dir(spark).removeprefix("file:") + f"/loomstore/{name}-*")
+    assert not glob.glob(shared.shared_dir(spark).removeprefix("file:") + f"/loomstore/{name}-*") and spark.read.parquet(out).count() == 3
