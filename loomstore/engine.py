@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from loomstore.functions import vectors
 from loomstore.functions.predicates import importance_rank
 from loomstore.functions.text import embed_text, summary_hash
-from loomstore.operators import blocks, context, extract, graph, lifecycle, lookup, packs, postings, records, search
-from loomstore.plans.shared import fresh_path, keep, read_if_there
+from loomstore.operators import blocks, context, extract, graph, lifecycle, lookup, ordered, packs, postings, records, search
+from loomstore.plans.shared import fresh_path, keep, read_if_there, scratch
 from loomstore.schemas import AUTO_DECAY, CONSOLIDATE_AT, DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS, TABLES
 from loomstore.sources import sinks
 from loomstore.sources.snapshots import Snapshots
@@ -77,7 +77,7 @@ class MemoryEngine:
         return rows.withColumn("embedding", F.coalesce("embedding", run(embed_text(F.col("topic"), F.col("summary")))))
 
     def store(self, rows: list[dict] | DataFrame) -> int:
-        """Validates, embeds, links and merges new rows (in their order); returns the new version."""
+        """Validates, embeds, places, links and merges new rows (in their order); returns the new version."""
         if isinstance(rows, list):
             data = [(str(uuid.uuid4()), r["topic"], r["summary"], r.get("importance", "medium"), r.get("keywords", []), r.get("raw_excerpt"), r.get("embedding"), i) for i, r in enumerate(rows)]
             rows = self.spark.createDataFrame(data, "id string, topic string, summary string, importance string, keywords array<string>, raw_excerpt string, embedding array<float>, seq long")
@@ -86,14 +86,34 @@ class MemoryEngine:
         if bad:
             raise ValueError(bad.error)
         new = self._embed(checked.drop("error"))
-        old = self.memories
-        merged = lifecycle.merge_rows(old.select("id", "topic", "summary", "importance", "keywords", "raw_excerpt", F.lit(-1).cast("long").alias("seq")).unionByName(new.select("id", "topic", "summary", "importance", "keywords", "raw_excerpt", "seq")))
-        first = new.withColumn("_k", F.lower("topic")).withColumn("summary_hash", summary_hash(F.col("topic"), F.col("summary"))).groupBy("_k", "summary_hash").agg(F.max_by("embedding", -F.col("seq")).alias("_e"))
-        keep = old.select("id", "weight", "access_count", "related_ids", "embedding", "created_at", "last_accessed")
-        now = self._now()
-        out = merged.join(keep, "id", "left").withColumn("_k", F.lower("topic")).join(first, ["_k", "summary_hash"], "left")
-        out = out.select("id", "topic", "summary", "importance", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("access_count", F.lit(0)).alias("access_count"), "keywords", F.coalesce("related_ids", F.array().cast("array<string>")).alias("related_ids"), "raw_excerpt", F.coalesce("embedding", "_e").alias("embedding"), F.coalesce("created_at", now).alias("created_at"), now.alias("updated_at"), F.coalesce("last_accessed", now).alias("last_accessed"), "summary_hash")
-        return self.store_.write("memories", out)
+        with scratch(self.spark):
+            return self._store_in_order(keep(new.select("id", "topic", "summary", "importance", "keywords", "raw_excerpt", "embedding", F.col("seq").cast("long").alias("seq")), "new-rows"))
+
+    def _store_in_order(self, new: DataFrame) -> int:
+        """Rows with a vector overwrite near duplicates of their topic or open linked slots, one after the other; then rows of one topic and
+        content are merged, and links to a row that was merged into another lead to that one."""
+        old, now = self.memories, self._now()
+        none = F.array().cast("array<string>")
+        placed, links = ordered.place(old, new)
+        left = keep(ordered.contents(new, keep(placed, "placed")), "contents")
+        over = left.filter("not opened").select(F.col("slot").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("summary", "importance", "keywords", "raw_excerpt", "embedding")], F.lit(True).alias("_over"))
+        base = old.join(over, "id", "left").select(*[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in over.columns else (F.when(F.col("_over"), 1.0).otherwise(F.col("weight")).alias(c) if c == "weight" else F.col(c)) for c in old.columns], "_over")
+        base = keep(base.withColumn("updated_at", F.when(F.col("_over"), now).otherwise(F.col("updated_at"))).drop("_over"), "base")
+        cols = ["id", "topic", "summary", "importance", "keywords", "raw_excerpt"]
+        opened = left.filter("opened").select(F.col("slot").alias("id"), *cols[1:4], F.coalesce("keywords", none).alias("keywords"), "raw_excerpt", "embedding", F.col("first").alias("seq"))
+        added = keep(opened.unionByName(new.filter("embedding is null").select(*opened.columns)), "added")
+        merged = lifecycle.merge_rows(base.select(*cols, F.lit(-1).cast("long").alias("seq")).unionByName(added.select(*cols, "seq")))
+        first = added.withColumn("_k", F.lower("topic")).withColumn("summary_hash", summary_hash(F.col("topic"), F.col("summary"))).groupBy("_k", "summary_hash").agg(F.max_by("embedding", -F.col("seq")).alias("_e"), F.collect_set("id").alias("_ids"))
+        kept = base.select("id", "weight", "access_count", "related_ids", "embedding", "created_at", "updated_at", "last_accessed")
+        out = merged.join(kept, "id", "left").withColumn("_k", F.lower("topic")).join(first, ["_k", "summary_hash"], "left")
+        changed = F.coalesce(F.when(F.col("_ids").isNull(), F.col("updated_at")), now).alias("updated_at")
+        out = keep(out.select("id", "topic", "summary", "importance", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("access_count", F.lit(0)).alias("access_count"), "keywords", F.coalesce("related_ids", none).alias("related_ids"), "raw_excerpt", F.coalesce("embedding", "_e").alias("embedding"), F.coalesce("created_at", now).alias("created_at"), changed, F.coalesce("last_accessed", now).alias("last_accessed"), "summary_hash", "_ids"), "stored")
+        into = keep(out.filter("_ids is not null").select(F.explode("_ids").alias("was"), F.col("id").alias("into")).filter("was <> into"), "into")
+        ends = keep(links.select("src", "dst"), "links")
+        for c in ("src", "dst"):
+            ends = ends.join(into.select(F.col("was").alias(c), "into"), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        both = ends.select("src", "dst").union(ends.select("dst", "src")).filter("src <> dst")
+        return self.store_.write("memories", lifecycle.backrefs(out.drop("_ids"), both))
 
     def auto_link(self, threshold: float = LINK_SCORE, most: int = MAX_LINKS) -> int:
         """Links rows without links to their nearest ones, both ways."""
