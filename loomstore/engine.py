@@ -76,8 +76,8 @@ class MemoryEngine:
 
         return rows.withColumn("embedding", F.coalesce("embedding", run(embed_text(F.col("topic"), F.col("summary")))))
 
-    def store(self, rows: list[dict] | DataFrame) -> int:
-        """Validates, embeds, places, links and merges new rows (in their order); returns the new version."""
+    def _checked(self, rows: list[dict] | DataFrame) -> DataFrame:
+        """Rows of ``store`` with their vectors; the first error of any is raised."""
         if isinstance(rows, list):
             data = [(str(uuid.uuid4()), r["topic"], r["summary"], r.get("importance", "medium"), r.get("keywords", []), r.get("raw_excerpt"), r.get("embedding"), i) for i, r in enumerate(rows)]
             rows = self.spark.createDataFrame(data, "id string, topic string, summary string, importance string, keywords array<string>, raw_excerpt string, embedding array<float>, seq long")
@@ -85,7 +85,24 @@ class MemoryEngine:
         bad = checked.filter("error is not null").select("error").first()
         if bad:
             raise ValueError(bad.error)
-        new = self._embed(checked.drop("error"))
+        return self._embed(checked.drop("error"))
+
+    def store(self, rows: list[dict] | DataFrame) -> int:
+        """Validates, embeds and merges new rows (in their order; only those of one topic and content); returns the new version."""
+        new = self._checked(rows)
+        old = self.memories
+        merged = lifecycle.merge_rows(old.select("id", "topic", "summary", "importance", "keywords", "raw_excerpt", F.lit(-1).cast("long").alias("seq")).unionByName(new.select("id", "topic", "summary", "importance", "keywords", "raw_excerpt", "seq")))
+        first = new.withColumn("_k", F.lower("topic")).withColumn("summary_hash", summary_hash(F.col("topic"), F.col("summary"))).groupBy("_k", "summary_hash").agg(F.max_by("embedding", -F.col("seq")).alias("_e"))
+        keep = old.select("id", "weight", "access_count", "related_ids", "embedding", "created_at", "last_accessed")
+        now = self._now()
+        out = merged.join(keep, "id", "left").withColumn("_k", F.lower("topic")).join(first, ["_k", "summary_hash"], "left")
+        out = out.select("id", "topic", "summary", "importance", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("access_count", F.lit(0)).alias("access_count"), "keywords", F.coalesce("related_ids", F.array().cast("array<string>")).alias("related_ids"), "raw_excerpt", F.coalesce("embedding", "_e").alias("embedding"), F.coalesce("created_at", now).alias("created_at"), now.alias("updated_at"), F.coalesce("last_accessed", now).alias("last_accessed"), "summary_hash")
+        return self.store_.write("memories", out)
+
+    def remember(self, rows: list[dict] | DataFrame) -> int:
+        """``store`` for what may be known: a near duplicate overwrites the row of its topic that it is nearest to, and other rows are linked
+        to what is near them, one after the other. Returns the new version."""
+        new = self._checked(rows)
         with scratch(self.spark):
             return self._store_in_order(keep(new.select("id", "topic", "summary", "importance", "keywords", "raw_excerpt", "embedding", F.col("seq").cast("long").alias("seq")), "new-rows"))
 
@@ -193,19 +210,22 @@ class MemoryEngine:
     def render(self, hits: DataFrame, style: str = "toon") -> str:
         return sinks.render(hits, style)
 
+    # changes return how many rows they changed, as the write counted them
+
     def update(self, changes: DataFrame) -> int:
-        fresh = lifecycle.update_rows(self.memories, changes).withColumn("summary_hash", summary_hash(F.col("topic"), F.col("summary")))
-        return self.store_.write("memories", fresh)
+        flagged = lifecycle.update_rows(self.memories.withColumn("_hit", F.lit(None).cast("boolean")), changes.withColumn("_hit", F.lit(True)))
+        return self.store_.change("memories", flagged.withColumn("summary_hash", summary_hash(F.col("topic"), F.col("summary"))), F.col("_hit"))
 
     def forget(self, ids: list[str]) -> int:
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        return self.store_.mutate("memories", lambda m: lifecycle.delete_rows(m, gone))
+        gone = self.spark.createDataFrame([(i,) for i in {*ids}], "id string").withColumn("_hit", F.lit(True))
+        return self.store_.change("memories", self.memories.join(gone, "id", "left"), F.col("_hit"), drop=True)
 
     def forget_topic(self, topic: str) -> int:
-        return self.store_.mutate("memories", lambda m: m.filter(F.col("topic") != topic))
+        return self.store_.change("memories", self.memories, F.col("topic") == topic, drop=True)
 
     def decay(self, factor: float) -> int:
-        return self.store_.mutate("memories", lambda m: lifecycle.decay(m, factor))
+        """Critical rows keep their weight and aren't counted."""
+        return self.store_.change("memories", lifecycle.decay(self.memories, factor), F.col("importance") != "critical")
 
     def maybe_decay(self) -> bool:
         """Once a day; the stamp is set before the rows, so a second caller finds it."""
@@ -218,6 +238,10 @@ class MemoryEngine:
             self.decay(AUTO_DECAY)
         return bool(last)
 
+    def prune_below(self, threshold: float) -> int:
+        """Drops what has faded, and returns how many rows that were."""
+        return self.store_.change("memories", self.memories, lifecycle.prunable(threshold), drop=True)
+
     def prune(self, threshold: float, dry_run: bool = False) -> DataFrame:
         gone = self.memories.filter(lifecycle.prunable(threshold))
         if not dry_run:
@@ -366,21 +390,18 @@ class MemoryEngine:
         return self._changed("concepts", self.spark.createDataFrame([(concept_id, name, definition, confidence)], "id string, name string, definition string, confidence double"))
 
     def delete_concept(self, concept_id: str) -> int:
-        """With its links."""
-        gone = self.spark.createDataFrame([(concept_id,)], "id string")
-        concepts, links = graph.delete_concept(self.store_.table("concepts"), self.store_.table("links"), gone)
-        self.store_.write("links", links)
-        return self.store_.write("concepts", concepts)
+        """With its links; returns how many concepts went."""
+        concepts, gone = self.store_.table("concepts"), self.spark.createDataFrame([(concept_id,)], "id string")
+        links = graph.delete_concept(concepts, self.store_.table("links"), gone)[1]
+        return self.store_.change("concepts", concepts, F.col("id") == concept_id, drop=True, more={"links": links})
 
     def delete_memoir(self, memoir_id: str) -> int:
-        """With its concepts and their links."""
+        """With its concepts and their links; returns how many memoirs went."""
         concepts, links = graph.delete_memoir(self.store_.table("concepts"), self.store_.table("links"), memoir_id)
-        self.store_.write("links", links)
-        self.store_.write("concepts", concepts)
-        return self.store_.mutate("memoirs", lambda m: m.filter(F.col("id") != memoir_id))
+        return self.store_.change("memoirs", self.store_.table("memoirs"), F.col("id") == memoir_id, drop=True, more={"links": links, "concepts": concepts})
 
     def delete_link(self, link_id: str) -> int:
-        return self.store_.mutate("links", lambda x: x.filter(F.col("id") != link_id))
+        return self.store_.change("links", self.store_.table("links"), F.col("id") == link_id, drop=True)
 
     def inspect(self, concept_id: str, depth: int = 1) -> DataFrame:
         start = self.spark.createDataFrame([(concept_id,)], "id string")
@@ -410,9 +431,9 @@ class MemoryEngine:
     def record_messages(self, session_id: str, agent: str, project: str, rows: list[tuple[str, str]]) -> int:
         s, now = self.store_.table("sessions"), self._now()
         new = self.spark.createDataFrame([(session_id, agent, project)], "id string, agent string, project string").withColumn("started_at", now).withColumn("updated_at", now)
-        self.store_.write("sessions", records.ensure_sessions(s, new))
+        sessions = records.ensure_sessions(s, new)
         m = self.spark.createDataFrame([(str(uuid.uuid4()), session_id, r, c) for r, c in rows], "id string, session_id string, role string, content string").withColumn("ts", now)
-        return self.store_.append("messages", m)
+        return self.store_.write_all({"sessions": sessions}, {"messages": m})
 
     def search_transcripts(self, query: str, **scope) -> DataFrame:
         return records.search_transcripts(self.store_.table("messages"), self.store_.table("sessions"), query, **scope)
@@ -447,10 +468,26 @@ class MemoryEngine:
 
     def record_hook_events(self, events: DataFrame) -> int:
         """Rows (ts, event, ...) get ids that go on from the last one."""
-        last = self.store_.table("hook_events").agg(F.max("id")).first()[0] or 0
+        last = max(self.store_.table("hook_events").agg(F.max("id")).first()[0] or 0, int(self.store_.meta("hooks_rolled") or 0))  # ids go on when all events are pruned
         return self.store_.append("hook_events", records.number_events(events, last))
 
+    def roll_up_hooks(self) -> int:
+        """Events that came since the last roll-up get into sketches of their hours (late ones too); returns the last event's id."""
+        mark, events = int(self.store_.meta("hooks_rolled") or 0), self.store_.table("hook_events")
+        last = events.agg(F.max("id")).first()[0] or 0
+        if last > mark:
+            hours = records.sketch_hours(events.filter((F.col("id") > mark) & (F.col("id") <= last)))
+            self.store_.write_all({}, {"hook_hours": hours}, {"hooks_rolled": str(last)})
+        return max(last, mark)
+
+    def hook_percentiles(self, since: datetime.datetime | None = None, until: datetime.datetime | None = None) -> DataFrame:
+        """Counts and percentiles of rolled-up hours, also of those whose events are pruned."""
+        bound = lambda t: None if t is None else F.lit(t)
+        return records.merge_sketches(self.store_.table("hook_hours"), bound(since), bound(until))
+
     def prune_hook_events(self, cutoff: datetime.datetime) -> int:
+        """Rolls up first; returns the new version."""
+        self.roll_up_hooks()
         return self.store_.mutate("hook_events", lambda e: records.prune_events(e, F.lit(cutoff)))
 
     def hook_stats(self) -> DataFrame:

@@ -15,7 +15,8 @@ CODE_AREA = "project string, file_path string, description string, touch_count l
 PENDING = "id string, project string, tool_name string, raw_output string, captured_at timestamp"
 TOUCH = "id string, times long, at timestamp"
 METADATA = "key string, value string"
-TABLES = {"memories": MEMORY, "concepts": CONCEPT, "links": LINK, "memoirs": MEMOIR, "facts": FACT, "sessions": SESSION, "messages": MESSAGE, "feedback": FEEDBACK, "hook_events": HOOK_EVENT, "code_areas": CODE_AREA, "pending": PENDING, "touches": TOUCH, "metadata": METADATA}
+HOOK_HOUR = "event string, hour timestamp, n long, errors long, timed long, total_ms long, sketch binary"
+TABLES = {"memories": MEMORY, "concepts": CONCEPT, "links": LINK, "memoirs": MEMOIR, "facts": FACT, "sessions": SESSION, "messages": MESSAGE, "feedback": FEEDBACK, "hook_events": HOOK_EVENT, "hook_hours": HOOK_HOUR, "code_areas": CODE_AREA, "pending": PENDING, "touches": TOUCH, "metadata": METADATA}
 
 # Importance, from low to high.
 IMPORTANCE = ("low", "medium", "high", "critical")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomstore.functions import predicates as P
 from loomstore.functions import text as T
 from loomstore.functions import vectors as V
-from loomstore.operators import blocks, cells, context, extract, graph, lifecycle, lookup, postings, records, search
+from loomstore.operators import blocks, cells, context, extract, graph, lifecycle, lookup, ordered, postings, records, search
 from loomstore.plans import fixtures as X
 from loomstore.plans.shared import fresh_path
 from loomstore.queries import LOWER_PREF, NOW_S, ORACLE_SQL, SEGS, TOK, M, query, r6, secs
@@ -415,3 +415,45 @@ def topic_keywords(spark, d):
     words = m.select("k", F.explode("keywords").alias("w")).distinct().groupBy("k").agg(F.sort_array(F.collect_list("w")).alias("words"))
     return m.groupBy("k").agg(F.count("*").alias("n")).join(words, "k").select("k", "words", "n")
 
+
+
+# --- a batch in order ----------------------------------------------------------
+
+IN_ORDER_SQL = """, v as (select id, topic, embedding::double[] as e from vectors),
+near as materialized (select a.id as r, b.id as p, round(list_cosine_similarity(a.e,b.e),9) as sim, a.topic=b.topic as same from v a join v b on a.id<>b.id and list_cosine_similarity(a.e,b.e)>=0.2),
+news as (select id, row_number() over (order by id) as n from v where id%3<>0),
+run(n, live, seq, slot, sim, links) as (
+ select 0::bigint, (select list({'slot':id,'p':id,'at':-1::bigint}) from v where id%3=0), null::bigint, null::bigint, null::double, null::bigint[]
+ union all
+ select w.n, list_append(case when hit then list_filter(run.live, lambda x: x.slot<>b.m.slot) else run.live end, {'slot':case when hit then b.m.slot else w.id end,'p':w.id,'at':w.id}), w.id, case when hit then b.m.slot else w.id end, case when hit then -b.m.far end, case when hit then [] else coalesce(b.near,[]) end
+ from run join news w on w.n=run.n+1, lateral (
+  select m, coalesce(m.other=0 and m.far<-0.3,false) as hit, near from (
+   select min({'far':-g.sim,'other':case when g.same then 0 else 1 end,'age':-l.x.at,'slot':l.x.slot}) as m, list(l.x.slot order by g.sim desc, l.x.slot)[1:5] as near
+   from (select unnest(run.live) as x) l join near g on g.r=w.id and g.p=l.x.p)) b)
+select seq, slot, sim is not null as updated, round(sim,6) as sim, array_to_string(links,',') as links from run where n>0"""
+
+
+@query()
+def store_in_order(spark, d):
+    """Two thirds of the vectors are stored, one after the other, over the rest: near ones of their topic overwrite, others are linked."""
+    v = X.vectors(spark, d)
+    placed, links = ordered.place(v.filter("id % 3 = 0"), v.filter("id % 3 <> 0").withColumn("seq", F.col("id")), 0.3, 0.2)
+    of = links.groupBy(F.col("src").cast("long").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "dst"))), lambda x: x["dst"]), ",").alias("links"))
+    return placed.join(of, "seq", "left").select("seq", F.col("slot").cast("long").alias("slot"), "updated", r6("sim"), F.coalesce("links", F.lit("")).alias("links"))
+
+
+ORACLE_SQL["store_in_order"] = X.with_views("vectors").rstrip() + IN_ORDER_SQL
+
+
+# --- telemetry ------------------------------------------------------------------
+
+
+@query("select event, count(*) as n, count(*) filter (exit_code<>0) as errors, round(avg(duration_ms),6) as avg_ms, true as p50_near, true as p99_near from hook_events group by 1", ("hook_events",))
+def hook_sketches(spark, d):
+    """Sketches of hours, merged over all of them: counts are exact, and the ranks of the percentiles are off by less than the bound."""
+    e = X.hook_events(spark, d)
+    stats = records.merge_sketches(records.sketch_hours(e)).drop("p90")
+    ranks = e.join(F.broadcast(stats.select("event", "p50", "p99")), "event").groupBy("event")  # a row a kind of event
+    n = F.count("*")
+    near = lambda p, q: ((F.count_if(F.col("duration_ms") < F.col(p)) / n <= q + records.RANK_ERROR) & (F.count_if(F.col("duration_ms") <= F.col(p)) / n >= q - records.RANK_ERROR)).alias(f"{p}_near")
+    return stats.join(ranks.agg(near("p50", 0.5), near("p99", 0.99)), "event").select("event", "n", "errors", r6("avg_ms"), "p50_near", "p99_near")

@@ -61,11 +61,11 @@ def test_nulls_and_nothing(spark):
     assert run(spark, [], []) == ({}, {})
 
 
-def test_engine_store_updates_near_duplicates(spark, tmp_path):
+def test_engine_remember_updates_near_duplicates(spark, tmp_path):
     e = MemoryEngine(spark, str(tmp_path / "s"), 64, embedder=hashing_embedder(64))
-    e.store([{"topic": "db", "summary": "we chose postgres for the billing service and its reports today", "keywords": ["pg"], "raw_excerpt": "x"}])
+    e.remember([{"topic": "db", "summary": "we chose postgres for the billing service and its reports today", "keywords": ["pg"], "raw_excerpt": "x"}])
     first = e.memories.first()
-    e.store(
+    e.remember(
         [
             {"topic": "db", "summary": "we chose postgres for the billing service and its reports now", "importance": "high"},
             {"topic": "db", "summary": "we chose postgres for the billing service and its reports here"},
@@ -80,11 +80,11 @@ def test_engine_store_updates_near_duplicates(spark, tmp_path):
     assert r.embedding != first.embedding and r.summary_hash != first.summary_hash
 
 
-def test_engine_store_links_what_is_near(spark, tmp_path):
+def test_engine_remember_links_what_is_near(spark, tmp_path):
     e = MemoryEngine(spark, str(tmp_path / "s"), 64)
     v = lambda x, y: [x, y] + [0.0] * 62
-    e.store([{"topic": "a", "summary": "one", "embedding": v(1.0, 0.0)}])
-    e.store([{"topic": "a", "summary": "two", "embedding": v(0.8, 0.6)}, {"topic": "b", "summary": "three", "embedding": v(0.8, 0.6)}])
+    e.remember([{"topic": "a", "summary": "one", "embedding": v(1.0, 0.0)}])
+    e.remember([{"topic": "a", "summary": "two", "embedding": v(0.8, 0.6)}, {"topic": "b", "summary": "three", "embedding": v(0.8, 0.6)}])
     got = {r.summary: r for r in e.memories.collect()}
     assert set(got["one"].related_ids) == {got["two"].id, got["three"].id}
     assert set(got["three"].related_ids) == {got["one"].id, got["two"].id}
