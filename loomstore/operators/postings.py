@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from loomstore.functions.text import tokens
 from loomstore.operators.search import B, K1, all_text, topk
+from loomstore.plans.shared import keep
 
 BUCKETS = 64
 
@@ -71,11 +72,29 @@ class Postings:
         # a term's postings are scored once, whatever number of queries asks for it
         rows = self.postings().join(each.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
         shares = self._scored(rows, ["term"]).select("term", "id", "s")
-        both = each.join(shares, "term").groupBy("query_id", "id", "wanted").agg(F.sum("s").alias("score"), F.count("*").alias("k"))
-        both = both.filter(F.col("k") == F.col("wanted")) if mode == "and" else both
+        if mode == "and":
+            both = self._with_all(each, shares)
+        else:
+            both = each.join(shares, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
         w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), F.asc("id"))
         return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("query_id", "id", "score", "rn")
 
+    @staticmethod
+    def _with_all(each: DataFrame, shares: DataFrame) -> DataFrame:
+        """(query_id, id, score) of the rows with all terms of a query: only rows that hold its rarest term meet the others."""
+        shares = keep(shares, "shares")
+        seen = keep(shares.groupBy("term").agg(F.count("*").alias("df")), "terms-df")
+        sized = each.select("query_id", "wanted", "term").join(seen, "term")
+        # queries with a term that no row has are out
+        sized = sized.withColumn("have", F.count("*").over(Window.partitionBy("query_id"))).filter(F.col("have") == F.col("wanted"))
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
+        sized = keep(sized.withColumn("nth", nth).select("query_id", "wanted", "term", "nth"), "terms-by-df")
+        some = keep(sized.filter("nth = 1").join(shares, "term").select("query_id", "wanted", "id", F.col("s").alias("first")), "rarest")
+        pairs = some.join(sized.filter("nth > 1").select("query_id", "term"), "query_id").select("query_id", "id", "term")
+        rest = pairs.join(shares, ["id", "term"]).groupBy("query_id", "id").agg(F.sum("s").alias("rest"), F.count("*").alias("k"))
+        both = some.join(rest, ["query_id", "id"], "left").filter(F.coalesce("k", F.lit(0)) == F.col("wanted") - 1)
+        return both.select("query_id", "id", (F.col("first") + F.coalesce("rest", F.lit(0.0))).alias("score"))
+
 
 def phrase_terms(text: str) -> list[str]:
     """A query's terms, as the index has them."""

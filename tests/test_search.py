@@ -147,3 +147,17 @@ def test_shell_and_paths(spark):
     assert one.select(T.repo_of_url(F.lit("git@host:me/tool.git"))).first()[0] == "tool"
     assert one.select(T.project_of_path(F.lit("/home/me/proj/"))).first()[0] == "proj"
     assert one.select(T.session_of_payload(F.lit('{"transcript_path":"/a/b/sess.1.jsonl"}'))).first()[0] == "sess.1"
+
+
+def test_batch_for_all_terms_starts_from_the_rarest(spark, tmp_path):
+    """Rows that hold only a query's frequent terms never meet the query; a term without rows leaves it empty."""
+    from loomstore.operators.postings import Postings
+
+    rows = [(i, "hot warm" + (" rare" if i % 50 == 0 else "")) for i in range(200)]
+    ix = Postings.build(spark.createDataFrame(rows, "id long, summary string"), f"{tmp_path}/p", ("summary",))
+    q = spark.createDataFrame([(1, "hot rare warm"), (2, "hot nowhere"), (3, "hot"), (4, "")], "query_id long, text string")
+    got = ix.batch(q, 3, "and")
+    assert sorted((r.query_id, r.rn, r.id) for r in got.collect()) == [(1, 1, 0), (1, 2, 50), (1, 3, 100), (3, 1, 1), (3, 2, 2), (3, 3, 3)]
+    each = spark.createDataFrame([(1, 3, t) for t in ("hot", "warm", "rare")], "query_id long, wanted int, term string")
+    shares = ix._scored(ix.postings(), ["term"]).select("term", "id", "s")
+    assert Postings._with_all(each, shares).count() == 4
