@@ -57,16 +57,16 @@ def only(key, make):
     Workers outlive the stages of a pipeline; so the memo of one operator goes before that of the next fills.
     """
     if key not in _LIVE:
-        if _LIVE:
-            _LIVE.clear()
-            _give_back()
+        _LIVE.clear()
+        _give_back()  # also what stages without a memo have left
         _LIVE[key] = make()
     return _LIVE[key]
 
 
 def _give_back() -> None:
-    """Returns what was freed to the system, where the C library can."""
+    """Returns what was freed to the system: Arrow's pool, and the C library's where it can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
