@@ -5,10 +5,13 @@ from then on. Any other row opens a slot and is linked to the nearest ones that
 count like stored ones. Similarities are compared with nine digits; of equal ones a row of the same topic goes first, then the one
 written last, then the smaller id (links: the smaller slot).
 
-Rows of one topic and vector are one class, and similarities are computed between classes, in blocks. A class that is no duplicate of
-another new one follows itself whatever its size; only its first row is looked at. The rest is a graph of rows that are nearer than the
-threshold, resolved in rounds: a row is decided when no undecided earlier row may still take what is its best. Copies are decided in one
-round, since each takes the one before it. Once few edges are left, they are walked through in one task. Hot groups whose rows differ a
+Rows of one topic and vector are one class. A class that is no duplicate of another new one follows itself whatever its size; only its
+first row is looked at. Of all other rows each gets a list of the ``width`` rows before it that come first in that order, so what is kept
+grows with the batch and not with its square (the similarities themselves are computed between all, in blocks, and forgotten). A list is long
+enough when one of its rows can't be taken by a row in between that has it in its list: if this holds for all rows, none ever looks beyond its
+list. Rows without such a one get longer lists until it does. The lists are resolved in rounds: a row is decided when no undecided earlier
+row may still take what is its best. Copies are decided in one round, since each takes the one before it. Once few edges are left, they
+are walked through in one task. Rows whose list holds too few living ones for their links get a list of these alone. Hot groups whose rows differ a
 little and alternate cost an edge a pair and a round a step until then.
 """
 
@@ -28,6 +31,10 @@ from loomstore.schemas import DUPLICATE_SCORE, LINK_SCORE, MAX_LINKS
 DIGITS = 9
 #: Edges from which on rounds are left to one task.
 IN_ONE = 50_000
+#: Rows in a list at first, and by what it grows.
+WIDTH, GROW = 32, 4
+#: Later than any row.
+NEVER = (1 << 63) - 1
 
 
 def _matrix(col) -> np.ndarray:
@@ -39,35 +46,106 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m**2).sum(axis=1, keepdims=True)), 1e-10)
 
 
-def near_pairs(classes: DataFrame, rows: DataFrame, threshold: float, block: int = 10_000) -> DataFrame:
-    """(q, o, c, sim, same) for every class (cls, topic, embedding) and row (o, c, topic, embedding) that reach the threshold. Classes
-    are counted first and shared with all tasks in blocks of ``block``; only pairs that reach it leave a task."""
-    blocks = max(1, -(-classes.count() // block))
-    out = None
+def nearest(queries: DataFrame, rows: DataFrame, threshold: float, k: int, own_topic: bool = False, block: int = 20_000) -> DataFrame:
+    """(r, p, pseq, sim, same): for every query (r, topic, embedding) the first k rows (p, pseq, at, topic, embedding) that reach the threshold, among
+    those with pseq < r < at (at null: whatever r); ``own_topic``: of its topic only. Queries are counted and shared with all tasks in blocks
+    of ``block``; a task sends on k rows a query at most, and there are as many tasks as the cluster has cores."""
+    spark = rows.sparkSession
+    queries = queries.select("r", "topic", "embedding")
+    rows = keep(rows.select("p", "pseq", F.coalesce("at", F.lit(NEVER)).alias("at"), "topic", "embedding").repartition(spark.sparkContext.defaultParallelism), "ordered-rows")
+    w = Window.partitionBy("r").orderBy(F.desc("sim"), F.desc("same"), F.desc("pseq"), F.asc("p"))
+    blocks, out = max(1, -(-queries.count() // block)), None
     for b in range(blocks):
-        some = (classes if blocks == 1 else classes.filter(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == b)).select("cls", "topic", "embedding").toArrow()
-        part = rows.select("o", "c", "topic", "embedding").mapInArrow(_over(some, threshold), "q long, o string, c long, sim double, same boolean")
+        some = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("r"), F.lit(blocks)) == b)).toArrow()
+        sent = spark.sparkContext.broadcast(some)
+        found = rows.sortWithinPartitions("p").mapInArrow(_first(sent, threshold, k, own_topic), "r long, p string, pseq long, sim double, same boolean")
+        part = keep(found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n"), "ordered-lists")
+        sent.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _over(classes, threshold: float):
-    ids, topics = classes.column(0).to_numpy(), np.asarray(classes.column(1).to_pylist(), object)
-    vectors = _unit(_matrix(classes.column(2).combine_chunks()))
+class _Firsts:
+    """The first k rows so far of some queries; of rows that are equal otherwise, those that came first."""
 
+    def __init__(self, n: int, k: int, threshold: float):
+        self.k, self.n = k, n
+        #: the kth of each query, or what any row that reaches the threshold comes before
+        self.sim, self.other, self.age = np.full(n, threshold), np.ones(n, np.int8), np.full(n, NEVER)
+        self.rows = [np.zeros(0, t) for t in (np.int64, np.float64, np.int8, np.int64, np.int64)]
+
+    def add(self, q, sim, other, age, row) -> None:
+        late = (sim < self.sim[q]) | (sim == self.sim[q]) & ((other > self.other[q]) | (other == self.other[q]) & (age > self.age[q]))
+        if late.all():
+            return
+        q, sim, other, age, row = (np.concatenate((a, b[~late])) for a, b in zip(self.rows, (q, sim, other, age, row), strict=True))
+        order = np.lexsort((row, age, other, -sim, q))
+        starts = np.searchsorted(q[order], np.arange(self.n))
+        rank = np.arange(len(order)) - starts[q[order]]
+        last = order[rank == self.k - 1]
+        self.sim[q[last]], self.other[q[last]], self.age[q[last]] = sim[last], other[last], age[last]
+        order = order[rank < self.k]
+        self.rows = [x[order] for x in (q, sim, other, age, row)]
+
+
+def _first(sent, threshold: float, k: int, own_topic: bool, chunk: int = 500, piece: int = 2000):
     def run(batches):
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            sims = np.round(vectors @ _unit(_matrix(b.column(3))).T, DIGITS)
-            at, of = np.nonzero(sims >= threshold)
-            there = np.asarray(b.column(2).to_pylist(), object)
-            cols = [pa.array(ids[at]), b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(sims[at, of]), pa.array((topics[at] == there[of]).astype(bool))]
-            yield pa.RecordBatch.from_arrays(cols, names=["q", "o", "c", "sim", "same"])
+        queries = sent.value
+        if not queries.num_rows:
+            return
+        r = queries.column(0).to_numpy()
+        codes: dict = {}
+        mine = np.array([codes.setdefault(t, len(codes)) for t in queries.column(1).to_pylist()])
+        vectors = _unit(_matrix(queries.column(2).combine_chunks()))
+        parts = [slice(x, x + chunk) for x in range(0, len(r), chunk)]
+        firsts = [_Firsts(len(r[x]), k, threshold) for x in parts]
+        names, seen = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, piece):
+                b = whole.slice(at, piece)
+                pseq, until = b.column(1).to_numpy(), b.column(2).to_numpy()
+                theirs = np.array([codes.get(t, -1) for t in b.column(3).to_pylist()])
+                columns = _unit(_matrix(b.column(4))).T
+                for x, f in zip(parts, firsts, strict=True):
+                    sims = vectors[x] @ columns
+                    q, o = np.nonzero(sims >= f.sim[:, None] - 10.0**-DIGITS)
+                    before = (pseq[o] < r[x][q]) & (r[x][q] < until[o])
+                    q, o = q[before], o[before]
+                    sim, other = np.round(sims[q, o], DIGITS), (mine[x][q] != theirs[o]).astype(np.int8)
+                    if own_topic:
+                        q, o, sim, other = (y[other == 0] for y in (q, o, sim, other))
+                    f.add(q, sim, other, -pseq[o], seen + o)
+                names.append(b.column(0))
+                seen += b.num_rows
+        names = pa.chunked_array(names, pa.string())
+        for x, f in zip(parts, firsts, strict=True):
+            q, sim, other, age, row = f.rows
+            if len(q):
+                p = names.take(pa.array(row)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(r[x][q]), p, pa.array(-age), pa.array(sim), pa.array(other == 0)], names=["r", "p", "pseq", "sim", "same"])
 
     return run
 
 
+def _ends(lists: DataFrame) -> DataFrame:
+    """(r, floor): of the lists that are full, the last similarity; at it and below there may be rows that are not in the list."""
+    return lists.groupBy("r", "k").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).filter("n >= k").select("r", "floor")
+
+
+def _lists(queries: DataFrame, rows: DataFrame, duplicate: float, threshold: float, width: int) -> DataFrame:
+    """(r, p, pseq, sim, same, k): lists of k rows at most, such that no row will look beyond its own."""
+    lists, k = nearest(queries, rows, threshold, width).withColumn("k", F.lit(width)), width
+    while True:
+        taken = lists.filter("same").filter(F.col("sim") > duplicate).groupBy("p").agg(F.min("r").alias("first"))
+        safe = lists.join(taken, "p", "left").filter("first is null or first >= r").select("r").distinct()
+        short = keep(_ends(lists).filter(F.col("floor") > duplicate).select("r").join(safe, "r", "left_anti"), "ordered-short")
+        if short.isEmpty():
+            return lists
+        k *= GROW
+        longer = nearest(queries.join(short, "r", "left_semi"), rows, threshold, k).withColumn("k", F.lit(k))
+        lists = keep(lists.join(short, "r", "left_anti").unionByName(longer), "ordered-lists")
+
+
 def _walk(edges: pd.DataFrame) -> pd.DataFrame:
     """The rounds' result, row by row."""
     edges = edges.assign(other=~edges.same).sort_values(["r", "sim", "other", "pseq", "p"], ascending=[True, False, True, False, True])
@@ -92,14 +170,17 @@ def _targets(edges: DataFrame, in_one: int) -> DataFrame:
             # at most ``in_one`` edges
             last = edges.groupBy(F.lit(1).alias("_")).applyInPandas(lambda d: _walk(d), "r long, p string, sim double") if left else edges.select("r", "p", "sim")
             return keep(last if found is None else found.unionByName(last), "ordered-targets")
-        best = edges.groupBy("r").agg(F.min(order).alias("b")).select("r", F.col("b.p").alias("p"), (-F.col("b.far")).alias("sim"), (F.col("b.other") == 0).alias("same"))
         first = edges.filter("same").groupBy("p").agg(F.min("r").alias("first"))
-        sure = keep(best.join(first, "p", "left").filter("first is null or first >= r").select("r", "p", "sim", "same"), "ordered-sure")
+        seen = keep(edges.join(first, "p", "left").withColumn("safe", F.col("first").isNull() | (F.col("first") >= F.col("r"))).drop("first").withColumn("b", order), "ordered-seen")
+        # what no undecided earlier row may take is there: nothing after it matters
+        ends = seen.groupBy("r").agg(F.min("b").alias("best"), F.min(F.when(F.col("safe"), F.col("b"))).alias("end"))
+        sure = keep(ends.filter("best = end").select("r", F.col("best.p").alias("p"), (-F.col("best.far")).alias("sim"), (F.col("best.other") == 0).alias("same")), "ordered-sure")
+        edges = seen.join(ends.filter("end is null or best < end").select("r", "end"), "r").filter("end is null or b <= end").select(*edges.columns)
         took = sure.filter("same").select("r", "p", "sim")
         found = took if found is None else found.unionByName(took)
         # rows before the one that took p still see it: those of another topic may be undecided
         gone = took.select("p", F.col("r").alias("at"))
-        edges = keep(edges.join(sure.select("r"), "r", "left_anti").join(gone, "p", "left").filter("at is null or r < at").drop("at"), "ordered-edges")
+        edges = keep(edges.join(gone, "p", "left").filter("at is null or r < at").drop("at"), "ordered-edges")
 
 
 def _roots(targets: DataFrame) -> DataFrame:
@@ -113,7 +194,31 @@ def _roots(targets: DataFrame) -> DataFrame:
         up = up.drop("moved")
 
 
-def place(old: DataFrame, new: DataFrame, duplicate: float = DUPLICATE_SCORE, link: float = LINK_SCORE, most: int = MAX_LINKS, in_one: int = IN_ONE) -> tuple[DataFrame, DataFrame]:
+def _busy(many: DataFrame, others: DataFrame, duplicate: float) -> DataFrame:
+    """(cls): the classes (r, topic, embedding) that are duplicates of another one. Of the two nearest of its topic one at least is another class."""
+    near = nearest(many, others, duplicate, 2, own_topic=True).filter(F.col("sim") > duplicate)
+    return near.select((F.lit(NEVER - 1) - F.col("r")).alias("cls"), "pseq").filter("pseq <> cls").select("cls").distinct()
+
+
+def _alive(lists: DataFrame, opened: DataFrame, killed: DataFrame, queries: DataFrame, rows: DataFrame, link: float, most: int, width: int) -> DataFrame:
+    """(r, src, p, sim): of each row that opened a slot the rows that lived then and reach ``link``; the first ``most`` are among them."""
+    killed = keep(killed, "ordered-killed")
+    live = keep(lists.join(opened, "r").join(killed, "p", "left").filter("at is null or at > r").select("r", "src", "p", "sim"), "ordered-live")
+    ends, k = _ends(lists), width
+    then = None
+    while True:
+        enough = live.join(ends, "r").filter("sim > floor").groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("r")
+        lack = keep(ends.filter(F.col("floor") >= link).select("r").join(opened, "r").join(enough, "r", "left_anti"), "ordered-lack")
+        if lack.isEmpty():
+            return live.filter(F.col("sim") >= link)
+        then = then if then is not None else keep(rows.drop("at").join(killed, "p", "left"), "ordered-then")
+        k *= GROW
+        longer = keep(nearest(queries.join(lack, "r", "left_semi"), then, link, k).withColumn("k", F.lit(k)), "ordered-longer")
+        live = keep(live.join(lack.select("r"), "r", "left_anti").unionByName(longer.join(lack, "r").select("r", "src", "p", "sim")), "ordered-live")
+        ends = _ends(longer)
+
+
+def place(old: DataFrame, new: DataFrame, duplicate: float = DUPLICATE_SCORE, link: float = LINK_SCORE, most: int = MAX_LINKS, in_one: int = IN_ONE, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Where each new row (seq, id, topic, embedding; seq 0 or more, unique) goes, given the stored ones (id, topic, embedding).
 
     Returns (seq, slot, updated, sim) and links (src, dst, rn, sim) of slots that were opened to those that they were linked to. ``sim``
@@ -127,24 +232,19 @@ def place(old: DataFrame, new: DataFrame, duplicate: float = DUPLICATE_SCORE, li
     zero = F.forall("embedding", lambda x: x == 0)
     rows = rows.withColumn("alone", F.when(zero, F.col("seq")).otherwise(F.lit(-1)))
     classes = keep(rows.groupBy("topic", "embedding", "alone").agg(F.min("seq").alias("cls")), "ordered-classes")
-    no_id, no_class = F.lit(None).cast("string"), F.lit(None).cast("long")
-    against = stored.select(F.col("id").cast("string").alias("o"), no_class.alias("c"), F.coalesce("topic", F.lit("")).alias("topic"), "embedding").unionByName(classes.select(no_id.alias("o"), F.col("cls").alias("c"), "topic", "embedding"))
-    pairs = keep(near_pairs(classes, against, min(link, duplicate)).filter("c is null or c <> q"), "ordered-pairs")
-    member = keep(rows.join(classes, ["topic", "embedding", "alone"]).select("seq", "id", "cls"), "ordered-members")
-    busy = keep(pairs.filter((F.col("sim") > duplicate) & F.col("same") & F.col("c").isNotNull()).select(F.col("q").alias("cls")).distinct(), "ordered-busy")
-    apart = member.join(busy, "cls", "left_semi")
-    events = keep(member.filter("seq = cls").unionByName(apart.filter("seq <> cls")), "ordered-events")
-
-    r = events.select(F.col("seq").alias("r"), F.col("cls").alias("q"))
-    p = events.select(F.col("seq").alias("pseq"), F.col("cls").alias("c"))
-    key = F.concat(F.lit("e"), F.col("pseq")).alias("p")
-    to_old = r.join(pairs.filter("o is not null"), "q").select("r", F.concat(F.lit("o"), F.col("o")).alias("p"), F.lit(-1).cast("long").alias("pseq"), "sim", "same")
-    to_new = r.join(pairs.filter("c is not null"), "q").join(p, "c").filter("pseq < r").select("r", key, "pseq", "sim", "same")
-    of_busy = apart.select(F.col("seq").alias("r"), "cls")
-    to_own = of_busy.join(of_busy.select(F.col("r").alias("pseq"), "cls"), "cls").filter("pseq < r").select("r", key, "pseq", F.lit(1.0).alias("sim"), F.lit(True).alias("same"))
-    edges = keep(to_old.unionByName(to_new).unionByName(to_own), "ordered-edges")
-
-    rivals = edges.filter(F.col("sim") > duplicate)
+    key = lambda seq: F.concat(F.lit("e"), F.col(seq))
+    member = keep(rows.join(classes, ["topic", "embedding", "alone"]).select("seq", "id", "cls", "topic", "embedding"), "ordered-members")
+    many = classes.join(member.filter("seq <> cls").select("cls").distinct(), "cls", "left_semi").select((F.lit(NEVER - 1) - F.col("cls")).alias("r"), "topic", "embedding")  # asked as if after all
+    others = classes.select(key("cls").alias("p"), F.col("cls").alias("pseq"), F.lit(None).cast("long").alias("at"), "topic", "embedding")
+    busy = keep(_busy(many, others, duplicate), "ordered-busy")
+    events = keep(member.filter("seq = cls").unionByName(member.join(busy, "cls", "left_semi").filter("seq <> cls").select(*member.columns)), "ordered-events")
+
+    queries = events.select(F.col("seq").alias("r"), "topic", "embedding")
+    against = stored.select(F.concat(F.lit("o"), "id").alias("p"), F.lit(-1).cast("long").alias("pseq"), F.coalesce("topic", F.lit("")).alias("topic"), "embedding").unionByName(events.select(key("seq").alias("p"), F.col("seq").alias("pseq"), "topic", "embedding"))
+    against = keep(against.withColumn("at", F.lit(None).cast("long")), "ordered-against")
+    edges = keep(_lists(queries, against, duplicate, min(link, duplicate), width), "ordered-edges")
+
+    rivals = edges.filter(F.col("sim") > duplicate).drop("k")
     targets = _targets(rivals.join(rivals.filter("same").select("r").distinct(), "r", "left_semi"), in_one)
     roots = _roots(targets)
     named = events.select("seq", "id", "cls").join(roots.withColumnRenamed("r", "seq"), "seq", "left")
@@ -158,7 +258,7 @@ def place(old: DataFrame, new: DataFrame, duplicate: float = DUPLICATE_SCORE, li
 
     opened = firsts.select(F.col("seq").alias("r"), F.col("slot").alias("src"))
     killed = targets.select("p", F.col("r").alias("at"))
-    alive = edges.filter(F.col("sim") >= link).join(opened, "r").join(killed, "p", "left").filter("at is null or at > r")
+    alive = _alive(edges, opened, killed, queries, against, link, most, width)
     dst = slots.select(F.concat(F.lit("e"), F.col("seq")).alias("p"), F.col("slot").alias("dst"))
     near = alive.join(dst, "p", "left").select("src", F.coalesce("dst", F.substring("p", 2, 1 << 30)).alias("dst"), "sim")
     w = Window.partitionBy("src").orderBy(F.desc("sim"), F.asc("dst"))
