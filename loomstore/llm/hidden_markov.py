@@ -7,8 +7,9 @@ event a symbol stands for all words never seen. So the model holds every distinc
 what is sent to every task is bounded by ``share`` and ``BUCKETS``.
 
 Baum-Welch: each task runs forward and backward over its texts in step (all texts at one position at a time) and emits expected counts
-a symbol; Spark adds these up. ``WARM_ROUNDS`` rounds run on one in ``WARM_SHARE`` of the training texts (by a hash of the id), then
-``rounds`` rounds on all of them, so that the last counts are those of the whole training corpus. Texts of over ``PIECE`` tokens are learned from in pieces.
+a symbol; Spark adds these up. The first ``PARTS`` rounds are incremental: each runs on another part of the training texts (by a hash of the id), and the next
+model comes from the sum of the counts of all parts so far, so that after them every training text has been learned from once. Then
+``rounds`` rounds run on all of them. Texts are turned into symbols once, and those over ``PIECE`` tokens are learned from in pieces.
 
 Scores are log10 probabilities: the forward recursion over the whole text in double precision, however long, and for words with a shared symbol the
 words' own probabilities, which come by a join with the counts. Of these words' rows none is hot: a word that is in over
@@ -43,8 +44,10 @@ BUCKETS = 4096
 DISCOUNT = 0.75
 #: Counts that each state's symbols have before any text is read, dealt out as in the whole corpus.
 PRIOR = 200.0
-WARM_SHARE, WARM_ROUNDS = 16, 8
+PARTS = 8
 PIECE = 1 << 16
+#: Words that share a symbol and are remembered by a task.
+MEMO = 500_000
 GROUP_TOKENS, BATCH_TOKENS = 2_000_000, 500_000
 #: The end of a text in the table of counts: no word holds a blank.
 END = " "
@@ -80,7 +83,11 @@ class Symbols(dict):
         self.own = len(own)
 
     def __missing__(self, word: bytes) -> int:
-        return self.own + zlib.crc32(word[-3:]) % BUCKETS
+        if len(self) >= self.own + MEMO:
+            for _ in range(MEMO):
+                self.popitem()  # the last ones first: own words stay
+        self[word] = s = self.own + zlib.crc32(word[-3:]) % BUCKETS
+        return s
 
 
 @dataclass
@@ -242,22 +249,45 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", states
     log10 = []
     if total:
         symbols = spark.sparkContext.broadcast(own)
-        warm = keep(texts.filter(F.pmod(F.xxhash64(train[id_col]), F.lit(WARM_SHARE)) == 0), "warm")
-        for part in [warm] * WARM_ROUNDS + [texts] * rounds:
-            expected = one_round(part, model, symbols)
+        coded = keep(coded_texts(train.select(F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int"), text_col), symbols), "symbols")
+        so_far = 0
+        for part in range(PARTS):
+            expected = one_round(coded.filter(F.col("part") == part), model)
+            log10.append(float(expected[-1, 0]))
+            so_far = so_far + expected
+            model = next_model(so_far, p)
+        for _ in range(rounds):
+            expected = one_round(coded, model)
             log10.append(float(expected[-1, 0]))
             model = next_model(expected, p)
     return Fitted(model, counts, own, own_counts, int(total), int(distinct), share, log10)
 
 
-def one_round(texts: DataFrame, model: Model, own) -> np.ndarray:
-    """Expected counts over all rows of ``texts``: a row a symbol, summed over the tasks; the number of rows is bounded by the model."""
-    sent, k = texts.sparkSession.sparkContext.broadcast(model), len(model.start)
+def coded_texts(texts: DataFrame, own) -> DataFrame:
+    """(part, symbols) of (part, text): the symbols of a text and its end, as 32-bit numbers."""
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        symbols = Symbols(own.value)
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                w = words(t)
+                w.append(END.encode())
+                out.append(np.fromiter(map(symbols.__getitem__, w), np.int32, len(w)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["part", "symbols"])
+
+    return texts.mapInArrow(run, "part int, symbols binary")
+
+
+def one_round(coded: DataFrame, model: Model) -> np.ndarray:
+    """Expected counts over all rows of ``coded``: a row a symbol, summed over the tasks; the number of rows is bounded by the model."""
+    sent, k = coded.sparkSession.sparkContext.broadcast(model), len(model.start)
     rows = len(model.emit) + k + 2
     names = [f"e{j}" for j in range(k)]
 
     def run(batches):
-        m, symbols = sent.value, Symbols(own.value)
+        m = sent.value
         into = np.zeros((rows, k))
         seqs, size = [], 0
 
@@ -268,9 +298,7 @@ def one_round(texts: DataFrame, model: Model, own) -> np.ndarray:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                w = words(t)
-                w.append(END.encode())
-                s = np.fromiter(map(symbols.__getitem__, w), np.int32, len(w))
+                s = np.frombuffer(t, np.int32)
                 seqs.extend(s[i : i + PIECE] for i in range(0, len(s), PIECE))
                 size += len(s)
                 if size > GROUP_TOKENS:
@@ -280,7 +308,7 @@ def one_round(texts: DataFrame, model: Model, own) -> np.ndarray:
         some = np.flatnonzero(into.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(into[some, j]) for j in range(k)]], names=["row", *names])
 
-    got = texts.mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    got = coded.select("symbols").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros((rows, k))
     out[got.column(0).to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], 1)
     sent.unpersist()
