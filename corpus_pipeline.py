@@ -2,8 +2,8 @@
 
 1. toxicity: documents that the Kneser-Ney models reject go.
 2. exact dedup: of equal texts the row with the largest doc_id stays.
-3. SimHash near-dedup: of each class of near copies (five-word shingles, Jaccard similarity of at least 0.8, candidates
-   held to their SimHash fingerprints) the document with the smallest doc_id stays.
+3. SimHash near-dedup: of each class of near copies (five-word shingles, Jaccard similarity of at least 0.8, found by their SimHash
+   fingerprints, and by a join of shingles where these are too far apart) the document with the smallest doc_id stays.
 4. benchmark decontamination: documents that hold a benchmark item go.
 5. SentencePiece: what is left is encoded; the last stage returns ids and counts.
 

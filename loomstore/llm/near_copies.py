@@ -1,4 +1,8 @@
-"""Near copies by word shingles: pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""Near copies by SimHash: pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+First the fingerprints look for pairs (``simhash``: those of 4 or fewer differing bits), and the pairs' shingles decide. What this connects is settled.
+At a similarity of 0.8 fingerprints differ in some 10 of 64 bits, so a join then adds the links that are beyond 4 bits: it compares
+pairs of different classes only.
 
 The join is by prefixes. All shingles stand in one order; of a set of n the first n - ceil(0.8 n) + 1 are its prefix. Two
 sets of that similarity share a shingle of their prefixes whatever the order is, so an equality grouping on prefix
@@ -28,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstore.operators.components import connected_components
 
-from .common import keep, only, small_batches, with_keys
-from .simhash import fingerprint_of, shingle_hashes
+from .common import join_counted, keep, only, small_batches, with_keys
+from .simhash import fingerprint_links, fingerprint_of, fingerprints, shingle_hashes
 
 ROOTS = 4
 COMMON = 32
@@ -316,11 +320,36 @@ def similar(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) ->
     return both.filter(F.col("o") >= F.lit(similarity) * (F.col("n") - F.col("o")) - 1e-9).select("a", "b").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_diff: int = 42, block: int = 16, dense: int = 16, tile: int = 4096, tile_shingles: int = 4_000_000) -> DataFrame:
-    """(id_col, component_id) of the documents that have near copies: the smallest id reachable over similar pairs."""
+def ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def near_fingerprints(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """(a, b): pairs of documents whose fingerprints differ by at most ``bits``, enough to join all that such pairs join."""
+    fps = keep(fingerprints(docs, "id", "text", width), "fingerprints")
+    firsts = keep(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts")
+    equal = join_counted(fps, firsts, ["fp"], "n").filter("id != first").select(*ordered("first", "id"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")).hint("shuffle_hash")
+    near = fingerprint_links(fps, bits).join(side("a"), "a").join(side("b"), "b").filter("of_a != of_b").select(*ordered("of_a", "of_b"))
+    return equal.unionByName(near).distinct()
+
+
+def between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that no class of ``classes`` (id, component) holds both of."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("not (of_a <=> of_b) or of_a is null").select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_diff: int = 42, block: int = 16, dense: int = 16, tile: int = 4096, tile_shingles: int = 4_000_000, bits: int = 4) -> DataFrame:
+    """(id_col, component_id) of the documents that have near copies: the smallest id reachable over similar pairs. Fingerprints link at ``bits`` or
+    fewer differing bits of 64; ``max_diff`` of 128 is for pairs that the prefix join brings together."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     small_batches(spark, BATCH)
+    by_print = keep(near_fingerprints(docs, width, bits), "near-fingerprints")
+    small_batches(spark, BATCH)
+    linked = keep(similar(docs, by_print, similarity, width), "linked")
+    settled = keep(connected_components(linked), "settled")
     shared, name = spark.sparkContext.broadcast(common_shingles(docs.select("id", "text"), width)), uuid.uuid4().hex
 
     def keyed(b):
@@ -339,9 +368,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one order of texts in all groups: the groups of one text's copies have much the same first texts, which meet the others once
     rows = _map(docs, keyed, KEYED).repartition("key").sortWithinPartitions("key", F.xxhash64("id"))
     met = keep(rows.mapInArrow(_met(similarity, max_diff, block), MET), "met")
-    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = keep(met.filter("b is not null").select(*order("a", "b")).distinct(), "pairs")
-    edges = keep(similar(docs, first, similarity, width), "similar")
+    first = keep(met.filter("b is not null").select(*ordered("a", "b")).distinct(), "pairs")
+    edges = keep(similar(docs, keep(between(first, settled), "open-pairs"), similarity, width).unionByName(linked), "similar")
     classes = connected_components(edges)
     large = met.filter("b is null").select("key", F.col("a").alias("id"), "n", "fp", "gp")
     if not large.isEmpty():

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomstore.llm import near_copies
+from loomstore.llm import near_copies, simhash
 
 
 def texts():
@@ -82,5 +82,19 @@ def test_stage_drops_all_near_copies(spark):
     assert kept == set(wanted(rows).values())
 
 
+def test_fingerprints_find_pairs(spark):
+    """With no pair let through by the prefix join (``max_diff`` of -1), links come from fingerprints of 4 or fewer differing bits."""
+    rows = list(enumerate(texts()))
+    prints = [int(x) for x in simhash.fingerprint_batch([t or "" for _, t in rows], 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, max_diff=-1).collect()}
+    every = wanted(rows)
+    assert all(every[i] == every[c] for i, c in got.items())
+    for i, _ in rows:
+        same = [j for j, _ in rows if prints[j] == prints[i] and every[j] == every[i]]
+        assert len({got.get(j, j) for j in same}) == 1
+    assert sum(prints[i] != prints[c] for i, c in got.items()) > 10
+
+
 def test_no_rows(spark, empty):
     assert near_copies.near_copies(empty).count() == 0
