@@ -6,8 +6,12 @@ tokenising the corpus. It is built once a version of a table and serves any numb
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +21,8 @@ from loomstore.operators.search import B, K1, all_text, topk
 from loomstore.plans.shared import keep
 
 BUCKETS = 64
+#: Texts whose terms are counted together.
+TEXTS = 500
 
 
 def bucket_of(term: Column) -> Column:
@@ -31,10 +37,8 @@ class Postings:
 
     @staticmethod
     def build(df: DataFrame, path: str, cols: tuple[str, ...] = ("topic", "summary", "keywords"), key: str = "id") -> "Postings":
-        words = df.select(F.col(key).alias("id"), tokens(all_text(cols)).alias("toks")).withColumn("dl", F.size("toks"))
-        counts = words.select("id", "dl", F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        rows = counts.withColumn("bucket", bucket_of(F.col("term"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id")
-        rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+        words = df.select(F.col(key).alias("id"), tokens(all_text(cols)).alias("toks")).select("id", F.size("toks").alias("dl"), "toks")
+        rows_of(words).write.partitionBy("bucket").parquet(f"{path}/postings")
         words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
         return Postings(df.sparkSession, path)
 
@@ -96,6 +100,31 @@ class Postings:
         return both.select("query_id", "id", (F.col("first") + F.coalesce("rest", F.lit(0.0))).alias("score"))
 
 
+def rows_of(words: DataFrame) -> DataFrame:
+    """(id, term, tf, dl, bucket) of texts (id, dl, toks), dealt out once: by bucket, and sorted there."""
+    kind = words.schema["id"].dataType.simpleString()
+    counts = words.mapInArrow(_counted, f"id {kind}, dl int, term string, tf int").withColumn("bucket", bucket_of(F.col("term"))).repartition(BUCKETS, "bucket")
+    # rows of one id are one; their bucket has all of them
+    whole = counts.groupBy("bucket", "term", "id").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    return whole.select("id", "term", "tf", "dl", "bucket").sortWithinPartitions("bucket", "term", "id")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, term, tf) of texts (id, dl, toks): a text's terms are counted where it is read."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
+            flat = pc.list_flatten(b.column(2)).dictionary_encode()
+            if not len(flat):
+                continue
+            sizes = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            key, n = np.unique(of * len(flat.dictionary) + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            own, term = np.divmod(key, len(flat.dictionary))
+            rows = b.select([0, 1]).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*rows.columns, flat.dictionary.take(pa.array(term)), pa.array(n.astype("int32"))], names=["id", "dl", "term", "tf"])
+
+
 def phrase_terms(text: str) -> list[str]:
     """A query's terms, as the index has them."""
     from loomstore.functions.text import query_terms
