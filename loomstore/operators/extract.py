@@ -4,8 +4,9 @@ the sentence splitter, a state machine, is an Arrow UDF."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,6 +124,8 @@ STOP_WORDS = (
 
 _HONORIFIC = re.compile(rf"(?:^|[ \t\n\r\f])(?:{'|'.join(re.escape(h) for h in HONORIFICS)})\s*$")
 MIN_FRAGMENT = 30
+#: Texts that are cut into sentences together.
+TEXTS = 100
 
 
 def sentences_of(text: str) -> list[str]:
@@ -145,12 +148,21 @@ def sentences_of(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-def split_sentences(text: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sentences_of(t or ""))
+def split_sentences(df: DataFrame, text: str = "summary") -> DataFrame:
+    """(id, pos, sentence) of rows (id, text)."""
+    rows = df.select("id", text)
+    return rows.mapInArrow(_sentences, f"id {rows.schema['id'].dataType.simpleString()}, pos int, sentence string")
 
-    return run(text)
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some texts at a time: only these and their sentences are ever Python's strings, and no batch of all sentences is made."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
+            lists = [sentences_of(t or "") for t in b.column(1).to_pylist()]
+            of = [k for k, x in enumerate(lists) for _ in x]
+            pos = [n for x in lists for n in range(len(x))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(pos, pa.int32()), pa.array([s for x in lists for s in x], pa.string())], names=["id", "pos", "sentence"])
 
 
 def keepable(s: Column) -> Column:
@@ -190,7 +202,7 @@ def score_sentences(sentences: DataFrame, min_score: float = 2.0) -> DataFrame:
 
 def extract_facts(df: DataFrame, min_score: float = 2.0, max_facts: int = 20) -> DataFrame:
     """(id, fact, importance, kinds): the best sentences of each text, without near repetitions."""
-    sent = df.select("id", F.posexplode(split_sentences(F.col("summary"))).alias("pos", "sentence")).filter(keepable(F.col("sentence")))
+    sent = split_sentences(df).filter(keepable(F.col("sentence")))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "pos")
     top = score_sentences(sent, min_score).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2 * max_facts)
     kept = top.groupBy("id").agg(F.slice(greedy_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rn", "sentence"))), lambda x: x["sentence"])), 1, max_facts).alias("facts"))
