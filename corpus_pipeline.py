@@ -24,6 +24,9 @@ from loomstore.llm.common import fresh_path, keep, table, without_keys
 from loomstore.llm.queries import vocabulary
 from loomstore.plans.shared import remove, scratch
 
+#: Entries of a generation of the last stage's memo.
+PIECE_WORDS = 80_000
+
 
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """``docs`` without the ids in ``drop``: all rows of such an id go, rows without an id stay."""
@@ -52,7 +55,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the best segmentation, their number, its score and that of the next best."""
-    return piece_lattice.encode_best(docs, vocabulary("piece_bpe_32k.model"), carry=("lang", "source"))
+    # an executor's heap has grown in the stages before, so the workers get a small memo
+    return piece_lattice.encode_best(docs, vocabulary("piece_bpe_32k.model"), carry=("lang", "source"), words=PIECE_WORDS)
 
 
 STAGES = [

@@ -383,10 +383,10 @@ def smallest_sums(gaps: list[list[float]], n: int) -> list[tuple[float, dict[int
 
 class _Memo(dict):
     """Chunk -> (score, ids as little-endian 32-bit numbers, score gaps of the n best, or the second's alone for n = 2), in
-    two generations: what was used since the last turn survives it."""
+    two generations of about ``words`` entries: what was used since the last turn survives it. An entry takes some 350 bytes."""
 
-    def __init__(self, path: str, n: int):
-        self.model, self.n, self.old = Lattice(path), n, {}
+    def __init__(self, path: str, n: int, words: int = MEMO_WORDS):
+        self.model, self.n, self.words, self.old = Lattice(path), n, words, {}
 
     def entry(self, s: str, found: list[tuple[float, list[int]]]):
         score, ids = found[0]
@@ -422,7 +422,7 @@ class _Memo(dict):
         return long
 
     def turn(self) -> None:
-        if len(self) > MEMO_WORDS:
+        if len(self) > self.words:
             self.old = dict(self)
             self.clear()
 
@@ -447,8 +447,8 @@ class _Memo(dict):
         return smallest_sums([((0.0, e[2]) if e[2] < math.inf else (0.0,)) if self.n == 2 else e[2] for e in entries], self.n)
 
 
-def memo(path: str, n: int) -> _Memo:
-    return only(("pieces", path, n), lambda: _Memo(path, n))
+def memo(path: str, n: int, words: int = MEMO_WORDS) -> _Memo:
+    return only(("pieces", path, n, words), lambda: _Memo(path, n, words))
 
 
 @lru_cache(maxsize=2)
@@ -494,11 +494,12 @@ def encode(docs: DataFrame, path: str, n: int = 2, id_col: str = "doc_id", text_
     return map_arrow(docs.select(id_col, text_col), fn, f"{id_col} long, scores array<double>, ids array<array<int>>")
 
 
-def encode_best(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns of ``carry`` as strings, score, next_score, n_pieces and the ids of the best segmentation."""
+def encode_best(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = MEMO_WORDS) -> DataFrame:
+    """id_col, the columns of ``carry`` as strings, score, next_score, n_pieces and the ids of the best segmentation. With fewer
+    ``words`` in the memo a worker takes less memory and more time; the result is the same."""
 
     def fn(b):
-        known = memo(path, 2)
+        known = memo(path, 2, words)
         score, after, ids, ends = [], [], [], [0]
         for _, found in known.texts([t or "" for t in b.column(1).to_pylist()]):
             for out, x in zip((score, ids, after), _best(known, found), strict=True):

@@ -1,9 +1,11 @@
 """run() against plain versions of its stages, and on odd rows."""
 
 import brute
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstore.llm import decontaminate, piece_lattice, queries, toxicity
+from loomstore.llm import common, decontaminate, piece_lattice, queries, toxicity
 
 MODEL = queries.vocabulary("piece_bpe_32k.model")
 
@@ -70,3 +72,20 @@ def test_empty_tables(spark, tmp_path):
     for name, kind in (("documents", "doc_id long, text string, lang string, source string"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_last_stage_holds_a_bounded_memo(spark):
+    """Workers run beside a heap that four stages have grown; the memo of 300,000 distinct words was 300,000 entries."""
+    words = F.expr("concat_ws(' ', transform(sequence(0, 199), k -> translate(conv((id * 200 + k) * 7919 + 60466176, 10, 36), '0123456789', 'abcdefghij')))")
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    sums = [F.count("*"), F.sum("n_pieces"), F.sum(F.xxhash64("doc_id", "score", "next_score", "ids").cast("decimal(38,0)"))]
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(m) + len(m.old) for m in common._LIVE.values() if isinstance(m, piece_lattice._Memo))]})
+
+    got = corpus_pipeline.encode_pieces(spark, docs, "").agg(*sums).first()
+    # workers outlive a stage: the one that encoded is among those that tell what they hold
+    told = spark.range(0, 64, 1, 16).mapInArrow(held, "n long").agg(F.max("n")).first()[0]
+    assert 0 < told < 240_000
+    assert got == piece_lattice.encode_best(docs, MODEL, carry=("lang", "source")).agg(*sums).first()
