@@ -51,9 +51,10 @@ def recall_context(memories: DataFrame, queries: DataFrame, index: BlockIndex, l
     limit = max(1, min(limit, MAX_LIMIT))
     kind = memories.schema["id"].dataType.simpleString()
     heaviest = Window.partitionBy("query_id").orderBy(F.desc("weight"), "id")
-    hits = index.matching(queries).join(memories.select("id", "topic", "weight"), "id")
-    pool = hits.withColumn("rn", F.row_number().over(heaviest)).filter(F.col("rn") <= min(4 * limit, MAX_LIMIT))
-    mine = pool.withColumn("mine", project_matches(F.col("topic"), project)).withColumn("any", F.max("mine").over(Window.partitionBy("query_id"))).filter(F.col("mine") | ~F.col("any"))
+    hits = index.matching(queries).join(memories.select("id", "weight", project_matches(F.col("topic"), project).alias("mine")), "id")
+    # the heaviest of the project and of all others, each by themselves, so that no number of others keeps the project's rows out
+    pool = hits.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "mine").orderBy(F.desc("weight"), "id"))).filter(F.col("rn") <= limit)
+    mine = pool.withColumn("any", F.max("mine").over(Window.partitionBy("query_id"))).filter(F.col("mine") | ~F.col("any"))
     best = mine.withColumn("rn", F.row_number().over(heaviest)).filter(F.col("rn") <= limit)
     entry = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("rn", "id", "summary"))), lambda x: F.struct(x["id"].alias("id"), x["summary"].alias("summary"))).alias(rows)
     # whole texts are joined for the entries alone

@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomstore import store_queries
 from loomstore.operators import blocks, context
+from loomstore.queries import ORACLE_SQL
 
 
 def plain(rows, words, limit, project):
@@ -57,3 +60,18 @@ def test_nothing_known(spark, tmp_path):
     q = spark.createDataFrame([(1, "red")], "query_id int, text string")
     got = context.recall_context(m, q, blocks.BlockIndex(spark, str(tmp_path))).select("text", F.size("ids").alias("n")).collect()
     assert [(r.text, r.n) for r in got] == [("", 0)]
+
+
+def test_heavier_rows_of_others_do_not_keep_the_projects_out(spark, tmp_path):
+    """Documents with both words of the item, of which the lightest are the project's; two without a source have a rare word."""
+    docs = [(i, f"alpha beta n{i} " + " ".join(f"u{i}x{j}" for j in range(5)), "src1" if i % 20 == 19 else "src2") for i in range(60) if i % 5 != 2]
+    docs += [(64, "gamma delta one", None), (69, "gamma delta two", None), (100, "gamma delta epsilon three four", "src2"), (63, "zeta eta", None), (62, "liked words", "src2")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "alpha beta"), (2, "gamma delta"), (3, "zeta eta"), (4, "nothing here")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {r.query_id: (r.ids, r.text) for r in store_queries.context_of_items(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1:] for r in con.execute(ORACLE_SQL["context_of_items"]).fetchall()}
+    assert got[1][0] == "19,39,59" and got[4][0] == "62"
